@@ -3,8 +3,20 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "array<map<string,string>>": T.ArrayType(T.MapType(T.StringType(), T.StringType())),
+}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Built by hand because the DDL reader needs a running session at import."""
+    fields = (field.split() for field in spec.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 USERS = _schema(
