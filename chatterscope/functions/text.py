@@ -6,6 +6,9 @@ without a shuffle and without a Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,36 +55,61 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(spaced(text), " "), "")
 
 
-# The tokenizer's quotes and replacement patterns, in order of application. The first
-# group sees the raw text, the second the text with plain spaces; what results is split on spaces.
-# Quotes outside ASCII are padded literally: inside a character class they slow every pattern down.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _replace_where(text: Column, marks: Sequence[str], pattern: str, replacement: str) -> Column:
+    """Apply a pattern to the texts that hold one of its marks; most texts skip the scan."""
+
+    def guarded(t: Column) -> Column:
+        held = reduce(lambda x, y: x | y, (F.contains(t, F.lit(m)) for m in marks))
+        return F.when(held, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    return bound(text, guarded)
+
+
+# The tokenizer's quotes and replacement patterns, in order of application, each with
+# marks of which a text must hold one. The first group sees the raw text, the second the text with
+# plain spaces; what results is split on spaces. Quotes outside ASCII are padded literally: inside a
+# character class they slow every pattern down.
 OPENING_QUOTES = ("«", "“", "‘", "„")
 CLOSING_QUOTES = ("»", "”", "’")
 QUOTE_PATTERNS = (
-    (r"(`+)", " $1 "),
-    (r'(^|[ (\[{<])"', "$1 `` "),
+    ("`", r"(`+)", " $1 "),
+    ('"', r'(^|[ (\[{<])"', "$1 `` "),
 )
-FUSED_WORDS = (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b", "$1$3$5$7 $2$4$6$8")
 TOKEN_PATTERNS = (
-    (r"""([^. ])\.((?:["')\]}>]|»|”|’)*)( |$)""", "$1 . $2 $3"),
-    (r"([:,])([^\d]|$)", " $1 $2"),
-    (r"(\.\.+|--|[;@#$%&?!*\[\](){}<>])", " $1 "),
-    (r'"', " '' "),
-    (r"([^' ])('[sSmMdD]?)( |$)", "$1 $2 $3"),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |$)", "$1 $2 $3"),
-    FUSED_WORDS,
+    (".", r"""([^. ])\.((?:["')\]}>]|»|”|’)*)( |$)""", "$1 . $2 $3"),
+    (":,", r"([:,])([^\d]|$)", " $1 $2"),
+    (".-;@#$%&?!*[](){}<>", r"(\.\.+|--|[;@#$%&?!*\[\](){}<>])", " $1 "),
+    ('"', r'"', " '' "),
+    ("'", r"([^' ])('[sSmMdD]?)( |$)", "$1 $2 $3"),
+    ("'", r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |$)", "$1 $2 $3"),
 )
+FUSED_WORDS = ("cannot", "gimme", "lemme", "gonna", "wanna", "gotta")
+FUSED_PATTERN = (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b", "$1$3$5$7 $2$4$6$8")
+
+
+def _split_fused(text: Column) -> Column:
+    def guarded(t: Column) -> Column:
+        held = F.lower(t).rlike("|".join(FUSED_WORDS))
+        return F.when(held, F.regexp_replace(t, *FUSED_PATTERN)).otherwise(t)
+
+    return bound(text, guarded)
 
 
 def tokens(text: Column) -> Column:
     """Treebank-style word tokens of raw text: punctuation and clitics become tokens."""
     for quote in OPENING_QUOTES:
         text = F.replace(text, F.lit(quote), F.lit(f" {quote} "))
-    for pattern, replacement in QUOTE_PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
+    for marks, pattern, replacement in QUOTE_PATTERNS:
+        text = _replace_where(text, marks, pattern, replacement)
     text = spaced(text)
-    for pattern, replacement in TOKEN_PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
+    for marks, pattern, replacement in TOKEN_PATTERNS:
+        text = _replace_where(text, marks, pattern, replacement)
+    text = _split_fused(text)
     for quote in CLOSING_QUOTES:
         text = F.replace(text, F.lit(quote), F.lit(f" {quote} "))
     return F.array_remove(F.split(text, " "), "")
@@ -89,7 +117,7 @@ def tokens(text: Column) -> Column:
 
 def clean_tokens(text: Column) -> Column:
     """Tokens of `cleaned` text: no punctuation is left, so only fused words need splitting."""
-    return F.array_remove(F.split(F.regexp_replace(_words_only(text), *FUSED_WORDS), " "), "")
+    return F.array_remove(F.split(_split_fused(_words_only(text)), " "), "")
 
 
 def distinct_ratio(toks: Column) -> Column:
@@ -123,9 +151,7 @@ def leading_bigrams(toks: Column, n: int = 5) -> Column:
         joined = F.transform(F.slice(head, 2, n), lambda word, i: F.concat_ws(" ", F.get(head, i), word))
         return F.array_join(joined, ", ")
 
-    # Wrapped in an array, the head becomes a lambda variable: the tokens are computed once, not
-    # once per pair.
-    return F.get(F.transform(F.array(F.slice(toks, 1, n + 1)), pairs), 0)
+    return bound(F.slice(toks, 1, n + 1), pairs)
 
 
 def fixed_point(x: Column, digits: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ def fits_broadcast(dim: DataFrame) -> bool:
 
     The limit on the probe keeps the check itself cheap on a side that is far too large.
     """
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in dim.columns), F.lit(0))
+    widths = (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in dim.columns)
     rows, size = (
-        dim.limit(BROADCAST_ROW_LIMIT + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+        dim.select(reduce(Column.__add__, widths).alias("w"))
+        .limit(BROADCAST_ROW_LIMIT + 1)
+        .agg(F.count("*"), F.sum("w"))
+        .first()
     )
     return rows <= BROADCAST_ROW_LIMIT and (size or 0) <= BROADCAST_BYTE_LIMIT
 

@@ -123,27 +123,28 @@ def _neighbourhood(texts: DataFrame, key: str, text: str, rules: Rules) -> DataF
     ).select("_id", "_mixed", "_contrast", "_emphasis", "_pos", "_s.*").where(F.col("w").isNotNull())
 
 
-def _one_of(word: Column, words: Iterable[str]) -> Column:
-    return word.isin(*sorted(words))
+def _one_of(word: str, words: Iterable[str]) -> Column:
+    """Membership of a column in a fixed list. One SQL text: a call per word would dominate the
+    time it takes to build the plan."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(words))
+    return F.expr(f"{word} in ({quoted})")
 
 
-def _marks(hits: DataFrame, rules: Rules) -> DataFrame:
-    """What each of the three words before says, computed once: `kI` lexicon word, `bI` weight as
-    an intensifier, `cI` emphasised by capitals, `nI` negates."""
+def _marks(rules: Rules) -> dict[str, Column]:
+    """What each of the three words before says, computed once: `bI` weight as an intensifier, `cI`
+    emphasised by capitals, `nI` negates; and whether the word itself is silent."""
     singles = {w for w in rules.raising | rules.lowering if " " not in w}
-    here = F.lower("w")
-    hits = hits.withColumn("c0", F.col("_mixed") & _is_caps(F.col("w"))).withColumn(
-        "silent", _one_of(here, singles) | ((here == "kind") & F.coalesce(F.lower("x1") == "of", F.lit(False)))
-    )
+    kind_of = (F.lower("w") == "kind") & F.coalesce(F.lower("x1") == "of", F.lit(False))
+    marks = {
+        "c0": F.col("_mixed") & _is_caps(F.col("w")),
+        "silent": _one_of("lower(w)", singles) | kind_of,
+    }
     for i in (1, 2, 3):
-        low = F.col(f"l{i}")
-        weight = F.when(_one_of(low, rules.raising), STEP).when(_one_of(low, rules.lowering), -STEP)
-        hits = (
-            hits.withColumn(f"b{i}", weight)
-            .withColumn(f"c{i}", F.col("_mixed") & _is_caps(F.col(f"p{i}")))
-            .withColumn(f"n{i}", _one_of(low, rules.negations) | low.contains("n't"))
-        )
-    return hits
+        raised, lowered = (_one_of(f"l{i}", words) for words in (rules.raising, rules.lowering))
+        marks[f"b{i}"] = F.when(raised, STEP).when(lowered, -STEP)
+        marks[f"c{i}"] = F.col("_mixed") & _is_caps(F.col(f"p{i}"))
+        marks[f"n{i}"] = _one_of(f"l{i}", rules.negations) | F.col(f"l{i}").contains("n't")
+    return marks
 
 
 def _with_idioms(v: Column, rules: Rules) -> Column:
@@ -166,10 +167,13 @@ def _with_idioms(v: Column, rules: Rules) -> Column:
 
 
 def _apply_rules(hits: DataFrame, rules: Rules) -> DataFrame:
-    """The valence of each hit from its neighbours, rule by rule (`v` starts as the lexicon value)."""
+    """The valence of each hit from its neighbours, rule by rule (`v` starts as the lexicon value).
+
+    Each step is a projection of its own, because each mentions the valence before it several times.
+    """
     v, p1, p2, p3 = (F.col(c) for c in ("v", "p1", "p2", "p3"))
     away = F.when(v > 0, CAPS).otherwise(-CAPS)
-    hits = _marks(hits, rules).withColumn("v", F.when(F.col("c0"), v + away).otherwise(v))
+    hits = hits.withColumns(_marks(rules)).withColumn("v", F.when(F.col("c0"), v + away).otherwise(v))
     soothing = p1.isin("so", "this")
     special = {
         2: ((p2 == "never") & soothing, 1.5),
@@ -178,15 +182,14 @@ def _apply_rules(hits: DataFrame, rules: Rules) -> DataFrame:
     for i, damp in enumerate(DAMPING, start=1):
         weight = F.when(v < 0, -F.col(f"b{i}")).otherwise(F.col(f"b{i}"))
         weight = weight + F.when(F.col(f"c{i}"), away).otherwise(0.0)
-        hits = hits.withColumn("_b", v + F.coalesce(weight, F.lit(0.0)) * damp)
         factor = F.when(F.col(f"n{i}"), NEGATED).otherwise(1.0)
         if i in special:
             factor = F.when(special[i][0], special[i][1]).otherwise(factor)
-        hits = hits.withColumn("_b", F.col("_b") * factor)
+        judged = (v + F.coalesce(weight, F.lit(0.0)) * damp) * factor
         if i == 3:
-            hits = hits.withColumn("_b", _with_idioms(F.col("_b"), rules))
+            judged = _with_idioms(judged, rules)
         plain = F.col(f"p{i}").isNotNull() & ~F.col(f"k{i}")
-        hits = hits.withColumn("v", F.when(plain, F.col("_b")).otherwise(v))
+        hits = hits.withColumn("v", F.when(plain, judged).otherwise(v))
     least = (F.col("l1") == "least") & ~F.col("k1")
     spared = F.coalesce(F.col("l2").isin("at", "very"), F.lit(False))
     return hits.withColumn(

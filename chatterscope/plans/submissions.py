@@ -41,14 +41,38 @@ def submission_analysis(
     known = F.col("title").isNotNull()
     return (
         submissions.withColumn("_t", toks)
-        .withColumn("lexical_diversity", tx.distinct_ratio(F.col("_t")))
-        .withColumn("common_bigrams", tx.leading_bigrams(F.col("_t")))
+        .withColumns(
+            {
+                "lexical_diversity": tx.distinct_ratio(F.col("_t")),
+                "common_bigrams": tx.leading_bigrams(F.col("_t")),
+            }
+        )
         .drop("_t")
         .join(scores, "submission_id", "left")
         .join(found, "submission_id", "left")
         .join(marks, "submission_id", "left")
-        .withColumn("sentiment", F.when(known, tx.scored(compound, 3, tx.sentiment_label(compound))))
-        .withColumn("named_entities", F.when(known, as_brackets(F.col("entities"))))
-        .withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+        .withColumns(
+            {
+                "sentiment": F.when(known, tx.scored(compound, 3, tx.sentiment_label(compound))),
+                "named_entities": F.when(known, as_brackets(F.col("entities"))),
+                "is_duplicate": F.coalesce("is_duplicate", F.lit(False)),
+            }
+        )
         .drop("compound", "entities")
     )
+
+
+def submission_report(
+    submissions: DataFrame, users: DataFrame, lexicon: DataFrame, gazetteer: DataFrame,
+    rules: Rules = Rules(), small: bool | None = None,
+) -> DataFrame:
+    """The analysis of the submissions of known users.
+
+    Admission is decided on (id, author) alone and joined last, by id like everything else, so the
+    wide rows move once. The flags are the same either way: duplicates share their author, so they
+    are admitted together.
+    """
+    authors = submissions.select("submission_id", "author")
+    admitted = submissions_of_known_users(authors, users).select("submission_id")
+    analysis = submission_analysis(submissions, lexicon, gazetteer, rules, small)
+    return analysis.join(admitted, "submission_id", "left_semi")

@@ -1,0 +1 @@
+"""The load as a stream of landed files."""

@@ -1,0 +1,257 @@
+"""Entities, duplicates, keys, merges, gates, activity and account measures."""
+
+import random
+from collections import defaultdict
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from chatterscope.functions import accounts as ac
+from chatterscope.operators import activity as act
+from chatterscope.operators import checks, duplicates, entities, gates, joins, keyed, merge
+from chatterscope.params import DAY, REPORT_PRESET, Thresholds, parse_limit
+
+
+def pairs(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+# Entities
+
+
+GAZETTEER = [("New York", "GPE"), ("New York Times", "ORGANIZATION"), ("York", "GPE"), ("Times Square", "GPE"), ("Ann", "PERSON")]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_gazetteer(spark, small):
+    texts = ["Ann reads the New York Times Square daily", "York and New York", "nothing here", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    gaz = spark.createDataFrame(GAZETTEER, "phrase string, label string")
+    found = entities.entities(rows, gaz, "id", "t", small)
+    got = {r.id: (r.w, r.b) for r in found.select("id", entities.as_words(F.col("entities")).alias("w"), entities.as_brackets(F.col("entities")).alias("b")).collect()}
+    # "Times Square" begins inside "New York Times", so it is dropped.
+    assert got == {
+        0: ("Ann, New York Times", "(PERSON Ann), (ORGANIZATION New York Times)"),
+        1: ("York, New York", "(GPE York), (GPE New York)"),
+    }
+
+
+def test_shapes(spark):
+    rows = spark.createDataFrame([("Today John Smith met Mary. Then Bob left Paris",)], "t string")
+    assert rows.select(entities.shape_entities(F.col("t"))).first()[0] == ["John Smith", "Mary", "Bob", "Paris"]
+
+
+def test_plugged_tagger(spark):
+    def tagger(batches):
+        for pdf in batches:
+            out = pdf[pdf["text"].str.contains("Ann")]
+            yield pd.DataFrame({"text_key": out["text_key"], "pos": 0, "phrase": "Ann/NNP", "label": "PERSON"})
+
+    rows = spark.createDataFrame([(1, "Ann"), (2, "none"), (3, None)], "id int, t string")
+    got = entities.plugged_entities(rows, tagger, "id", "t").select("id", entities.as_brackets(F.col("entities")))
+    assert pairs(got) == [(1, "(PERSON Ann/NNP)")]
+
+
+# Duplicates
+
+
+def test_duplicates(spark):
+    bodies = ["Hi", " hi\t\n", "HI ", "other", None, None, "", " "]
+    rows = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "id string, body string")
+    got = dict(pairs(duplicates.flag_duplicates(rows, ["body"], "id")["id", "is_duplicate"]))
+    assert got == {"0": True, "1": True, "2": True, "3": False, "4": False, "5": False, "6": True, "7": True}
+
+
+def test_parts_do_not_run_together(spark):
+    rows = spark.createDataFrame([("1", "ab", "c"), ("2", "a", "bc"), ("3", "A ", "bc")], "id string, x string, y string")
+    assert pairs(duplicates.duplicate_ids(rows, ["x", "y"], "id")) == [("2",), ("3",)]
+
+
+def hot(spark, n=30_000):
+    """A third of the rows share one key."""
+    return spark.range(n).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+    )
+
+
+def test_hot_key_is_split(spark):
+    rows = hot(spark)
+    assert duplicates.duplicate_ids(rows, ["k"], "id").count() == 10_000
+    salted = rows.select("k", joins.salt(["id"], 8).alias("s")).where("k = 'hot'").groupBy("s").count()
+    assert max(r["count"] for r in salted.collect()) < 10_000 / 8 * 1.3
+
+
+@pytest.mark.parametrize("how, n", [("inner", 10_001), ("left", 30_000), ("left_semi", 10_001), ("left_anti", 19_999)])
+def test_attach_equals_plain_join(spark, how, n):
+    rows = hot(spark)
+    right = spark.createDataFrame([("hot", 1), ("1", 2), ("none", 3)], "k string, v int")
+    got = joins.attach(rows, right, ["k"], ["id"], how)
+    assert got.count() == n
+    assert got.select(*sorted(got.columns)).exceptAll(rows.join(right, "k", how).select(*sorted(got.columns))).isEmpty()
+
+
+def test_size_check(spark, monkeypatch):
+    dim = spark.range(100).select(F.col("id").cast("string").alias("token"))
+    assert joins.fits_broadcast(dim)
+    monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", 99)
+    assert not joins.fits_broadcast(dim)
+
+
+# Keys, merges, checks
+
+
+def test_profiles(spark):
+    rows = [("a", "comment", 1, "c1"), ("a", "submission", 2, "s2"), ("a", "submission", 3, "s3"), ("a", "comment", 9, "c9"), ("b", "comment", 5, "c5"), ("b", "comment", 4, "c4")]
+    df = spark.createDataFrame(rows, "name string, role string, seq int, profile string")
+    assert pairs(keyed.profiles(df)["name", "profile"]) == [("a", "s3"), ("b", "c4")]
+
+
+@pytest.mark.parametrize("threshold", ["1000", "1"])
+def test_newest_per_group(spark, threshold):
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"))
+    got = keyed.newest_per_group(rows, ["g"], [F.col("t").desc()], 2, ["t"])
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert pairs(got) == [(0, 2994), (0, 2997), (1, 2995), (1, 2998), (2, 2996), (2, 2999)]
+
+
+def test_listing_rejects_private_rankings(spark):
+    df = spark.createDataFrame([], "submission_id string, submission_score int, submission_created_utc bigint, c string")
+    with pytest.raises(ValueError):
+        keyed.listing(df, "c", "hot", 1)
+
+
+def test_upsert(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    batch = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "k string, v int, seq int")
+    order = [F.col("seq").desc()]
+    once = merge.upsert(target, batch, "k", order)
+    assert pairs(once) == [("a", 1), ("b", 4), ("c", 5)]
+    assert pairs(merge.upsert(once, batch, "k", order)) == pairs(once)
+
+
+def test_name_clash_is_an_error(spark):
+    users = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", None), ("4", None)], "redditor_id string, redditor string")
+    with pytest.raises(ValueError, match="redditor is not unique"):
+        checks.require_unique(users, "redditor")
+    checks.require_unique(users.where("redditor_id <> '2'"), "redditor")
+
+
+def test_counted_and_empty(spark):
+    df, seen = checks.counted(spark.range(5), "load", top=F.max("id"))
+    df.collect()
+    assert seen.get == {"rows": 5, "top": 4}
+    with pytest.raises(ValueError):
+        checks.require_rows(spark.range(0), "users")
+
+
+# Gates
+
+
+COMMENTS = [("1", "a", "s1"), ("2", "zz", "s1"), ("3", "zz", "s2"), ("4", "b", "s3"), ("5", "zz", "s3")]
+
+
+def test_gates(spark):
+    comments = spark.createDataFrame(COMMENTS, "comment_id string, comment_author string, submission_id string")
+    accepted = spark.createDataFrame([("a",), ("b",)], "redditor string")
+    stored = spark.createDataFrame([("4",)], "comment_id string")
+    ids = lambda gate: [r.comment_id for r in gates.admit_comments(comments, accepted, stored, gate).orderBy("comment_id").collect()]
+    assert ids("row") == ["1"]
+    assert ids("group") == ["1", "2"]
+    with pytest.raises(ValueError):
+        ids("other")
+
+
+def test_submission_gate(spark):
+    posts = spark.createDataFrame([("s1", "a"), ("s2", "zz"), ("s3", None)], "submission_id string, author string")
+    known = spark.createDataFrame([("a",)], "redditor string")
+    unknown = spark.createDataFrame([("q",)], "redditor string")
+    count = lambda names, gate: gates.admit_submissions(posts, names, gate).count()
+    assert [count(known, "row"), count(known, "group"), count(unknown, "group")] == [1, 3, 0]
+
+
+# Activity
+
+
+def brute_bursts(events, silence, burst):
+    """Straight from the definition: event by event."""
+    users = defaultdict(list)
+    for user, t in events:
+        users[user].append(t)
+    found = {}
+    for user, times in users.items():
+        times.sort()
+        sizes = [
+            sum(t <= x <= t + burst for x in times[i:])
+            for i, t in enumerate(times)
+            if i and t - times[i - 1] >= silence
+        ]
+        sizes = [n for n in sizes if n >= 2]
+        if sizes:
+            found[user] = (len(sizes), max(sizes))
+    return found
+
+
+def as_activity(spark, events):
+    return spark.createDataFrame([(u, t, "comment", str(i)) for i, (u, t) in enumerate(events)], "redditor string, created_utc bigint, kind string, item_id string")
+
+
+def test_bursts_against_brute_force(spark):
+    rng = random.Random(11)
+    events = []
+    for user in "abcdefgh":
+        t = rng.randint(-40 * DAY, 40 * DAY)
+        for _ in range(150):
+            t += rng.choice([0, 1, 3600, DAY, 3 * DAY - 1, 3 * DAY, 3 * DAY + 1, 20 * DAY, 45 * DAY])
+            events.append((user, t))
+    got = {r.redditor: (r.burst_count, r.max_burst_size) for r in act.bursts(as_activity(spark, events), 3, 1).collect()}
+    assert got == brute_bursts(events, 3 * DAY, DAY)
+
+
+def test_burst_boundaries(spark):
+    d = DAY
+    events = [
+        ("short", 0), ("short", 3 * d - 1), ("short", 3 * d),
+        ("exact", 0), ("exact", 3 * d), ("exact", 4 * d),
+        ("late", 0), ("late", 3 * d), ("late", 4 * d + 1),
+        ("first", 0), ("first", 1), ("single", 5),
+    ]
+    assert pairs(act.bursts(as_activity(spark, events), 3, 1)) == [("exact", 1, 2)]
+
+
+def test_dormancy(spark):
+    users = spark.createDataFrame([("1", "a", 1000), ("2", "b", 1000), ("3", "c", 1000)], "redditor_id string, redditor string, created_utc bigint")
+    events = as_activity(spark, [("a", 999), ("b", 1000 + 3 * DAY), ("b", 1000 + 9 * DAY)])
+    as_of = 1000 + 2 * DAY
+    limit = {"comment": 1, "submission": 1}
+    got = act.dormancy(users, events, limit, as_of).select("redditor", "dormant_days")
+    assert pairs(got) == [("a", -1), ("b", 9), ("c", 2)]
+    unequal = act.first_activity(events, {"comment": 2, "submission": 5})
+    assert pairs(unequal) == [("a", 999), ("b", 1000 + 3 * DAY)]
+
+
+def test_account_measures(spark):
+    as_of = 1_700_000_000
+    rows = spark.createDataFrame(
+        [(as_of, 499), (as_of - 1461 * DAY, 500), (as_of + 1, None), (None, 0)], "created bigint, karma int"
+    )
+    age = ac.account_age(F.col("created"), as_of)
+    got = rows.select(age, ac.low_karma(F.col("karma"), 500), ac.young_account(age, 4.0), ac.account_flags(ac.low_karma(F.col("karma"), 500), ac.young_account(age, 3.9))).collect()
+    assert [tuple(r) for r in got] == [
+        (0.0, True, True, ["Low Karma", "Young Account Age"]),
+        (4.0, False, True, []),
+        (-1 / 365.25, False, True, ["Young Account Age"]),
+        (None, True, False, ["Low Karma"]),
+    ]
+
+
+def test_limits_from_settings():
+    assert parse_limit(None, 250, 500) == 250
+    assert parse_limit("abc", 250, 500) == 500
+    assert parse_limit("7", 250, 500) == 7
+    assert Thresholds(karma=1).account_age_years == 1.0
+    assert REPORT_PRESET.karma == 500
+    with pytest.raises(ValueError):
+        Thresholds(karma=1, inactivity_days=0)

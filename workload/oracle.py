@@ -194,10 +194,15 @@ def _entity_steps(source: str, key: str, text: str, prefix: str) -> dict[str, st
     p = prefix
     return {
         f"{p}toks": f"select {key} as id, {_tokens(text)} as t from {source}",
+        f"{p}each": f"select id, unnest(t) as t0, unnest(range(1, len(t) + 1)) as pos from {p}toks",
+        f"{p}next": f"""
+            select id, pos, t0, lead(t0, 1) over o as t1, lead(t0, 2) over o as t2, lead(t0, 3) over o as t3
+            from {p}each window o as (partition by id order by pos)""",
         f"{p}grams": f"""
-            select id, pos, len, array_to_string(t[pos:pos + len - 1], ' ') as phrase
-            from (select id, t, unnest(range(1, len(t) + 1)) as pos from {p}toks), (values (1), (2), (3), (4)) as l(len)
-            where pos + len - 1 <= len(t)""",
+            select id, pos, 1 as len, t0 as phrase from {p}next
+            union all select id, pos, 2, t0 || ' ' || t1 from {p}next where t1 is not null
+            union all select id, pos, 3, t0 || ' ' || t1 || ' ' || t2 from {p}next where t2 is not null
+            union all select id, pos, 4, t0 || ' ' || t1 || ' ' || t2 || ' ' || t3 from {p}next where t3 is not null""",
         f"{p}found": f"select g.id, g.pos, g.len, g.phrase, z.label from {p}grams g join fx_gazetteer z using (phrase)",
         f"{p}longest": f"select * from {p}found qualify row_number() over (partition by id, pos order by len desc) = 1",
         f"{p}kept": f"""

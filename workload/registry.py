@@ -460,8 +460,9 @@ def comment_report_per_text(spark, sf):
 
 @query
 def submission_report(spark, sf):
-    posts = sp.submissions_of_known_users(P.submissions(spark, sf), P.users(spark, sf))
-    analysis = sp.submission_analysis(posts, P.lexicon(spark, sf), P.gazetteer(spark, sf), P.RULES)
+    analysis = sp.submission_report(
+        P.submissions(spark, sf), P.users(spark, sf), P.lexicon(spark, sf), P.gazetteer(spark, sf), P.RULES
+    )
     return reports.sheet(analysis, reports.SUBMISSION_HEADERS)
 
 
