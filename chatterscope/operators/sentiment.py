@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterscope.functions.text import spaced
+from chatterscope.functions.text import bound, spaced
 from chatterscope.operators.joins import dictionary_join, fits_broadcast
 
 # Fixed values of the published scorer.
@@ -150,8 +150,6 @@ def _marks(rules: Rules) -> dict[str, Column]:
 def _with_idioms(v: Column, rules: Rules) -> Column:
     """An idiom around the word replaces its valence; the longest behind it counts most. A two-word
     dampener in front lowers it."""
-    # One small literal map instead of a comparison per idiom keeps the generated method short
-    # enough for the JIT compiler.
     idioms = F.create_map(*(F.lit(x) for pair in sorted(rules.idioms.items()) for x in pair))
     behind = (("w", "x1", "x2"), ("w", "x1"))
     before = (("p1", "w"), ("p2", "p1", "w"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))
@@ -187,7 +185,9 @@ def _apply_rules(hits: DataFrame, rules: Rules) -> DataFrame:
             factor = F.when(special[i][0], special[i][1]).otherwise(factor)
         judged = (v + F.coalesce(weight, F.lit(0.0)) * damp) * factor
         if i == 3:
-            judged = _with_idioms(judged, rules)
+            # Bound, so that the phrases stay out of the generated method: beyond 8000 bytes of
+            # code the JVM would no longer compile it, and this stage reads every word.
+            judged = bound(judged, lambda value: _with_idioms(value, rules))
         plain = F.col(f"p{i}").isNotNull() & ~F.col(f"k{i}")
         hits = hits.withColumn("v", F.when(plain, judged).otherwise(v))
     least = (F.col("l1") == "least") & ~F.col("k1")
