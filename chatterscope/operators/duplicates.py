@@ -28,11 +28,10 @@ def duplicate_ids(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     holds a third of the rows never meets in one task: the summing window sees at most one row per
     salt, and the final join is spread by the salt.
     """
-    salts = salt_count(df.sparkSession)
     rows = df.select(
         row_id,
         digest(*(F.col(k) for k in keys)).alias("_key"),
-        salt([row_id], salts).alias("_salt"),
+        salt([row_id], salt_count(df.sparkSession)).alias("_salt"),
     ).where(F.col("_key").isNotNull())
     counted = rows.groupBy("_key", "_salt").agg(F.count("*").alias("_n"))
     repeated = (

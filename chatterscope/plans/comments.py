@@ -24,25 +24,35 @@ def analyse_texts(
     texts: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, key: str, text: str,
     rules: Rules = Rules(), small: bool | None = None,
 ) -> DataFrame:
-    """`(key, sentiment, named_entities, lexical_diversity, common_bigrams)` per text."""
+    """Add `sentiment, named_entities, lexical_diversity, common_bigrams`; `key` is unique.
+
+    Diversity and bigrams are row-local; scores and entities come back as narrow rows by key.
+    """
     diversity = tx.lexical_diversity(F.col(text))
-    local = texts.select(
-        F.col(key),
-        diversity.alias("_ld"),
-        tx.leading_bigrams(tx.tokens(F.col(text))).alias("common_bigrams"),
+    local = texts.withColumns(
+        {"_ld": diversity, "common_bigrams": tx.leading_bigrams(tx.tokens(F.col(text)))}
+    ).withColumns(
+        {"_score": F.col("_ld.score"), "lexical_diversity": tx.scored(F.col("_ld.score"), 2, F.col("_ld.label"))}
     )
-    joined = local.join(sentiment(texts, lexicon, key, text, rules, small), key, "left").join(
-        entities(texts, gazetteer, key, text, small), key, "left"
+    joined = (
+        local.drop("_ld")
+        .join(sentiment(texts, lexicon, key, text, rules, small), key, "left")
+        .join(entities(texts, gazetteer, key, text, small), key, "left")
     )
     compound = F.coalesce("compound", F.lit(0.0))
-    known = F.col("_ld.score").isNotNull()
-    return joined.select(
-        key,
-        F.when(known, tx.scored(compound, 3, tx.sentiment_label(compound))).alias("sentiment"),
-        F.when(known, as_words(F.col("entities"))).alias("named_entities"),
-        tx.scored(F.col("_ld.score"), 2, F.col("_ld.label")).alias("lexical_diversity"),
-        "common_bigrams",
-    )
+    known = F.col("_score").isNotNull()
+    return joined.withColumns(
+        {
+            "sentiment": F.when(known, tx.scored(compound, 3, tx.sentiment_label(compound))),
+            "named_entities": F.when(known, as_words(F.col("entities"))),
+        }
+    ).drop("_score", "compound", "entities")
+
+
+def _with_duplicate_flag(analysed: DataFrame, comments: DataFrame) -> DataFrame:
+    marks = duplicate_ids(comments, ["body"], "comment_id").withColumn("_dup", F.lit(True))
+    flag = yes_no(F.coalesce("_dup", F.lit(False)))
+    return analysed.join(marks, "comment_id", "left").withColumn("is_duplicate", flag).drop("_dup")
 
 
 def comment_analysis(
@@ -55,15 +65,9 @@ def comment_analysis(
     once, by that key (not at all from a bucketed table), and a popular body cannot skew a task.
     A null body keeps its row, with null measures.
     """
-    stripped = comments.select("comment_id", tx.strip(F.col("body")).alias("text"))
-    measures = analyse_texts(stripped, lexicon, gazetteer, "comment_id", "text", rules, small)
-    marks = duplicate_ids(comments, ["body"], "comment_id").withColumn("_dup", F.lit(True))
-    return (
-        comments.join(measures, "comment_id", "left")
-        .join(marks, "comment_id", "left")
-        .withColumn("is_duplicate", yes_no(F.coalesce("_dup", F.lit(False))))
-        .drop("_dup")
-    )
+    stripped = comments.withColumn("_text", tx.strip(F.col("body")))
+    analysed = analyse_texts(stripped, lexicon, gazetteer, "comment_id", "_text", rules, small)
+    return _with_duplicate_flag(analysed.drop("_text"), comments)
 
 
 def comment_analysis_per_text(
@@ -75,9 +79,8 @@ def comment_analysis_per_text(
     Worth it when many bodies repeat: it trades repeated analysis for one more shuffle of the text.
     """
     texts = distinct_bodies(comments)
-    measures = analyse_texts(texts, lexicon, gazetteer, "text_key", "text", rules, small)
+    measures = analyse_texts(texts, lexicon, gazetteer, "text_key", "text", rules, small).drop("text")
     keyed = comments.withColumn("text_key", F.sha2(tx.strip(F.col("body")), 256))
-    marks = duplicate_ids(comments, ["body"], "comment_id").withColumn("_dup", F.lit(True))
     # An empty body is no text to analyse; it shows what an all-blank one would.
     blank = {
         "sentiment": "0.000 (Neutral)", "named_entities": "",
@@ -87,8 +90,4 @@ def comment_analysis_per_text(
     for column, value in blank.items():
         shown = F.when(F.col("body").isNotNull(), F.lit(value))
         joined = joined.withColumn(column, F.coalesce(column, shown))
-    return (
-        joined.join(marks, "comment_id", "left")
-        .withColumn("is_duplicate", yes_no(F.coalesce("_dup", F.lit(False))))
-        .drop("_dup")
-    )
+    return _with_duplicate_flag(joined, comments)
