@@ -28,12 +28,8 @@ def admit_submissions(submissions: DataFrame, names: DataFrame, gate: str = "row
     authors = names.select(F.col("redditor").alias("author")).distinct()
     if gate == "row":
         return attach(submissions, authors, ["author"], ["submission_id"], "left_semi")
-    anyone = (
-        submissions.select("author").distinct().join(authors, "author", "left_semi")
-        .limit(1).select(F.lit(1).alias("_open"))
-    )
-    # One row or none by construction, so it is broadcast by definition, not by data size.
-    return submissions.withColumn("_open", F.lit(1)).join(F.broadcast(anyone), "_open", "left_semi").drop("_open")
+    known = submissions.select("author").distinct().join(authors, "author", "left_semi")
+    return submissions.where(known.exists())
 
 
 def new_comments(comments: DataFrame, stored: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def load_stream(
     )
 
 
-def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
-    """The shared folder the cluster names for checkpoints; `default` only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not (named or default):
+def checkpoint_folder(spark: SparkSession, name: str, default: str | None = None) -> str:
+    """A stream's own folder inside the shared one the cluster names for checkpoints; `default` is
+    taken only where it names none. `name` must belong to one stream: it holds its progress."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or default
+    if not shared:
         raise ValueError("spark.checkpoint.dir is not set")
-    return named or default
+    return f"{shared.rstrip('/')}/{name}"

@@ -1,6 +1,7 @@
 """Landed files to tables to reports, end to end."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,7 +197,7 @@ def test_stream_equals_batch(spark, tmp_path):
     landing_dir, root = tmp_path / "landing", tmp_path / "stored"
     landing_dir.mkdir(), root.mkdir()
     accepted = spark.createDataFrame([("a",), ("b",)], "redditor string")
-    check = load.checkpoint_root(spark, str(tmp_path / "check"))
+    check = load.checkpoint_folder(spark, f"load-{uuid.uuid4()}", str(tmp_path / "check"))
 
     def land(name, posts):
         (landing_dir / name).write_text("\n".join(json.dumps(p) for p in posts))
