@@ -73,3 +73,11 @@ def text_of(batch: pa.RecordBatch, name: str) -> list[str]:
 def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A column's strings in UTF-8; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a variant of it that is no column of `df` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
