@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, packing
+from chatterscope.llm import bpe, langid, packing, toxicity
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,24 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    return langid.identify(documents(spark, sf_dir))
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded."""
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text."""
+    return toxicity.detect(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text packed into sequences of 2048 ids."""
