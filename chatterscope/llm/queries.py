@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, langid, packing, toxicity
+from chatterscope.llm import bpe, exact, langid, packing, toxicity
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the one that stays for its text."""
+    return exact.deduplicate(documents(spark, sf_dir))
+
+
+ORACLE["op4_exact"] = """
+with d as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from d
+"""
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text."""
