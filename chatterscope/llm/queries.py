@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, exact, langid, packing, toxicity
+from chatterscope.llm import bpe, exact, langid, minhash, packing, toxicity
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text packed into sequences of 2048 ids."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: three-word shingles, likeness 0.85."""
+    return minhash.components(documents(spark, sf_dir), minhash.Likeness(3, 85))
