@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, exact, langid, minhash, packing, toxicity
+from chatterscope.llm import bpe, exact, langid, minhash, packing, suffix, toxicity
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document: three-word shingles, likeness 0.85."""
     return minhash.components(documents(spark, sf_dir), minhash.Likeness(3, 85))
+
+
+@query
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 400 bytes that occur elsewhere."""
+    return suffix.removals(documents(spark, sf_dir))
