@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, exact, langid, minhash, packing, suffix, toxicity
+from chatterscope.llm import bpe, exact, fingerprint, langid, minhash, packing, suffix, toxicity
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to strings of 400 bytes that occur elsewhere."""
     return suffix.removals(documents(spark, sf_dir))
+
+
+@query
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, beside those of its edited text and of the next document."""
+    return fingerprint.fingerprints(documents(spark, sf_dir))
