@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, exact, fingerprint, langid, minhash, packing, suffix, toxicity
+from chatterscope.llm import bpe, chunks, exact, fingerprint, langid, minhash, packing, suffix, toxicity, unigram
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to runs of chunks that occurred before."""
+    return chunks.removals(documents(spark, sf_dir))
+
+
 @query
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text."""
@@ -71,6 +77,12 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(documents(spark, sf_dir))
 
 
+@query
+def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of unigram pieces of every text."""
+    return unigram.counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, beside those of its edited text and of the next document."""
