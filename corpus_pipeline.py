@@ -1,19 +1,67 @@
-"""The corpus pipeline: five stages over `documents`, each calling one operator of the llm package."""
+"""The corpus pipeline: five stages over `documents`, each calling one operator of the llm package.
+
+A stage gets what the one before kept, reread from Parquet, with the columns of `documents`; its
+decisions take effect on rows or texts. Rows without doc_id go through like others; rows that repeat
+doc_id and text leave with the exact copies. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chatterscope.llm import exact, langid, minhash, packing, suffix
+from chatterscope.llm.shared import documents, stored
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
-#: No SQL: suffix arrays, packing and learned profiles are tested against brute force instead.
+
+#: Cosine with its language from which a text is taken for language at all.
+LEAST_LANGUAGE = 0.01
+#: Five words, 0.8.
+NEAR = minhash.Likeness(5, 80)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages of the corpus; those without a letter go."""
+    return langid.accepted(docs, LEAST_LANGUAGE)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, that with the largest doc_id."""
+    return exact.distinct(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id."""
+    return minhash.representatives(docs, NEAR)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes and more that occur elsewhere too; none goes as a whole."""
+    return suffix.without_repeats(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences of 2048 ids: a row for each piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("sequences", sequences),
+]
+#: No SQL: learned profiles, near copies and packing are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents; what each gives is written to the shared folder and reread."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
