@@ -43,7 +43,7 @@ REMEMBERED = 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """Byte-level vocabularies spell printable Latin-1 bytes as themselves, others from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(0x100, 0x200))
@@ -81,8 +81,8 @@ class Merges:
         self.strings = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
         self.ranks = {ids[x] << 32 | ids[y]: rank for rank, (x, y) in enumerate(model["merges"])}
         self.merged = [ids[x + y] for x, y in model["merges"]]
-        self.inner = [ids[s] for s in _byte_symbols()]
-        self.last = [ids[s + suffix] for s in _byte_symbols()]
+        self.inner = [ids[s] for s in byte_symbols()]
+        self.last = [ids[s + suffix] for s in byte_symbols()]
         pattern = _word_pattern(spec["pre_tokenizer"])
         self.pattern = regex.compile(pattern)
         letters, digits, self.lower = _newer()

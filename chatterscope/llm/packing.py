@@ -14,6 +14,7 @@ are packed one by one, extra columns are ignored, no rows give no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -21,42 +22,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from chatterscope.llm.bpe import WHITE
+from chatterscope.llm.bpe import WHITE, byte_symbols
 from chatterscope.llm.shared import stored, text_of
 
 SIZE = 2048
 #: Width of the bins of lengths that patterns are made of.
 BIN = 16
 #: Remembered runs in a worker; a full memory is emptied, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Fixed value: the pattern by which byte-level tokenizers of this kind split text.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class Ids:
-    """Ids of whole texts as little-endian 32-bit bytes, by the tokenizers library.
+    """Ids of whole texts as little-endian 32-bit bytes, those that the tokenizers library gives.
 
-    No token of a byte-level vocabulary reaches from other characters over to white space after them,
-    so a text is encoded in runs of white space and what follows, which are remembered.
+    The file's ids are ranks of its merges, so the tiktoken library, which is faster on short strings,
+    encodes with the same vocabulary. No token of a byte-level vocabulary reaches from other characters
+    over to white space after them, so a text is encoded in runs of white space and what follows, which
+    are remembered.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spelled = {s: b for b, s in enumerate(byte_symbols())}
+        self.encoding = tiktoken.Encoding(
+            "file",
+            pat_str=_WORDS,
+            mergeable_ranks={bytes(spelled[c] for c in s): i for s, i in spec["model"]["vocab"].items()},
+            special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]},
+        )
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]))
         self.runs: dict[str, bytes] = {}
         self.remembered = remembered
         white = re.escape(WHITE)
         self.split = re.compile(f"[{white}]*[^{white}]+|[{white}]+").findall
 
     def _run(self, run: str) -> bytes:
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+        ids = self.encoding.encode(run, allowed_special="all") if self.special.search(run) else self.encoding.encode_ordinary(run)
         if len(self.runs) >= self.remembered:
             self.runs.clear()
         found = self.runs[run] = np.array(ids, "<u4").tobytes()

@@ -94,3 +94,16 @@ def test_rows(spark):
         assert {(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts)} == by_doc[i]
     assert len(got) == want
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_equal_library_on_all_texts(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert np.frombuffer(packing.ids_for(PATH).of(r.text), "<u4").tolist() == LIBRARY.encode(r.text, add_special_tokens=False).ids
+
+
+def test_ids_equal_library_on_every_letter():
+    """Characters of each kind, alone and after others, where two libraries' tables might differ."""
+    every = [chr(c) for c in [*range(0x3000), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1F000, 0x1F700), 0x323B0]]
+    texts = ["a".join(every[i : i + 50]) + " ".join(every[i : i + 50]) for i in range(0, len(every), 50)]
+    wrong = [t for t in texts if np.frombuffer(packing.ids_for(PATH).of(t), "<u4").tolist() != LIBRARY.encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[0]
