@@ -49,15 +49,15 @@ def newest_activity(activity: DataFrame, limits: dict[str, int]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def first_activity(activity: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """`(redditor, first_activity)`: the oldest of each user's newest items."""
-    return newest_activity(activity, limits).groupBy("redditor").agg(
-        F.min("created_utc").alias("first_activity")
-    )
+def first_activity(activity: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """`(redditor, first_activity)`: the oldest of each user's items, or, with `limits`, of the newest
+    ones that a harvest of so many items would see."""
+    seen = newest_activity(activity, limits) if limits else activity
+    return seen.groupBy("redditor").agg(F.min("created_utc").alias("first_activity"))
 
 
 def dormancy(
-    users: DataFrame, activity: DataFrame, limits: dict[str, int], as_of: int
+    users: DataFrame, activity: DataFrame, as_of: int, limits: dict[str, int] | None = None
 ) -> DataFrame:
     """Days from account creation to first activity; a user without activity counts to `as_of`."""
     seen = first_activity(activity, limits)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterscope.functions.text import normalized
-from chatterscope.operators.joins import salt, salt_count
+
+#: Keys that are broadcast on the way back: the most frequent ones, 32 bytes each.
+HOT_KEYS = 1000
 
 
 def digest(*keys: Column) -> Column:
@@ -24,22 +26,17 @@ def digest(*keys: Column) -> Column:
 def duplicate_ids(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     """Ids of the rows that share their normalised key with another row.
 
-    Counting is done per (key, salt) with map-side combine and then summed per key, so a key that
-    holds a third of the rows never meets in one task: the summing window sees at most one row per
-    salt, and the final join is spread by the salt.
+    Counting combines map-side, so a hot key sends one row per task. On the way back the most
+    frequent keys, a fixed number of them, are broadcast: their rows are known to be duplicates and
+    are not shuffled at all. No key that is left holds more than one row in `HOT_KEYS`.
     """
-    rows = df.select(
-        row_id,
-        digest(*(F.col(k) for k in keys)).alias("_key"),
-        salt([row_id], salt_count(df.sparkSession)).alias("_salt"),
-    ).where(F.col("_key").isNotNull())
-    counted = rows.groupBy("_key", "_salt").agg(F.count("*").alias("_n"))
-    repeated = (
-        counted.withColumn("_total", F.sum("_n").over(Window.partitionBy("_key")))
-        .where(F.col("_total") > 1)
-        .select("_key", "_salt")
-    )
-    return rows.join(repeated, ["_key", "_salt"], "left_semi").select(row_id)
+    rows = df.select(row_id, digest(*(F.col(k) for k in keys)).alias("_key")).where(F.col("_key").isNotNull())
+    counted = rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    repeated = counted.where(F.col("_n") > 1)
+    hot = repeated.orderBy(F.col("_n").desc(), "_key").limit(HOT_KEYS).select("_key")
+    known = rows.join(F.broadcast(hot), "_key", "left_semi").select(row_id)
+    others = rows.join(F.broadcast(hot), "_key", "left_anti")
+    return known.unionByName(others.join(repeated.select("_key"), "_key", "left_semi").select(row_id))
 
 
 def flag_duplicates(

@@ -8,41 +8,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterscope.functions.text import strip, tokens
-from chatterscope.operators.joins import dictionary_join, fits_broadcast
+from chatterscope.functions.text import bound, strip, tokens
+from chatterscope.operators.joins import dictionary_join, measured
 
 ENTITY = "struct<pos:int,phrase:string,label:string>"
 
 
-def gazetteer_matches(
-    texts: DataFrame, gazetteer: DataFrame, key: str, text: str, small: bool | None = None
-) -> DataFrame:
+def gazetteer_matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
     """One row per entity found: `_id, pos, phrase, label`.
 
-    `gazetteer(phrase, label)`: unique phrases, tokens joined by one space. Of the phrases that
-    start at one token the longest stands; a match that begins before the end of one that started
-    earlier is dropped. Tokens that begin no phrase are dropped by a semi join before any longer
-    candidate is built, so only candidates and hits grow, and only hits are shuffled.
+    `gazetteer(phrase, label)`: tokens joined by one space; of a repeated phrase the first label by
+    name counts. Of the phrases that start at one token the longest stands; a match that begins
+    before the end of one that started earlier is dropped. Tokens that open no phrase are dropped by
+    a join before what follows them is put together, and each opening token is followed only for the
+    lengths of phrases that it opens, so one long phrase does not widen other rows.
     """
-    if small is None:
-        small = fits_broadcast(gazetteer)
-    phrases = gazetteer.select("phrase", "label", F.size(F.split("phrase", " ")).alias("n"))
-    longest = phrases.agg(F.max("n")).first()[0] or 1
-    openings = phrases.select(F.substring_index("phrase", " ", 1).alias("t0")).distinct()
+    phrases = gazetteer.groupBy("phrase").agg(F.min("label").alias("label"))
+    phrases = phrases.withColumn("n", F.size(F.split("phrase", " ")))
+    small, (longest,) = measured(phrases, F.max("n"))
+    opening = F.substring_index("phrase", " ", 1).alias("t0")
+    openings = phrases.groupBy(opening).agg(F.array_sort(F.collect_set("n")).alias("sizes"))
     toks = F.col("_tokens")
-    shifted = [F.slice(toks, i + 1, F.size(toks)).alias(f"t{i}") for i in range(longest)]
     starts = (
         texts.select(F.col(key).alias("_id"), tokens(F.col(text)).alias("_tokens"))
-        .select("_id", F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "_t"))
-        .select("_id", "pos", "_t.*")
+        .select("_id", "_tokens", F.posexplode_outer(toks).alias("pos", "t0"))
         .where(F.col("t0").isNotNull())
+        .select("_id", "pos", "t0", F.slice(toks, F.col("pos") + 1, longest or 1).alias("_ahead"))
     )
-    starts = dictionary_join(starts, openings, "t0", "left_semi", small, ["_id", "pos"])
-    grams = [
-        F.when(F.col(f"t{n - 1}").isNotNull(), F.concat_ws(" ", *(f"t{i}" for i in range(n))))
-        for n in range(1, longest + 1)
-    ]
-    candidates = starts.select("_id", "pos", F.explode_outer(F.array_compact(F.array(*grams))).alias("phrase"))
+    starts = dictionary_join(starts, openings, "t0", "inner", small, ["_id", "pos"])
+    ahead = F.col("_ahead")
+    fits = F.filter("sizes", lambda n: n <= F.size(ahead))
+    grams = F.transform(fits, lambda n: F.array_join(F.slice(ahead, F.lit(1), n), " "))
+    candidates = starts.select("_id", "pos", F.explode(grams).alias("phrase"))
     hits = dictionary_join(candidates, phrases, "phrase", "inner", small, ["_id", "pos"])
     in_order = Window.partitionBy("_id").orderBy("pos", F.col("n").desc())
     earlier_end = F.max(F.col("pos") + F.col("n")).over(
@@ -56,14 +53,12 @@ def gazetteer_matches(
     )
 
 
-def entities(
-    texts: DataFrame, gazetteer: DataFrame, key: str, text: str, small: bool | None = None
-) -> DataFrame:
+def entities(texts: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
     """`(key, entities)` for the texts with at least one match, entities in text order.
 
     The collected list is bounded by the words of one text.
     """
-    found = gazetteer_matches(texts, gazetteer, key, text, small)
+    found = gazetteer_matches(texts, gazetteer, key, text)
     return _per_text(found, key)
 
 
@@ -73,15 +68,18 @@ def _per_text(found: DataFrame, key: str) -> DataFrame:
 
 
 def shape_entities(text: Column) -> Column:
-    """Maximal runs of capitalised tokens that do not open the text or a sentence. Row-local."""
-    toks = tokens(text)
+    """Maximal runs of capitalised tokens that do not open the text or a sentence. Row-local; the
+    tokens are bound, so that a text is tokenised once and not once for each of its words."""
+
+    def marked(toks: Column) -> Column:
+        def capital_or_break(word: Column, i: Column) -> Column:
+            previous = F.get(toks, i - 1)
+            inner = previous.isNotNull() & ~previous.isin(".", "!", "?")
+            return F.when(inner & word.rlike(r"^\p{Lu}"), word).otherwise("\n")
 
-    def capital_or_break(word: Column, i: Column) -> Column:
-        previous = F.get(toks, i - 1)
-        inner = previous.isNotNull() & ~previous.isin(".", "!", "?")
-        return F.when(inner & word.rlike(r"^\p{Lu}"), word).otherwise("\n")
+        return F.array_join(F.transform(toks, capital_or_break), " ")
 
-    runs = F.split(F.array_join(F.transform(toks, capital_or_break), " "), "\n")
+    runs = F.split(bound(tokens(text), marked), "\n")
     return F.filter(F.transform(runs, strip), lambda r: r != "")
 
 

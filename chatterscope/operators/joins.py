@@ -8,14 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A side is broadcast up to so many rows and up to this share of an executor's memory.
 BROADCAST_ROW_LIMIT = 1_000_000
-BROADCAST_BYTE_LIMIT = 128 * 1024 * 1024
+BROADCAST_SHARE = 1 / 16
 _SALT = "_salt"
 
 
 def salt_count(spark: SparkSession) -> int:
-    """As many salts as shuffle partitions (within bounds): a hot key then fills the cluster."""
-    return max(8, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """As many salts as shuffle partitions: a hot key then fills the cluster."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def salt(row_id: Sequence[str], salts: int) -> Column:
@@ -23,19 +24,24 @@ def salt(row_id: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
 
 
-def fits_broadcast(dim: DataFrame) -> bool:
-    """Measure a small side before broadcasting it: rows and text bytes, in one pass.
+def _executor_bytes(spark: SparkSession) -> int:
+    said = spark.conf.get("spark.executor.memory", "1g").strip().lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(said[:-1]) * unit[said[-1]] if said[-1] in unit else int(said) << 20
 
-    The limit on the probe keeps the check itself cheap on a side that is far too large.
-    """
+
+def measured(dim: DataFrame, *more: Column) -> tuple[bool, tuple]:
+    """Whether a side may be broadcast, by its rows and text bytes, and further aggregates of it, all
+    in one pass."""
     widths = (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in dim.columns)
-    rows, size = (
-        dim.select(reduce(Column.__add__, widths).alias("w"))
-        .limit(BROADCAST_ROW_LIMIT + 1)
-        .agg(F.count("*"), F.sum("w"))
-        .first()
-    )
-    return rows <= BROADCAST_ROW_LIMIT and (size or 0) <= BROADCAST_BYTE_LIMIT
+    size = F.sum(reduce(Column.__add__, widths))
+    rows, total, *rest = dim.agg(F.count("*"), size, *more).first()
+    limit = _executor_bytes(dim.sparkSession) * BROADCAST_SHARE
+    return rows <= BROADCAST_ROW_LIMIT and (total or 0) <= limit, tuple(rest)
+
+
+def fits_broadcast(dim: DataFrame) -> bool:
+    return measured(dim)[0]
 
 
 def dictionary_join(
@@ -43,13 +49,17 @@ def dictionary_join(
 ) -> DataFrame:
     """Look words up in a dictionary table keyed by `on` (unique in `dim`).
 
-    Measured small: broadcast, so the exploded words are never shuffled. Otherwise both sides are
-    shuffled on (word, salt), with the dictionary repeated once per salt, because word frequencies
-    are always skewed.
+    Measured small: broadcast, so the exploded words are never shuffled. Otherwise the dictionary is
+    first cut down to the words that occur, which combine map-side; where those are few enough they
+    are broadcast. Else both sides are shuffled on (word, salt), with the words that occur repeated
+    once per salt, because word frequencies are always skewed.
     """
     if small:
         return rows.join(F.broadcast(dim), on, how)
-    salts = min(64, salt_count(rows.sparkSession))
+    dim = dim.join(rows.select(on).distinct(), on, "left_semi")
+    if fits_broadcast(dim):
+        return rows.join(F.broadcast(dim), on, how)
+    salts = salt_count(rows.sparkSession)
     copies = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn(_SALT, salt(row_id, salts)).join(copies, [on, _SALT], how).drop(_SALT)
 
@@ -59,12 +69,16 @@ def attach(
 ) -> DataFrame:
     """Join `right` (unique on `on`) to `left`, whose keys may be arbitrarily hot.
 
-    The keys present on the left are reduced to distinct (key, salt) pairs, at most `salts` per
+    A right side that is measured small is broadcast, and `left` is neither shuffled nor read twice.
+    Otherwise: the keys present on the left are reduced to distinct (key, salt) pairs, at most `salts` per
     key, and only those meet `right` on the bare key. The wide rows are then shuffled once, on
     (key, salt), so a key holding a third of all rows is spread over `salts` tasks.
     `how`: inner, left, left_semi or left_anti.
     """
     on = list(on)
+    needed = right.select(*on) if how in ("left_semi", "left_anti") else right
+    if fits_broadcast(needed):
+        return left.join(F.broadcast(needed), on, how)
     salts = salt_count(left.sparkSession)
     salted = left.withColumn(_SALT, salt(row_id, salts))
     pairs = salted.select(*on, _SALT).distinct()

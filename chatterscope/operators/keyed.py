@@ -60,12 +60,14 @@ def profiles(sightings: DataFrame) -> DataFrame:
 
     Columns: `name`, `role` ('submission' or 'comment'), `seq`, and the profile. A submission
     author's profile replaces what was there; a comment author's is only added when absent. So the
-    last submission-author sighting wins, and without one the first comment-author sighting.
+    last submission-author sighting wins, and without one the first comment-author sighting. Equal
+    sightings are told apart by all their columns, so the result does not depend on partitions.
     """
     posted = F.col("role") == "submission"
     order = [
         posted.desc(),
         F.when(posted, F.col("seq")).desc(),
         F.when(~posted, F.col("seq")).asc(),
+        *(F.col(c).asc() for c in sightings.columns if c not in ("name", "role", "seq")),
     ]
     return latest(sightings, ["name"], order)

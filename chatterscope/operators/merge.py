@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 from chatterscope.operators.checks import require_unique
 from chatterscope.operators.keyed import latest
 
+_STORED = "_stored"
+
 
 def upsert(
     target: DataFrame, updates: DataFrame, key: str, order: Sequence[Column]
 ) -> DataFrame:
-    """Replace or add rows by key; a key repeated in the batch keeps its first row in `order`."""
-    fresh = latest(updates, [key], order).select(*target.columns)
-    kept = target.join(fresh.select(key), key, "left_anti").select(*target.columns)
-    return kept.unionByName(fresh)
+    """Replace or add rows by key; a key repeated in the batch keeps its first row in `order`.
+
+    Stored and new rows are ranked together, new ones first, so each side is computed once and both
+    are shuffled once, by key. `key` is unique in `target` and not null.
+    """
+    both = target.withColumn(_STORED, F.lit(True)).unionByName(
+        updates.withColumn(_STORED, F.lit(False)), allowMissingColumns=True
+    )
+    return latest(both, [key], [F.col(_STORED).asc(), *order]).select(*target.columns)
 
 
 def upsert_users(target: DataFrame, updates: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Upsert by id, then require that no two ids carry one name."""
-    return require_unique(upsert(target, updates, "redditor_id", order), "redditor")
+    """Upsert by id, then require that no two ids carry one name; the check reads ids and names only."""
+    merged = upsert(target, updates, "redditor_id", order)
+    require_unique(merged.select("redditor_id", "redditor"), "redditor")
+    return merged

@@ -198,16 +198,14 @@ def _apply_rules(hits: DataFrame, rules: Rules) -> DataFrame:
 
 
 def word_valences(
-    texts: DataFrame, lexicon: DataFrame, key: str, text: str, rules: Rules = Rules(),
-    small: bool | None = None,
+    texts: DataFrame, lexicon: DataFrame, key: str, text: str, rules: Rules = Rules()
 ) -> DataFrame:
     """One row per lexicon word found: `_id, w, _pos, v, _part, _emphasis`.
 
-    `lexicon(token, valence)`: tokens lower-case and unique. `small` skips the size check.
+    `lexicon(token, valence)`: tokens lower-case; of a repeated one the largest valence counts.
     """
-    if small is None:
-        small = fits_broadcast(lexicon)
-    known = lexicon.select("token", F.col("valence").cast("double").alias("v"))
+    known = lexicon.groupBy("token").agg(F.max(F.col("valence").cast("double")).alias("v"))
+    small = fits_broadcast(known)
     place = ["_id", "_pos"]
     rows = _neighbourhood(texts, key, text, rules).withColumn("token", F.lower("w"))
     hits = dictionary_join(rows, known, "token", "inner", small, place).drop("token")
@@ -222,15 +220,14 @@ def word_valences(
 
 
 def sentiment(
-    texts: DataFrame, lexicon: DataFrame, key: str, text: str, rules: Rules = Rules(),
-    small: bool | None = None,
+    texts: DataFrame, lexicon: DataFrame, key: str, text: str, rules: Rules = Rules()
 ) -> DataFrame:
     """`(key, compound)` for the texts with at least one lexicon word; the others score 0.0.
 
     A repeated word is judged by the surroundings of its first occurrence, as the scorer does. The
     sum runs in DECIMAL, so it does not depend on the order in which partitions arrive.
     """
-    valences = word_valences(texts, lexicon, key, text, rules, small)
+    valences = word_valences(texts, lexicon, key, text, rules)
     per_word = (
         valences.repartition("_id")
         .groupBy("_id", "w")

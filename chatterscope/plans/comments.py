@@ -22,7 +22,7 @@ def distinct_bodies(comments: DataFrame) -> DataFrame:
 
 def analyse_texts(
     texts: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, key: str, text: str,
-    rules: Rules = Rules(), small: bool | None = None,
+    rules: Rules = Rules(),
 ) -> DataFrame:
     """Add `sentiment, named_entities, lexical_diversity, common_bigrams`; `key` is unique.
 
@@ -36,8 +36,8 @@ def analyse_texts(
     )
     joined = (
         local.drop("_ld")
-        .join(sentiment(texts, lexicon, key, text, rules, small), key, "left")
-        .join(entities(texts, gazetteer, key, text, small), key, "left")
+        .join(sentiment(texts, lexicon, key, text, rules), key, "left")
+        .join(entities(texts, gazetteer, key, text), key, "left")
     )
     compound = F.coalesce("compound", F.lit(0.0))
     known = F.col("_score").isNotNull()
@@ -56,8 +56,7 @@ def _with_duplicate_flag(analysed: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def comment_analysis(
-    comments: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules(),
-    small: bool | None = None,
+    comments: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """All comment columns plus the four text measures and the duplicate flag.
 
@@ -66,20 +65,19 @@ def comment_analysis(
     A null body keeps its row, with null measures.
     """
     stripped = comments.withColumn("_text", tx.strip(F.col("body")))
-    analysed = analyse_texts(stripped, lexicon, gazetteer, "comment_id", "_text", rules, small)
+    analysed = analyse_texts(stripped, lexicon, gazetteer, "comment_id", "_text", rules)
     return _with_duplicate_flag(analysed.drop("_text"), comments)
 
 
 def comment_analysis_per_text(
-    comments: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules(),
-    small: bool | None = None,
+    comments: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """The same result with each distinct body analysed once and the results joined back.
 
     Worth it when many bodies repeat: it trades repeated analysis for one more shuffle of the text.
     """
     texts = distinct_bodies(comments)
-    measures = analyse_texts(texts, lexicon, gazetteer, "text_key", "text", rules, small).drop("text")
+    measures = analyse_texts(texts, lexicon, gazetteer, "text_key", "text", rules).drop("text")
     keyed = comments.withColumn("text_key", F.sha2(tx.strip(F.col("body")), 256))
     # An empty body is no text to analyse; it shows what an all-blank one would.
     blank = {

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterscope import schemas
+from chatterscope.operators.checks import counted, require_rows
 from chatterscope.operators.gates import admit_comments, admit_submissions
 from chatterscope.operators.keyed import latest
 from chatterscope.operators.merge import upsert, upsert_users
@@ -21,18 +25,37 @@ class Tables:
     submissions: DataFrame
     comments: DataFrame
 
-    def publish(self, root: str) -> None:
-        """Write a new snapshot of all three tables."""
+    def publish(self, root: str) -> dict[str, int]:
+        """Write a new snapshot of all three tables; the rows of each, counted while written."""
+        rows = {}
         for name in ("users", "submissions", "comments"):
-            write_table(getattr(self, name), root, name)
+            table, seen = counted(getattr(self, name), f"{name}-{uuid.uuid4()}")
+            write_table(table, root, name)
+            rows[name] = seen.get["rows"]
+        return rows
 
 
 @dataclass(frozen=True)
 class Landed:
-    """Parsed landing records: users keyed by name, submissions with nested comments."""
+    """Parsed landing records: users keyed by name, submissions with nested comments, and what could
+    not be read (kind, file, json, reason)."""
 
     users: DataFrame
     submissions: DataFrame
+    rejects: DataFrame
+
+
+def parse_landing(users: DataFrame, submissions: DataFrame) -> Landed:
+    """Landed records of both kinds (key where the layout has one, json, file, place), parsed."""
+    rejects = (
+        landing.rejected_records(records, schema).select(F.lit(kind).alias("kind"), "file", "json", "reason")
+        for kind, records, schema in (
+            ("user", users, schemas.LANDED_USER), ("submission", submissions, schemas.LANDED_SUBMISSION)
+        )
+    )
+    return Landed(
+        landing.parse_users(users), landing.parse_submissions(submissions), reduce(DataFrame.unionByName, rejects)
+    )
 
 
 def read_landing(
@@ -40,37 +63,60 @@ def read_landing(
 ) -> Landed:
     """Read landed files of one or more communities (all of them, appended).
 
-    `indented` is the harvest's own single-object layout, `lines` one record per line.
+    `indented` is the harvest's own single-object layout, `objects` the same in any other layout, `lines`
+    one record per line.
     """
-    if layout not in ("indented", "lines"):
+    layouts = {"indented": landing.read_indented, "objects": landing.read_objects, "lines": landing.read_lines}
+    if layout not in layouts:
         raise ValueError(f"unsupported layout: {layout}")
-    read = landing.read_indented if layout == "indented" else landing.read_lines
-    return Landed(
-        landing.parse_users(read(spark, users)), landing.parse_submissions(read(spark, submissions))
-    )
+    read = layouts[layout]
+    return parse_landing(read(spark, users), read(spark, submissions))
+
+
+def landed_comments(submissions: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Comments by people under the last record of each submission, with its `place`."""
+    posts = landing.latest_submissions(submissions, order)
+    return landing.written_by_people(landing.flatten_comments(posts, carry=["place"]))
+
+
+def accepted_names(users: DataFrame) -> DataFrame:
+    """`redditor` of the users that can be stored."""
+    return landing.with_id(users).select(F.col("key").alias("redditor"))
+
+
+def load_counts(landed: Landed) -> DataFrame:
+    """`(what, n)`: rows a load finds, accepts and rejects."""
+    flat = landing.written_by_people(landing.flatten_comments(landed.submissions))
+    counted_rows = {
+        "users found": landed.users, "users accepted": landing.with_id(landed.users),
+        "submissions found": landed.submissions, "comments kept": flat, "records rejected": landed.rejects,
+    }
+    # Grouped by their name, the counts need one job; a name without rows is not listed.
+    named = (df.select(F.lit(what).alias("what")) for what, df in counted_rows.items())
+    return reduce(DataFrame.unionByName, named).groupBy("what").agg(F.count("*").alias("n"))
 
 
 def ingest(
     landed: Landed, stored: Tables, gate: str = "row", order: Sequence[Column] | None = None
 ) -> Tables:
-    """Merge landed records into the stored tables; lazy apart from the name check.
+    """Merge landed records into the stored tables; lazy apart from two checks: there must be users and
+    submissions to load, and names must stay unique.
 
-    `order` ranks records of one key, the winner first; the default takes the last file by name.
+    `order` ranks records of one key, the winner first; the default takes the one that stands last,
+    files by name.
     """
-    order = list(order) if order else [F.col("file").desc()]
+    require_rows(landed.users, "users")
+    require_rows(landed.submissions, "submissions")
+    order = list(order) if order else [F.col("place").desc()]
     accepted = landing.with_id(landed.users)
     names = landed.users.select(F.col("key").alias("redditor"))
-    user_rows = landing.to_user_rows(
-        latest(accepted, ["redditor_id"], order), carry=["file"]
-    )
+    user_rows = landing.to_user_rows(latest(accepted, ["redditor_id"], order), carry=["place"])
     posts = landing.latest_submissions(landed.submissions, order)
-    admitted = admit_submissions(landing.to_submission_rows(posts, carry=["file"]), names, gate)
-    flat = landing.written_by_people(landing.flatten_comments(posts, carry=["file"]))
-    new = admit_comments(
-        flat, accepted.select(F.col("key").alias("redditor")), stored.comments, gate
-    )
+    admitted = admit_submissions(landing.to_submission_rows(posts, carry=["place"]), names, gate)
+    flat = landed_comments(landed.submissions, order)
+    new = admit_comments(flat, accepted_names(landed.users), stored.comments, gate)
     return Tables(
-        upsert_users(stored.users, user_rows, [F.col("file").desc()]),
-        upsert(stored.submissions, admitted, "submission_id", [F.col("file").desc()]),
-        upsert(stored.comments, new, "comment_id", [F.col("file").desc()]),
+        upsert_users(stored.users, user_rows, [F.col("place").desc()]),
+        upsert(stored.submissions, admitted, "submission_id", [F.col("place").desc()]),
+        upsert(stored.comments, new, "comment_id", [F.col("place").desc()]),
     )

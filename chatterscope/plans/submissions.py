@@ -23,8 +23,7 @@ def submissions_of_known_users(submissions: DataFrame, users: DataFrame) -> Data
 
 
 def submission_analysis(
-    submissions: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules(),
-    small: bool | None = None,
+    submissions: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """All submission columns plus title measures and the duplicate flag.
 
@@ -32,8 +31,8 @@ def submission_analysis(
     ratio over raw tokens, entities are bracketed with their label, and the flag is a boolean.
     """
     toks = tx.tokens(F.col("title"))
-    scores = sentiment(submissions, lexicon, "submission_id", "title", rules, small)
-    found = entities(submissions, gazetteer, "submission_id", "title", small)
+    scores = sentiment(submissions, lexicon, "submission_id", "title", rules)
+    found = entities(submissions, gazetteer, "submission_id", "title")
     marks = duplicate_ids(submissions, ["author", "title", "url"], "submission_id").withColumn(
         "is_duplicate", F.lit(True)
     )
@@ -64,7 +63,7 @@ def submission_analysis(
 
 def submission_report(
     submissions: DataFrame, users: DataFrame, lexicon: DataFrame, gazetteer: DataFrame,
-    rules: Rules = Rules(), small: bool | None = None,
+    rules: Rules = Rules(),
 ) -> DataFrame:
     """The analysis of the submissions of known users.
 
@@ -74,5 +73,5 @@ def submission_report(
     """
     authors = submissions.select("submission_id", "author")
     admitted = submissions_of_known_users(authors, users).select("submission_id")
-    analysis = submission_analysis(submissions, lexicon, gazetteer, rules, small)
+    analysis = submission_analysis(submissions, lexicon, gazetteer, rules)
     return analysis.join(admitted, "submission_id", "left_semi")

@@ -3,54 +3,67 @@
 from pyspark.sql import types as T
 
 
-_TYPES = {
-    "string": T.StringType(),
-    "int": T.IntegerType(),
-    "bigint": T.LongType(),
-    "double": T.DoubleType(),
-    "boolean": T.BooleanType(),
-    "array<map<string,string>>": T.ArrayType(T.MapType(T.StringType(), T.StringType())),
-}
-
-
-def _schema(spec: str) -> T.StructType:
-    """Built by hand because the DDL reader needs a running session at import."""
-    fields = (field.split() for field in spec.split(", "))
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
-
-
-USERS = _schema(
-    "redditor_id string, redditor string, created_utc bigint, link_karma int, "
-    "comment_karma int, total_karma int, is_employee boolean, is_mod boolean, "
-    "is_gold boolean, dormant_days int, has_verified_email boolean, "
-    "accepts_followers boolean, redditor_is_subscriber boolean"
+def _fields(kind: T.DataType, names: str) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name in names.split()]
+
+
+_TEXT, _INT, _LONG, _REAL, _FLAG = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+
+USERS = T.StructType(
+    [
+        *_fields(_TEXT, "redditor_id redditor"),
+        *_fields(_LONG, "created_utc"),
+        *_fields(_INT, "link_karma comment_karma total_karma"),
+        *_fields(_FLAG, "is_employee is_mod is_gold"),
+        *_fields(_INT, "dormant_days"),
+        *_fields(_FLAG, "has_verified_email accepts_followers redditor_is_subscriber"),
+    ]
 )
 
-SUBMISSIONS = _schema(
-    "submission_id string, author string, title string, submission_score int, url string, "
-    "submission_created_utc bigint, over_18 boolean"
+SUBMISSIONS = T.StructType(
+    [
+        *_fields(_TEXT, "submission_id author title"),
+        *_fields(_INT, "submission_score"),
+        *_fields(_TEXT, "url"),
+        *_fields(_LONG, "submission_created_utc"),
+        *_fields(_FLAG, "over_18"),
+    ]
 )
 
-COMMENTS = _schema(
-    "comment_id string, comment_author string, comment_created_utc bigint, body string, "
-    "comment_score int, is_submitter boolean, edited boolean, link_id string"
+COMMENTS = T.StructType(
+    [
+        *_fields(_TEXT, "comment_id comment_author"),
+        *_fields(_LONG, "comment_created_utc"),
+        *_fields(_TEXT, "body"),
+        *_fields(_INT, "comment_score"),
+        *_fields(_FLAG, "is_submitter edited"),
+        *_fields(_TEXT, "link_id"),
+    ]
 )
 
 # Landed numbers may be floats (times, floored day counts), so they are read as DOUBLE and
 # narrowed on load. `user_is_moderator` belongs to the harvested profile, not to the table.
-LANDED_USER = _schema(
-    "redditor_id string, redditorname string, created_utc double, link_karma double, "
-    "comment_karma double, total_karma double, is_employee boolean, is_mod boolean, "
-    "is_gold boolean, dormant_days double, has_verified_email boolean, "
-    "accept_followers boolean, redditor_is_subscriber boolean, user_is_moderator boolean"
+LANDED_USER = T.StructType(
+    [
+        *_fields(_TEXT, "redditor_id redditorname"),
+        *_fields(_REAL, "created_utc link_karma comment_karma total_karma"),
+        *_fields(_FLAG, "is_employee is_mod is_gold"),
+        *_fields(_REAL, "dormant_days"),
+        *_fields(_FLAG, "has_verified_email accept_followers redditor_is_subscriber user_is_moderator"),
+    ]
 )
 
 # A comment is read as a map so that a missing key differs from a null value, and so that
 # `edited` (false, or the time of the edit) keeps its text.
-LANDED_SUBMISSION = _schema(
-    "submission_id string, author string, title string, submission_score double, "
-    "url string, submission_created_utc double, over_18 boolean, "
-    "comments array<map<string,string>>"
+LANDED_SUBMISSION = T.StructType(
+    [
+        *_fields(_TEXT, "submission_id author title"),
+        *_fields(_REAL, "submission_score"),
+        *_fields(_TEXT, "url"),
+        *_fields(_REAL, "submission_created_utc"),
+        *_fields(_FLAG, "over_18"),
+        *_fields(T.ArrayType(T.MapType(T.StringType(), T.StringType())), "comments"),
+    ]
 )
 
 COMMENT_KEYS = tuple(f.name for f in COMMENTS)

@@ -2,7 +2,10 @@
 
 The harvest writes its object indented by four spaces. A raw line break cannot occur inside a JSON
 string, so a line break, four spaces and a closing brace always end one top-level record. Reading
-with that separator makes the single object splittable: no task holds a whole file.
+with that separator makes the single object splittable: no task holds a whole file. Objects in other
+layouts cannot be split and are read file by file (`read_objects`).
+
+Nothing is lost without a trace: what is no record is returned by `rejected_records`.
 """
 
 from __future__ import annotations
@@ -11,13 +14,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatterscope import schemas
+from chatterscope.functions.text import WHITESPACE, bound
 from chatterscope.operators.checks import require_keys
 from chatterscope.operators.keyed import latest
 
 _RECORD_END = "\n    }"
-_ENTRY = r'(?s)\A[\s{,]*?("(?:[^"\\]|\\.)*")\s*:\s*(\{.*)\z'
+#: A key that no record has.
+_MARK = "end of the stretch"
 
 
 def split_communities(spec: str) -> list[str]:
@@ -26,42 +32,102 @@ def split_communities(spec: str) -> list[str]:
 
 
 def read_indented(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """`(key, json, file)` for each top-level entry of indented JSON objects."""
+    """`(key, json, file, place)` for each top-level entry of JSON objects; see `entries`."""
     text = spark.read.option("lineSep", _RECORD_END).text(list(paths))
-    entry = text.select(
-        F.regexp_extract("value", _ENTRY, 1).alias("_key"),
-        F.regexp_extract("value", _ENTRY, 2).alias("_open"),
-        F.col("_metadata.file_path").alias("file"),
-    ).where(F.col("_key") != "")
-    # The key is itself a JSON string, so its escapes are undone by the JSON reader.
-    key = F.from_json(F.concat(F.lit('{"k":'), F.col("_key"), F.lit("}")), "k string")["k"]
-    return entry.select(key.alias("key"), F.concat("_open", F.lit(_RECORD_END)).alias("json"), "file")
+    return entries(_with_place(text))
+
+
+def read_objects(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The same for objects in any layout. A file is read whole, by one task."""
+    return entries(_with_place(spark.read.text(list(paths), wholetext=True)))
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """`(json, file)` for newline-delimited records: the layout for large feeds."""
-    return spark.read.text(list(paths)).select(
-        F.col("value").alias("json"), F.col("_metadata.file_path").alias("file")
+    """`(json, file, place)` for newline-delimited records: the layout for large feeds."""
+    return lines(_with_place(spark.read.text(list(paths))))
+
+
+def _with_place(text: DataFrame) -> DataFrame:
+    """`place` orders rows as they stand in the files, files by name. The running number is drawn where
+    the file is read: it grows along a block, and blocks are told apart by their start."""
+    start = F.coalesce(F.col("_metadata.file_block_start"), F.lit(0))
+    file = F.col("_metadata.file_path")
+    return text.select(
+        "value", file.alias("file"),
+        F.struct(file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("row")).alias("place"),
+    )
+
+
+def lines(text: DataFrame) -> DataFrame:
+    """`(json, file, place)` of the lines that are not blank."""
+    return text.where(F.trim("value", F.lit(WHITESPACE)) != "").select(F.col("value").alias("json"), "file", "place")
+
+
+def entries(text: DataFrame) -> DataFrame:
+    """`(key, json, file, place)` of each entry in stretches of JSON objects (value, file, place).
+
+    A stretch ends where the separator stood, or at the end of the file. It is closed by a mark of its
+    own and parsed as one object: only if the mark is found again has all of it been read. So entries
+    may be indented, compact, empty or null, and any number of them may share a stretch. A stretch that
+    cannot be read whole gives one row without key, and is rejected when its records are parsed.
+    """
+    inner = F.regexp_replace("value", r"\A[\s\x{feff}]*[{,]?\s*", "")
+    # The separator was cut off, or the file ends with the object's own brace.
+    inside = F.concat(F.lit("{"), inner, F.lit(_RECORD_END), F.lit(f',"{_MARK}":1}}'))
+    body = F.regexp_replace(inner, r"\s*,?\s*\}\s*\z", "")
+    at_end = F.concat(F.lit("{"), body, F.when(body != "", F.lit(",")).otherwise(""), F.lit(f'"{_MARK}":1}}'))
+    rest = F.regexp_replace(inner, r"[\s{}]", "") == ""
+    read = lambda json: bound(
+        F.map_entries(F.from_json(json, "map<string,string>")),
+        lambda e: F.when(F.exists(e, lambda x: x["key"] == _MARK), F.filter(e, lambda x: x["key"] != _MARK)),
     )
+    broken = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value").alias("value")))
+    nothing = F.filter(broken, lambda x: F.lit(False))
+    found = F.when(rest, nothing).otherwise(F.coalesce(read(inside), read(at_end), broken))
+    each = text.select("file", "place", F.posexplode(found).alias("entry", "e"))
+    return each.select(
+        F.col("e.key").alias("key"), F.coalesce("e.value", F.lit("null")).alias("json"), "file",
+        F.struct("place.*", "entry").alias("place"),
+    )
+
+
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records with their fields in `_r` and, where they are no such object, the reason in `_why`."""
+    with_corrupt = T.StructType([*schema, T.StructField("_corrupt", T.StringType())])
+    record = F.from_json("json", with_corrupt, {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = records.withColumn("_r", record)
+    is_object = F.ltrim("json", F.lit(WHITESPACE)).startswith("{")
+    why = F.when(~is_object, "not an object").when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "malformed")
+    if "key" in records.columns:
+        why = F.when(F.col("key").isNull(), "unreadable stretch").otherwise(why)
+    return parsed.withColumn("_why", why)
+
+
+def rejected_records(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """`(file, json, reason)` of what could not be read as records of that schema."""
+    return _parsed(records, schema).where("_why is not null").select("file", "json", F.col("_why").alias("reason"))
 
 
 def parse_users(records: DataFrame) -> DataFrame:
-    """Profile fields of landed user records, next to the record's other columns.
+    """Profile fields of landed user records, next to the record's other columns. What is no such
+    record is left to `rejected_records`.
 
     Without a `key` column (newline-delimited records) the profile's own name is the key.
     """
-    parsed = records.withColumn("_u", F.from_json("json", schemas.LANDED_USER))
+    parsed = _parsed(records, schemas.LANDED_USER).where("_why is null").drop("_why")
     if "key" not in records.columns:
-        parsed = parsed.withColumn("key", F.col("_u.redditorname"))
-    return parsed.select("*", "_u.*").drop("json", "_u")
+        parsed = parsed.withColumn("key", F.col("_r.redditorname"))
+    return parsed.select("*", "_r.*").drop("json", "_r", "_corrupt")
 
 
 def parse_submissions(records: DataFrame) -> DataFrame:
-    """Submission fields of landed records; `comments` stays nested."""
-    parsed = records.withColumn("_s", F.from_json("json", schemas.LANDED_SUBMISSION))
+    """Submission fields of landed records; `comments` stays nested. What is no such record is left to
+    `rejected_records`."""
+    parsed = _parsed(records, schemas.LANDED_SUBMISSION).where("_why is null").drop("_why")
+    parsed = parsed.select("*", "_r.*").drop("json", "_r", "_corrupt")
     if "key" in records.columns:
-        return parsed.select("*", "_s.*").drop("json", "_s", "submission_id").withColumnRenamed("key", "submission_id")
-    return parsed.select("*", "_s.*").drop("json", "_s")
+        return parsed.drop("submission_id").withColumnRenamed("key", "submission_id")
+    return parsed
 
 
 def truthy(value: Column) -> Column:

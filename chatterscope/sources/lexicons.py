@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterscope.functions.text import tokens
+
 # A small seed lexicon on the usual scale from -4 to 4.
 SEED = """
 good 1.9
@@ -45,18 +47,25 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """The public tab-separated layout: token, mean, deviation, raw ratings.
 
     Read as text because tokens may hold quotes and other marks a CSV reader would interpret. A
-    repeated token keeps its last line in the public loader; here the repeat has to be resolved
-    without line order, so the largest mean is kept.
+    repeated token keeps its last line, as in the public loader; files come in the order of their
+    names. A word list is small, so each file is read whole, which keeps its lines in order.
     """
-    cells = spark.read.text(path).select(F.split(F.trim("value"), "\t").alias("c"))
+    lines = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value")
+    )
+    cells = lines.select("file", "line", F.split(F.trim("value"), "\t").alias("c"))
     rows = cells.where(F.size("c") >= 2).select(
-        F.col("c")[0].alias("token"), F.col("c")[1].cast("double").alias("valence")
+        "file", "line", F.col("c")[0].alias("token"), F.col("c")[1].cast("double").alias("valence")
     )
-    return rows.groupBy("token").agg(F.max("valence").alias("valence"))
+    return rows.groupBy("token").agg(F.max_by("valence", F.struct("file", "line")).alias("valence"))
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated phrase and label; a repeated phrase keeps its first label by name."""
+    """Tab-separated phrase and label; a repeated phrase keeps its first label by name.
+
+    Phrases are tokenised like the texts they are looked up in.
+    """
     cells = spark.read.text(path).select(F.split("value", "\t").alias("c"))
-    rows = cells.where(F.size("c") >= 2).select(F.col("c")[0].alias("phrase"), F.col("c")[1].alias("label"))
+    phrase = F.array_join(tokens(F.col("c")[0]), " ")
+    rows = cells.where(F.size("c") >= 2).select(phrase.alias("phrase"), F.col("c")[1].alias("label"))
     return rows.groupBy("phrase").agg(F.min("label").alias("label"))

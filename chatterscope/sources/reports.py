@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatterscope.operators.checks import require_columns, require_rows
+from chatterscope.operators.checks import counted, require_columns
 
 # Report headers in order, with the column each one shows.
 COMMENT_HEADERS = {
@@ -68,15 +70,18 @@ def sheet(analysis: DataFrame, headers: dict[str, str]) -> DataFrame:
 
 
 def write_report(analysis: DataFrame, headers: dict[str, str], path: str, fmt: str = "parquet") -> None:
-    """Write one report; an empty analysis is an error. Row order belongs to the reader, so the
-    rows are written as they are, without a global sort."""
-    report = require_rows(sheet(analysis, headers), "rows")
+    """Write one report; an empty analysis is an error, raised when the empty sheet has been written:
+    rows are counted while they are written, so the analysis runs once. Row order belongs to the
+    reader, so the rows are written as they are, without a global sort."""
+    report, seen = counted(sheet(analysis, headers), f"report-{uuid.uuid4()}")
     writer = report.write.mode("errorifexists")
     if fmt == "csv":
         # Text cells hold line breaks and quotes: both are escaped the way spreadsheets read them.
         writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
+    if not seen.get["rows"]:
+        raise ValueError("no rows to process")
 
 
 def write_lines(df: DataFrame, path: str) -> None:

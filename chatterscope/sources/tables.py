@@ -19,16 +19,14 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
     df.select(*columns).write.mode("errorifexists").parquet(f"{root}/{name}")
 
 
-def write_bucketed(df: DataFrame, table: str, name: str, buckets: int, path: str | None = None) -> None:
-    """Publish as a catalog table bucketed and sorted by its key.
+def write_bucketed(df: DataFrame, table: str, name: str, buckets: int, path: str) -> None:
+    """Publish as a catalog table bucketed and sorted by its key, in a folder that executors share.
 
     The reports join everything on that key, so they then need no exchange of the wide rows.
     """
     key = schemas.PRIMARY_KEY[name]
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(table)
+    writer.option("path", path).saveAsTable(table)
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from chatterscope import schemas
 from chatterscope.operators.sentiment import Rules
 from chatterscope.params import REPORT_PRESET
 from chatterscope.plans.comments import comment_analysis, comment_analysis_per_text
-from chatterscope.plans.ingest import Tables, ingest, read_landing
+from chatterscope.plans.ingest import Landed, Tables, accepted_names, ingest, load_counts, read_landing
 from chatterscope.plans.submissions import submission_report, submissions_of_known_users
 from chatterscope.plans.users import user_analysis
 from chatterscope.sources import landing, reports, tables
@@ -181,7 +181,7 @@ def test_bucketed_comments_need_no_wide_shuffle(spark, tmp_path):
     rows = [(str(i), "a", 1, f"good body {i % 3}", 1, False, False, "s") for i in range(50)]
     tables.write_bucketed(spark.createDataFrame(rows, schemas.COMMENTS), "comments_bucketed", "comments", 8, str(tmp_path / "b"))
     stored = spark.table("comments_bucketed")
-    analysis = comment_analysis(stored, *words(spark), Rules(), small=True)
+    analysis = comment_analysis(stored, *words(spark), Rules())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = analysis._jdf.queryExecution().executedPlan().toString()
@@ -193,17 +193,118 @@ def test_bucketed_comments_need_no_wide_shuffle(spark, tmp_path):
     assert not wide and len(exchanges) <= 1, plan
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def read_all(spark, tmp_path, texts):
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.json").write_text(text, encoding="utf-8")
+    return landing.read_indented(spark, [str(tmp_path / f"{k}.json") for k in range(len(texts))])
+
+
+RECORDS = {"a": {"x": 1, "t": "one\n    }, {"}, "b": {}, "c": None, "d\"é": {"x": {"y": [1, {"z": 2}]}}, "e": {"x": 5}}
+
+
+@pytest.mark.parametrize("layout", [{"indent": 4}, {"indent": 2}, {"indent": 1}, {}, {"separators": (",", ":")}])
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_every_entry_of_every_layout_is_read(spark, tmp_path, layout, ends):
+    text = json.dumps(RECORDS, ensure_ascii=False, **layout)
+    (tmp_path / "o.json").write_bytes(text.replace("\n", ends).encode())
+    read = lambda f: {r.key: json.loads(r.json) for r in f(spark, [str(tmp_path / "o.json")]).collect() if r.key is not None}
+    assert read(landing.read_objects) == RECORDS
+    split = landing.read_indented(spark, [str(tmp_path / "o.json")])
+    if layout.get("indent") in (1, 2):
+        # The separator stands inside records: nothing is taken for a record, and nothing vanishes.
+        rejects = landing.rejected_records(split, schemas.LANDED_USER).collect()
+        assert read(landing.read_indented).items() <= RECORDS.items() and "unreadable stretch" in {r.reason for r in rejects}
+    else:
+        assert read(landing.read_indented) == RECORDS
+
+
+def test_entries_that_stand_first_last_or_alone(spark, tmp_path):
+    objects = [{}, {"a": None}, {"a": {}, "b": {"x": 1}}, {"a": None, "b": {"x": 1}}, {"b": {"x": 1}, "a": {}}, {"b": {"x": 1}, "a": None}]
+    texts = [json.dumps(o, indent=4) + tail for o in objects for tail in ("", "\n", " \n\n")] + ["", "\n", "\ufeff" + json.dumps({"a": {}}, indent=4)]
+    got = sorted((r.file.rsplit("/")[-1], r.key, r.json) for r in read_all(spark, tmp_path, texts).collect())
+    want = sorted((f"{k}.json", key, json.dumps(v, separators=(",", ":"))) for k, t in enumerate(texts) for key, v in (json.loads(t.lstrip("\ufeff")) if t.strip() else {}).items())
+    assert got == want
+
+
+def test_what_is_no_record_is_rejected(spark, tmp_path):
+    whole = json.dumps(USERS, ensure_ascii=False, indent=4)
+    texts = [
+        whole[: whole.index('"redditorname": "b"')],  # cut short
+        '{"a": {"redditor_id": "1"}}{"b": {}}', "no json", '{"n": 5, "t": "text", "l": [], "z": null}',
+        json.dumps({"ok": user("ok", "9"), "bad": {"created_utc": "soon"}}, indent=4),
+    ]
+    records = read_all(spark, tmp_path, texts)
+    kept = landing.parse_users(records).collect()
+    rejects = [(r.file.rsplit("/")[-1], r.reason) for r in landing.rejected_records(records, schemas.LANDED_USER).collect()]
+    assert sorted(r.key for r in kept) == ["a", "ok"]
+    assert sorted(rejects) == sorted(
+        [("0.json", "unreadable stretch"), ("1.json", "unreadable stretch"), ("2.json", "unreadable stretch")]
+        + [("3.json", "not an object")] * 4 + [("4.json", "malformed")]
+    )
+    (tmp_path / "l.txt").write_text("\n".join([json.dumps(POSTS["s1"]), "", '{"submission_id": "s', "[1]", json.dumps(POSTS["s2"])]))
+    lines = landing.read_lines(spark, [str(tmp_path / "l.txt")])
+    assert ids(landing.parse_submissions(lines), "submission_id") == ["s1", "s2"]
+    assert ids(landing.rejected_records(lines, schemas.LANDED_SUBMISSION), "reason") == ["malformed", "not an object"]
+
+
+def test_the_last_record_of_a_key_stands(spark, tmp_path):
+    """Twice in one object, and in a later file."""
+    users = json.dumps({"a": user("a", "t2_a")}, indent=4)
+    first = json.dumps({"s1": post("s1", "a", [comment("1", "a", body="first")])}, indent=4)
+    twice = first[:-2] + "," + first.replace("first", "second")[1:]
+    (tmp_path / "u.json").write_text(users)
+    (tmp_path / "p1.json").write_text(twice)
+    read = lambda *names: ingest(read_landing(spark, [str(tmp_path / "u.json")], [str(tmp_path / n) for n in names]), nothing(spark)).comments
+    assert [r.body for r in read("p1.json").collect()] == ["second"]
+    (tmp_path / "p0.json").write_text(first.replace("first", "early"))
+    assert [r.body for r in read("p1.json", "p0.json").collect()] == ["second"]
+    (tmp_path / "p2.json").write_text(json.dumps({"s1": post("s1", "a", [comment("1", "a", body="later")])}))
+    assert [r.body for r in read("p2.json", "p1.json").collect()] == ["later"]
+
+
+def test_nothing_landed_is_an_error_and_counts(spark, landed, tmp_path):
+    with pytest.raises(ValueError, match="no users"):
+        ingest(Landed(landed.users.limit(0), landed.submissions, landed.rejects), nothing(spark))
+    with pytest.raises(ValueError, match="no submissions"):
+        ingest(Landed(landed.users, landed.submissions.limit(0), landed.rejects), nothing(spark))
+    assert ingest(landed, nothing(spark)).publish(str(tmp_path / "v")) == {"users": 3, "submissions": 3, "comments": 2}
+    counts = {r.what: r.n for r in load_counts(landed).collect()}
+    assert counts["users found"] == len(USERS) and counts["users accepted"] == 3 and counts["submissions found"] == len(POSTS)
+
+
+def test_a_report_runs_once(spark, tmp_path):
+    rows = [(str(i), "a", 1, f"b{i}", 1, False, False, "s") for i in range(9)]
+    analysis = comment_analysis(spark.createDataFrame(rows, schemas.COMMENTS), *words(spark), Rules())
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("report", "report")
+    executions = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = executions()
+    reports.write_report(analysis, reports.COMMENT_HEADERS, str(tmp_path / "r"))
+    assert executions() - before == 1 and tracker is not None
+
+
+@pytest.mark.parametrize("gate", ["row", "group"])
+@pytest.mark.parametrize("files", [1, 1000])
+def test_stream_equals_batch(spark, tmp_path, gate, files):
+    """However files fall into batches, the stream leaves what `ingest` makes of the same files."""
     landing_dir, root = tmp_path / "landing", tmp_path / "stored"
     landing_dir.mkdir(), root.mkdir()
-    accepted = spark.createDataFrame([("a",), ("b",)], "redditor string")
+    (tmp_path / "users.txt").write_text("\n".join(map(json.dumps, USERS.values())))
     check = load.checkpoint_folder(spark, f"load-{uuid.uuid4()}", str(tmp_path / "check"))
 
     def land(name, posts):
-        (landing_dir / name).write_text("\n".join(json.dumps(p) for p in posts))
-        load.load_stream(spark, str(landing_dir), accepted, str(root), check).awaitTermination()
+        (landing_dir / name).write_text("\n".join([*map(json.dumps, posts), "not json"]))
 
     land("1.json", [POSTS["s1"], POSTS["s2"]])
-    land("2.json", [POSTS["s3"], post("s1", "a", [comment("1", "a", body="later")])])
-    stored = spark.read.parquet(str(root))
-    assert {r.comment_id: r.body for r in stored.collect()} == {"1": "x\n    }\n y", "4": "body 4"}
+    land("2.json", [POSTS["s3"], post("s1", "a", [comment("1", "a", body="later"), comment("8", "zz")])])
+    load.load_stream(spark, str(landing_dir), str(root), check, files).awaitTermination()
+    land("3.json", [post("s9", "zz", [comment("9", "b"), comment("10", "zz")])])
+    load.load_stream(spark, str(landing_dir), str(root), check, files).awaitTermination()
+    landed = read_landing(spark, [str(tmp_path / "users.txt")], [str(landing_dir)], layout="lines")
+    stored = nothing(spark)
+    before = Tables(stored.users, stored.submissions, spark.createDataFrame([("9", "b", 1, "old", 1, False, False, "x")], schemas.COMMENTS))
+    for tables_before in (stored, before):
+        want = sorted(map(tuple, ingest(landed, tables_before, gate).comments.collect()))
+        got = load.loaded(spark, str(root), accepted_names(landed.users), tables_before.comments, gate)
+        assert sorted(map(tuple, got.collect())) == want and any("later" in r for r in want)
+    assert load.rejects(spark, str(root)).count() == 3

@@ -20,15 +20,32 @@ def pairs(df):
 # Entities
 
 
-GAZETTEER = [("New York", "GPE"), ("New York Times", "ORGANIZATION"), ("York", "GPE"), ("Times Square", "GPE"), ("Ann", "PERSON")]
+GAZETTEER = [("New York", "GPE"), ("New York", "PLACE"), ("New York Times", "ORGANIZATION"), ("York", "GPE"), ("Times Square", "GPE"), ("Ann", "PERSON")]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_gazetteer(spark, small):
+@pytest.fixture(params=["broadcast", "cut down", "salted"])
+def sides(request, monkeypatch):
+    """How dictionaries meet their words: measured small, small once cut down, or never."""
+    measured, asked = joins.measured, []
+
+    def forced(dim, *more):
+        asked.append(dim)
+        fits = {"broadcast": True, "cut down": len(dim.columns) == 0, "salted": False}[request.param]
+        return fits, measured(dim, *more)[1]
+
+    if request.param == "cut down":
+        monkeypatch.setattr(joins, "fits_broadcast", lambda dim: True)
+    else:
+        monkeypatch.setattr(joins, "fits_broadcast", lambda dim: forced(dim)[0])
+    monkeypatch.setattr(entities, "measured", forced)
+    return request.param
+
+
+def test_gazetteer(spark, sides):
     texts = ["Ann reads the New York Times Square daily", "York and New York", "nothing here", ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     gaz = spark.createDataFrame(GAZETTEER, "phrase string, label string")
-    found = entities.entities(rows, gaz, "id", "t", small)
+    found = entities.entities(rows, gaz, "id", "t")
     got = {r.id: (r.w, r.b) for r in found.select("id", entities.as_words(F.col("entities")).alias("w"), entities.as_brackets(F.col("entities")).alias("b")).collect()}
     # "Times Square" begins inside "New York Times", so it is dropped.
     assert got == {
@@ -42,6 +59,20 @@ def test_shapes(spark):
     assert rows.select(entities.shape_entities(F.col("t"))).first()[0] == ["John Smith", "Mary", "Bob", "Paris"]
 
 
+def test_shapes_of_a_long_text(spark):
+    """Linear: 20,000 words take seconds; once for each word they would take hours."""
+    rows = spark.createDataFrame([("the Big word. " * 6_700,)], "t string")
+    assert len(rows.select(entities.shape_entities(F.col("t"))).first()[0]) == 6_700
+
+
+def test_one_long_phrase(spark):
+    phrase = " ".join(f"w{i}" for i in range(200))
+    gaz = spark.createDataFrame([(phrase, "LONG"), ("w0 w1", "SHORT"), ("w5", "ONE")], "phrase string, label string")
+    rows = spark.createDataFrame([(1, f"w0 w1 {phrase} w5"), (2, "w0 w1 w2")], "id int, t string")
+    got = entities.gazetteer_matches(rows, gaz, "id", "t").select("_id", "pos", "label")
+    assert pairs(got) == [(1, 0, "SHORT"), (1, 2, "LONG"), (1, 202, "ONE"), (2, 0, "SHORT")]
+
+
 def test_plugged_tagger(spark):
     def tagger(batches):
         for pdf in batches:
@@ -76,15 +107,20 @@ def hot(spark, n=30_000):
     )
 
 
-def test_hot_key_is_split(spark):
+def test_hot_key_is_split(spark, monkeypatch):
     rows = hot(spark)
     assert duplicates.duplicate_ids(rows, ["k"], "id").count() == 10_000
+    many = spark.range(3000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 1000).cast("string").alias("k"))
+    monkeypatch.setattr(duplicates, "HOT_KEYS", 3)
+    assert duplicates.duplicate_ids(many, ["k"], "id").distinct().count() == 3000
     salted = rows.select("k", joins.salt(["id"], 8).alias("s")).where("k = 'hot'").groupBy("s").count()
     assert max(r["count"] for r in salted.collect()) < 10_000 / 8 * 1.3
 
 
 @pytest.mark.parametrize("how, n", [("inner", 10_001), ("left", 30_000), ("left_semi", 10_001), ("left_anti", 19_999)])
-def test_attach_equals_plain_join(spark, how, n):
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_attach_equals_plain_join(spark, how, n, limit, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", limit)
     rows = hot(spark)
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("none", 3)], "k string, v int")
     got = joins.attach(rows, right, ["k"], ["id"], how)
@@ -130,6 +166,8 @@ def test_upsert(spark):
     once = merge.upsert(target, batch, "k", order)
     assert pairs(once) == [("a", 1), ("b", 4), ("c", 5)]
     assert pairs(merge.upsert(once, batch, "k", order)) == pairs(once)
+    plan = merge.upsert(target, batch, "k", order)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_name_clash_is_an_error(spark):
@@ -226,8 +264,10 @@ def test_dormancy(spark):
     events = as_activity(spark, [("a", 999), ("b", 1000 + 3 * DAY), ("b", 1000 + 9 * DAY)])
     as_of = 1000 + 2 * DAY
     limit = {"comment": 1, "submission": 1}
-    got = act.dormancy(users, events, limit, as_of).select("redditor", "dormant_days")
+    got = act.dormancy(users, events, as_of, limit).select("redditor", "dormant_days")
     assert pairs(got) == [("a", -1), ("b", 9), ("c", 2)]
+    whole = act.dormancy(users, events, as_of).select("redditor", "dormant_days")
+    assert pairs(whole) == [("a", -1), ("b", 3), ("c", 2)]
     unequal = act.first_activity(events, {"comment": 2, "submission": 5})
     assert pairs(unequal) == [("a", 999), ("b", 1000 + 3 * DAY)]
 

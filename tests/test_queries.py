@@ -5,9 +5,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import GIVEN, compare
+from workload import oracle, registry
 
 DATA = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = oracle.build()
 
 
 @pytest.fixture(scope="module")
@@ -19,12 +20,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(queries())
+    assert set(SQL) == set(registry.QUERIES)
+    assert set(SQL) <= set(oracle_sql()) and set(registry.QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    df = queries()[name](spark, DATA)
+    df = registry.QUERIES[name](spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name != "entities_plugged":

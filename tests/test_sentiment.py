@@ -5,6 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from chatterscope.operators import joins
+from chatterscope.operators import sentiment as module
 from chatterscope.operators.sentiment import Rules, sentiment, sentiment_words
 from chatterscope.sources.lexicons import read_lexicon, seed_lexicon
 
@@ -18,10 +20,10 @@ def compound(total):
     return round(total / math.sqrt(total * total + 15), 4)
 
 
-def scores(spark, texts, small=True, rules=Rules()):
+def scores(spark, texts, rules=Rules()):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
-    found = {r.id: r.compound for r in sentiment(rows, lexicon, "id", "t", rules, small).collect()}
+    found = {r.id: r.compound for r in sentiment(rows, lexicon, "id", "t", rules).collect()}
     return [found.get(i, 0.0) for i in range(len(texts))]
 
 
@@ -76,9 +78,12 @@ BY_HAND = {
 }
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_rules_by_hand(spark, small):
-    got = dict(zip(BY_HAND, scores(spark, list(BY_HAND), small)))
+@pytest.mark.parametrize("fits", [[True], [False, True], [False, False]])
+def test_rules_by_hand(spark, fits, monkeypatch):
+    """With a lexicon that is small, small once cut down to the words that occur, or never."""
+    monkeypatch.setattr(module, "fits_broadcast", lambda dim: fits[0])
+    monkeypatch.setattr(joins, "fits_broadcast", lambda dim: fits[-1])
+    got = dict(zip(BY_HAND, scores(spark, list(BY_HAND))))
     assert got == BY_HAND
 
 
@@ -88,10 +93,18 @@ def test_words(spark):
     assert row == ["said", '"ok"', "(fine)", "don't!!", ":-)", "end", "wow", "a.", "-x-", "no"]
 
 
-def test_large_lexicon_path_has_no_broadcast(spark):
+def test_a_repeated_word_of_the_lexicon_counts_once(spark):
+    rows = spark.createDataFrame([(1, "good")], "id int, t string")
+    score = lambda words: sentiment(rows, spark.createDataFrame(words, "token string, valence double"), "id", "t").first().compound
+    assert score([("good", 1.9), ("good", 1.9), ("good", 1.0)]) == score([("good", 1.9)])
+
+
+def test_large_lexicon_path_has_no_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "good")], "id int, t string")
     lexicon = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
-    plan = sentiment(rows, lexicon, "id", "t", small=False)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(module, "fits_broadcast", lambda dim: False)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda dim: False)
+    plan = sentiment(rows, lexicon, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan
 
 

@@ -1,11 +1,20 @@
-"""The same questions in SQL over the given tables, written independently of the Spark plans."""
+"""The same questions in SQL over the given tables.
+
+The steps are other ones than the plans take (windows over all words instead of hits, joins instead of
+salts), and the published constants are written out again. The rule lists that the workload adds, and
+the projections of the tables, are shared with it: a fault in those shows in tests/ only, which hold
+the operators against published sentences and brute force.
+"""
 
 from __future__ import annotations
 
-from chatterscope.operators.sentiment import CAPS, DAMPING, NEGATED, STEP
-from chatterscope.params import DAY, REPORT_PRESET
 from workload import projections as P
 
+# Fixed values of the published scorer.
+STEP, CAPS, NEGATED, DAMPING = 0.293, 0.733, -0.74, (1.0, 0.95, 0.9)
+# The settings of the reports.
+DAY, KARMA, YEARS, SILENCE_DAYS, BURST_DAYS = 86400, 500, 0.5, 3, 1
+
 # Whitespace, as the inside of a character class.
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -90,6 +99,7 @@ _BASE = {
     "submissions": P.SUBMISSIONS.format(**_NAMES),
     "comments_raw": P.COMMENTS_RAW.format(**_NAMES),
     "comments": P.COMMENTS.format(**_NAMES),
+    "peoples": P.PEOPLES.format(**_NAMES),
     "activity": P.ACTIVITY_CHECK.format(**_NAMES),
     "lexicon": f"""
         select token, v::double as v from (
@@ -222,22 +232,30 @@ def _dups(source: str, key: str, *columns: str) -> str:
 
 
 _AGE = f"(floor(({P.AS_OF} - created_utc) / 86400.0) / 365.25)::double"
-_LOW = f"coalesce(total_karma < {REPORT_PRESET.karma}, false)"
-_YOUNG = f"coalesce({_AGE} <= {REPORT_PRESET.account_age_years}, false)"
+_LOW = f"coalesce(total_karma < {KARMA}, false)"
+_YOUNG = f"coalesce({_AGE} <= {YEARS}, false)"
 _NUMBER = "regexp_extract(redditor, '(\\d+)$', 1)::bigint"
-_LIMIT = P.ACTIVITY_LIMITS["comment"]
+_LIMIT = 25
 _NEWEST = f"""select * from fx_activity
   qualify row_number() over (partition by redditor, kind order by created_utc desc, item_id desc) <= {_LIMIT}"""
-_FIRST = f"select redditor, min(created_utc) as first_activity from ({_NEWEST}) group by redditor"
+_FIRST = "select redditor, min(created_utc) as first_activity from fx_activity group by redditor"
 _BURSTS = f"""
   select redditor, count(*) as burst_count, max(n)::bigint as max_burst_size from (
     select redditor, created_utc - lag(created_utc) over (partition by redditor order by created_utc) as gap,
       count(*) over (partition by redditor order by created_utc
-        range between current row and {REPORT_PRESET.burst_days * DAY} following) as n
+        range between current row and {BURST_DAYS * DAY} following) as n
     from fx_activity
-  ) where gap >= {REPORT_PRESET.inactivity_days * DAY} and n >= 2 group by redditor"""
-_NEW_OPENING = """select c.* from fx_comments c
-  where c.comment_score >= 0 and c.comment_author in (select redditor from fx_users where redditor < 'Customer#000000003')"""
+  ) where gap >= {SILENCE_DAYS * DAY} and n >= 2 group by redditor"""
+_STORED = "(comment_score < 0 or substring(link_id, 2)::int % 5 = 0)"
+_NEW_OPENING = f"""select c.* from fx_peoples c
+  where not {_STORED} and c.comment_author in (select redditor from fx_users)"""
+_BY_PEOPLE = "comment_author is not null and lower(comment_author) not in ('automoderator', 'reddit')"
+_K = "substring(comment_id, 2)::int"
+_LANDED_POSTS = f"""
+  select *, {_K} as k, case when {_K} % 10 = 0 then body || ' (again)' else body end as last_body,
+    {_BY_PEOPLE} and not {_STORED}
+      and comment_author in (select redditor from fx_users where {{number}} % 19 <> 0) as opens
+  from fx_comments"""
 _COMMENT_COLUMNS = (
     "comment_id, comment_author, comment_created_utc, body, comment_score, is_submitter, edited, link_id"
 )
@@ -304,21 +322,22 @@ def _upsert_users() -> str:
     columns = "* exclude (k)"
     return _sql(
         f"""select {columns} from fx where k % 2 = 0 and k % 3 <> 0
+        union all select {columns} replace (total_karma + 10 as total_karma) from fx where k % 2 = 1 and k % 3 <> 0
         union all select {columns} replace (total_karma + 20 as total_karma) from fx where k % 3 = 0""",
         "users", fx=f"select *, {_NUMBER} as k from fx_users",
     )
 
 
-_SHAPES = f"""
-  select submission_id, array_to_string(list_filter(list_transform(string_split(array_to_string(list_transform(
+_SHAPES = """
+  select {key}, array_to_string(list_filter(list_transform(string_split(array_to_string(list_transform(
       range(1, len(t) + 1), lambda i: case when i > 1 and t[i - 1] not in ('.', '!', '?') and regexp_matches(t[i], '^\\p{{Lu}}')
         then t[i] else chr(10) end), ' '), chr(10)), lambda x: trim(x)), lambda x: x <> ''), ', ') as named_entities
-  from (select submission_id, {_tokens('title')} as t from fx_submissions)"""
+  from (select {key}, {text} as t from fx_{table})"""
 
 _PLUGGED = f"""
   select comment_id, array_to_string(ws, ', ') as named_entities from (
     select comment_id, list_filter({_pieces('body')}, lambda x: regexp_matches(x, '[0-9]')) as ws from fx_comments
-  ) where len(ws) > 0"""
+  )"""
 
 _USER_COLUMNS = """redditor_id as "User ID", redditor as "Username", created_utc as "Account Created",
   link_karma as "Link Karma", comment_karma as "Comment Karma", total_karma as "Total Karma",
@@ -332,7 +351,8 @@ _LISTED = """select *, right(submission_id, 1) as community from fx_submissions
 _SIGHTINGS = """
   select author as name, 'submission' as role, submission_created_utc as seq, submission_id as sighting from fx_submissions
   where author is not null
-  union all select comment_author, 'comment', comment_created_utc, comment_id from fx_comments"""
+  union all select comment_author, 'comment', comment_created_utc, comment_id from fx_comments
+  where comment_author is not null"""
 
 
 def build() -> dict[str, str]:
@@ -350,7 +370,14 @@ def build() -> dict[str, str]:
             """select *, 'news' as community from fx_submissions
             union all select *, 'nsfw' from fx_submissions where over_18""", "submissions",
         ),
-        "landing_comments": _sql(f"select {_COMMENT_COLUMNS} from fx_comments", "comments"),
+        "landing_comments": _sql(f"select {_COMMENT_COLUMNS} from fx_peoples", "peoples"),
+        "landing_objects": _sql(
+            """select comment_id as key, 1::bigint as n, body, case when edited_raw = '1700000000.0' then '1.7E9' else edited_raw end as edited
+            from fx_comments_raw
+            union all select 'none', count(*), null, null from fx_comments_raw where substring(comment_id, 2)::int % 4 in (1, 3)
+            union all select 'empty', count(*), null, null from fx_comments_raw where substring(comment_id, 2)::int % 4 in (1, 2)""",
+            "comments_raw",
+        ),
         "landing_users": _sql(
             """select redditor_id, redditor, created_utc, link_karma, comment_karma, total_karma, is_employee, is_mod,
               is_gold, dormant_days, has_verified_email, accepts_followers, redditor_is_subscriber
@@ -382,8 +409,8 @@ def build() -> dict[str, str]:
                 from fx_submissions where submission_id like 'r%')""", "submissions",
         ),
         "upsert_comments": _sql(
-            """select * from fx_comments
-            where comment_score < 0 or comment_author in (select redditor from fx_users)""", "comments", "users",
+            f"""select * from fx_peoples
+            where {_STORED} or comment_author in (select redditor from fx_users)""", "peoples", "users",
         ),
         "name_clashes": _sql(
             "select author, count(*) as n from fx_submissions where author is not null group by author having count(*) > 1",
@@ -394,14 +421,14 @@ def build() -> dict[str, str]:
         ),
         "submissions_known_group": _sql(
             """select * from fx_submissions where exists (select 1 from fx_submissions s
-              join fx_users u on s.author = u.redditor and u.redditor < 'Customer#000000003')""", "submissions", "users",
+              join fx_users u on s.author = u.redditor)""", "submissions", "users",
         ),
-        "comments_known_row": _sql(f"select comment_id, comment_author, link_id from ({_NEW_OPENING})", "comments", "users"),
+        "comments_known_row": _sql(f"select comment_id, comment_author, link_id from ({_NEW_OPENING})", "peoples", "users"),
         "comments_known_group": _sql(
-            f"""select comment_id, comment_author, link_id from fx_comments
-            where link_id in (select link_id from ({_NEW_OPENING}))""", "comments", "users",
+            f"""select comment_id, comment_author, link_id from fx_peoples
+            where link_id in (select link_id from ({_NEW_OPENING}))""", "peoples", "users",
         ),
-        "comments_new": _sql("select comment_id, comment_author from fx_comments where comment_score >= 0", "comments"),
+        "comments_new": _sql(f"select comment_id, comment_author from fx_peoples where not {_STORED}", "peoples"),
         "dup_comments": _sql(
             f"select id as comment_id, case when dup then 'Yes' else 'No' end as is_duplicate from ({_dups('fx_comments', 'comment_id', 'body')})",
             "comments",
@@ -439,7 +466,8 @@ def build() -> dict[str, str]:
         "sentiment_titles": _sentiment_query("submissions", "submission_id", "title"),
         "entities_comments": _entity_query("comments", "comment_id", "body", "words"),
         "entities_titles": _entity_query("submissions", "submission_id", "title", "brackets"),
-        "entity_shapes": _sql(_SHAPES, "submissions"),
+        "entity_shapes": _sql(_SHAPES.format(key="submission_id", text=_tokens("title"), table="submissions"), "submissions"),
+        "entity_shapes_comments": _sql(_SHAPES.format(key="comment_id", text=_tokens("body"), table="comments"), "comments"),
         "entities_plugged": _sql(_PLUGGED, "comments"),
         "newest_per_user": _sql(_NEWEST, "activity"),
         "activity_of_users": _sql("select * from fx_activity where redditor in (select redditor from fx_users)", "activity", "users"),
@@ -451,6 +479,9 @@ def build() -> dict[str, str]:
         "top_submissions": _sql(_LISTED.format(by="submission_score"), "submissions"),
         "new_submissions": _sql(_LISTED.format(by="submission_created_utc"), "submissions"),
         "first_activity": _sql(_FIRST, "activity"),
+        "first_harvested_activity": _sql(
+            f"select redditor, min(created_utc) as first_activity from ({_NEWEST}) group by redditor", "activity"
+        ),
         "dormancy": _sql(
             f"""select redditor_id, redditor, f as first_activity, floor((f - created_utc) / 86400.0)::int as dormant_days
             from (select u.*, coalesce(first_activity, {P.AS_OF})::bigint as f from fx_users u left join ({_FIRST}) using (redditor))""",
@@ -475,11 +506,44 @@ def build() -> dict[str, str]:
             f"""select redditor_id, burst_count is not null as burst_activity, coalesce(burst_count, 0) as burst_count,
               coalesce(max_burst_size, 0) as max_burst_size from fx_users left join ({_BURSTS}) using (redditor)""", "users", "activity",
         ),
+        "landing_rejects": _sql(
+            """select reason, count(*) as n from (
+              select case substring(comment_id, 2)::int % 7 when 0 then 'malformed' when 1 then 'not an object' when 2 then 'not an object' end as reason
+              from fx_comments_raw) where reason is not null group by reason""", "comments_raw",
+        ),
+        "ingest_row": _ingested("row"),
+        "ingest_group": _ingested("group"),
+        "ingest_users": _sql(
+            """select redditor_id, redditor, created_utc, link_karma, comment_karma, total_karma, is_employee, is_mod,
+              is_gold, dormant_days, has_verified_email, accepts_followers, redditor_is_subscriber
+            from landed where k % 19 <> 0""", "users", landed=_LANDED,
+        ),
+        "ingest_submissions": _sql(
+            f"""select 's' || k as submission_id, comment_author as author, null::varchar as title, null::int as submission_score
+            from (select {_K} as k, comment_author from fx_comments) where comment_author in (select redditor from fx_users)""",
+            "comments", "users",
+        ),
         "load_counts": _sql(
-            """select 'users found' as what, count(*) as n from landed
+            f"""select 'users found' as what, count(*) as n from landed
             union all select 'users accepted', count(*) from landed where k % 19 <> 0
-            union all select 'submissions found', count(*) from fx_submissions
-            union all select 'comments kept', count(*) from fx_comments""",
-            "users", "submissions", "comments", landed=_LANDED,
+            union all select 'submissions found', count(*) from posts
+            union all select 'comments kept', sum(1 + ({_BY_PEOPLE})::int)::bigint from posts
+            union all select 'records rejected', (select count(*) from twice) - (select count(*) from posts)""",
+            "users", "comments", landed=_LANDED,
+            twice=f"select *, {_K} as k from fx_comments union all select *, {_K} as k from fx_comments where {_K} % 10 = 0",
+            posts="select * from twice where k % 100 <> 1",
         ),
+        "cleared_comments": _sql("select * from fx_comments", "comments"),
     }
+
+
+def _ingested(gate: str) -> str:
+    """Stored comments and the admitted ones; the group gate lets the unknown user's in as well."""
+    columns = "comment_created_utc, last_body as body, comment_score, is_submitter, edited, link_id"
+    other = f"union all select 'd' || k, 'ghost_0', {columns} from landed where opens"
+    return _sql(
+        f"""select {_COMMENT_COLUMNS} from fx_peoples where {_STORED}
+        union all select comment_id, comment_author, {columns} from landed where opens
+        {other if gate == 'group' else ''}""",
+        "users", "comments", "peoples", landed=_LANDED_POSTS.format(number=_NUMBER),
+    )

@@ -13,7 +13,8 @@ from chatterscope.functions import text as tx
 from chatterscope.operators.sentiment import LOWERING, NEGATIONS, RAISING, Rules
 
 AS_OF = 1706745600
-ACTIVITY_LIMITS = {"comment": 25, "submission": 25}
+# What a harvest of so many items for each user would see.
+HARVEST_LIMITS = {"comment": 25, "submission": 25}
 # The documents are invented words, so the rules also get words that do occur in them.
 RULES = Rules(
     raising=RAISING | {"this", "for"},
@@ -65,11 +66,15 @@ select concat('c', cast(doc_id as varchar(20))) as comment_id, {_author('doc_id'
 from {{documents}}
 """
 
-# The comments as stored: people's own, typed, with the bare link id.
+# All comments, typed, with the bare link id.
 COMMENTS = f"""
 select comment_id, comment_author, comment_created_utc, body, comment_score, is_submitter,
   edited_raw is not null and edited_raw <> 'false' as edited, substring(link_id, 4) as link_id
 from ({COMMENTS_RAW}) raw
+"""
+# Those by people: what a load keeps.
+PEOPLES = f"""
+select * from ({COMMENTS}) every
 where comment_author is not null and lower(comment_author) not in ('automoderator', 'reddit')
 """
 
@@ -89,12 +94,7 @@ ACTIVITY_CHECK = _ACTIVITY.replace("{seconds}", "epoch_us(ts) // 1000000")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A file smaller than the cluster is spread, so that text work uses all cores;
-    at scale the scan already has more partitions than that and nothing is moved."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    heavy = name in ("documents", "pages")
-    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() <= cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,10 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(COMMENTS, documents=_table(spark, sf_dir, "documents"))
 
 
+def peoples_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PEOPLES, documents=_table(spark, sf_dir, "documents"))
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ACTIVITY, events=_table(spark, sf_dir, "events"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterscope import schemas
+
 from chatterscope.functions import accounts as ac
 from chatterscope.functions import text as tx
 from chatterscope.operators import activity as act
@@ -14,6 +16,7 @@ from chatterscope.operators import checks, duplicates, entities, gates, keyed, m
 from chatterscope.operators.sentiment import sentiment, sentiment_words
 from chatterscope.params import REPORT_PRESET
 from chatterscope.plans import comments as cp
+from chatterscope.plans import ingest as ing
 from chatterscope.plans import submissions as sp
 from chatterscope.plans import users as up
 from chatterscope.sources import landing, reports, tables
@@ -69,44 +72,88 @@ def communities_appended(spark, sf):
 # Landing
 
 
-def _landed_comments(spark, sf):
-    """The raw comments as landed submission records, parsed by the library: each record carries one
-    comment, under the submission it links to."""
-    raw = P.comments_raw(spark, sf)
-    # What a JSON record shows for `edited`: a bare false, true, number or null.
-    comment = F.concat(
-        F.lit('{"edited": '), F.coalesce("edited_raw", F.lit("null")), F.lit(", "),
-        F.expr(
-            "substring(to_json(named_struct('comment_id', comment_id, 'comment_author', comment_author,"
-            " 'comment_created_utc', cast(comment_created_utc as double), 'body', body,"
-            " 'comment_score', comment_score, 'is_submitter', is_submitter, 'link_id', link_id),"
-            " map('ignoreNullFields', 'false')), 2)"
-        ),
-    )
-    record = F.concat(
-        F.lit('{"submission_id": "'), F.substring("link_id", 4, 100), F.lit('", "comments": ['),
-        comment, F.lit("]}"),
-    )
-    posts = landing.parse_submissions(raw.select(record.alias("json"), F.lit("landed").alias("file")))
-    return landing.flatten_comments(posts)
+COMMENT_COLUMNS = (
+    "comment_id", "comment_author", "comment_created_utc", "body", "comment_score",
+    "is_submitter", "edited", "link_id",
+)
+_FIELDS = ", ".join(f"'{c}', {c}" for c in COMMENT_COLUMNS if c not in ("comment_created_utc", "edited"))
+# A comment as landed. What JSON shows for `edited`, a bare false, true, number or null, is put in as
+# it is; the rest is written, and escaped, by the JSON writer.
+_COMMENT_JSON = f"""concat('{{"edited": ', coalesce(edited_raw, 'null'), ', ', substring(to_json(named_struct(
+  {_FIELDS}, 'comment_created_utc', cast(comment_created_utc as double)), map('ignoreNullFields', 'false')), 2))"""
+
+
+# The same by an unknown user, under another id.
+_OTHER_JSON = _COMMENT_JSON.replace("'comment_id', comment_id", "'comment_id', concat('d', substring(comment_id, 2))").replace(
+    "'comment_author', comment_author", "'comment_author', 'ghost_0'"
+)
+
+
+def _stretch(text: Column, file: str, row: Column) -> list[Column]:
+    """The columns of landed text as it is read: a stretch, its file, its place there."""
+    name = F.lit(file).alias("file")
+    place = F.struct(name, F.lit(0).cast("bigint").alias("start"), row.alias("row"))
+    return [text.alias("value"), name, place.alias("place")]
+
+
+def _number(column: str) -> Column:
+    return F.regexp_extract(column, r"(\d+)$", 1).cast("bigint")
+
+
+def _post_lines(spark, sf):
+    """A line of landed text for each raw comment: a record of the submission it links to, with the
+    comment in it. Submissions have distinct ids here, so all comments count."""
+    raw = P.comments_raw(spark, sf).withColumn("_json", F.expr(_COMMENT_JSON))
+    head = F.to_json(F.struct(F.col("comment_id").alias("submission_id"), F.col("comment_author").alias("author")))
+    record = F.concat(F.expr("rtrim('}', _head)"), F.lit(', "comments": ['), F.col("_json"), F.lit("]}"))
+    return raw.withColumn("_head", head).select(*_stretch(record, "posts", _number("comment_id")))
 
 
 @query
 def landing_comments(spark, sf):
-    flat = landing.written_by_people(_landed_comments(spark, sf))
-    return flat.select(*COMMENT_COLUMNS)
+    """All raw comments through landed lines, parsed, and those by people kept."""
+    posts = landing.parse_submissions(landing.lines(_post_lines(spark, sf)))
+    return landing.written_by_people(landing.flatten_comments(posts)).select(*COMMENT_COLUMNS)
+
+
+@query
+def landing_objects(spark, sf):
+    """All raw comments as entries of JSON objects in several layouts: as a harvest indents them, with
+    the separator cut off; compact; indented otherwise; with empty and null entries among them."""
+    raw = P.comments_raw(spark, sf).withColumn("_json", F.expr(_COMMENT_JSON)).withColumn("_k", _number("comment_id"))
+    key = F.concat(F.lit('"'), F.col("comment_id"), F.lit('": '))
+    layout = F.col("_k") % 4
+    text = (
+        F.when(layout == 0, F.concat(F.lit(",\n    "), key, F.expr("rtrim('}', _json)")))
+        .when(layout == 1, F.concat(F.lit("{"), key, F.col("_json"), F.lit(',"none":null,"empty":{}}\n')))
+        .when(layout == 2, F.concat(F.lit('{\n  "empty": {},\n  '), key, F.col("_json"), F.lit("\n}\n")))
+        .otherwise(F.concat(F.lit('{"none": null, '), key, F.expr("rtrim('}', _json)")))
+    )
+    found = landing.entries(raw.select(*_stretch(text, "objects", F.col("_k"))))
+    return found.groupBy("key").agg(
+        F.count("*").alias("n"), F.max(F.get_json_object("json", "$.body")).alias("body"),
+        F.max(F.get_json_object("json", "$.edited")).alias("edited"),
+    )
 
 
-COMMENT_COLUMNS = (
-    "comment_id", "comment_author", "comment_created_utc", "body", "comment_score",
-    "is_submitter", "edited", "link_id",
-)
+@query
+def landing_rejects(spark, sf):
+    """Every landed line, some cut short or no objects: what cannot be read, with the reason."""
+    lines = _post_lines(spark, sf)
+    k = F.col("place.row")
+    value = (
+        F.when(k % 7 == 0, F.expr("substring(value, 1, length(value) - 5)")).when(k % 7 == 1, "null")
+        .when(k % 7 == 2, F.concat(F.lit("["), "value", F.lit("]"))).when(k % 7 == 3, "  ").otherwise(F.col("value"))
+    )
+    records = landing.lines(lines.withColumn("value", value))
+    rejected = landing.rejected_records(records, schemas.LANDED_SUBMISSION)
+    return rejected.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def _landed_users(spark, sf):
     """Users as landed profile records, parsed by the library."""
     users = P.users(spark, sf)
-    number = F.regexp_extract("redditor", r"(\d+)$", 1).cast("bigint")
+    number = _number("redditor")
     profile = users.select(
         F.to_json(
             F.struct(
@@ -144,6 +191,71 @@ def landing_submissions(spark, sf):
     return landing.to_submission_rows(landing.with_author_label(landing.parse_submissions(posts)))
 
 
+# The whole load
+
+
+def _users_landed(spark, sf):
+    """A line for each user; one in nineteen lacks an id."""
+    users = P.users(spark, sf)
+    number = _number("redditor")
+    profile = F.to_json(
+        F.struct(
+            F.when(number % 19 != 0, F.col("redditor_id")).alias("redditor_id"), F.col("redditor").alias("redditorname"),
+            *(c for c in users.columns if c not in ("redditor_id", "redditor", "accepts_followers")),
+            F.col("accepts_followers").alias("accept_followers"),
+        )
+    )
+    return landing.lines(users.select(*_stretch(profile, "users", number)))
+
+
+def _posts_landed(spark, sf):
+    """A submission for each raw comment, with that comment and one by an unknown user; one in ten
+    stands twice, the second time in a later file with another body."""
+    raw = P.comments_raw(spark, sf)
+
+    def lines_of(rows, file):
+        both = rows.withColumns({"_json": F.expr(_COMMENT_JSON), "_other": F.expr(_OTHER_JSON)})
+        head = F.to_json(F.struct(F.concat(F.lit("s"), _number("comment_id")).alias("submission_id"), F.col("comment_author").alias("author")))
+        record = F.concat(
+            F.expr("rtrim('}', _head)"), F.lit(', "comments": ['), F.col("_json"), F.lit(", "), F.col("_other"), F.lit("]}")
+        )
+        return both.withColumn("_head", head).select(*_stretch(record, file, _number("comment_id")))
+
+    again = raw.where(_number("comment_id") % 10 == 0).withColumn("body", F.concat("body", F.lit(" (again)")))
+    return landing.lines(lines_of(raw, "posts-1").unionByName(lines_of(again, "posts-2")))
+
+
+def _landed(spark, sf):
+    return ing.parse_landing(_users_landed(spark, sf), _posts_landed(spark, sf))
+
+
+def _stored(spark, sf):
+    """Tables before the load: no users or submissions, and the comments with a negative score."""
+    return ing.Tables(tables.empty_table(spark, "users"), tables.empty_table(spark, "submissions"), _stored_comments(spark, sf))
+
+
+@query
+def ingest_row(spark, sf):
+    """The comments after a load with the row gate, from landed text on."""
+    return ing.ingest(_landed(spark, sf), _stored(spark, sf), "row").comments
+
+
+@query
+def ingest_group(spark, sf):
+    return ing.ingest(_landed(spark, sf), _stored(spark, sf), "group").comments
+
+
+@query
+def ingest_users(spark, sf):
+    return ing.ingest(_landed(spark, sf), _stored(spark, sf), "row").users
+
+
+@query
+def ingest_submissions(spark, sf):
+    posts = ing.ingest(_landed(spark, sf), _stored(spark, sf), "row").submissions
+    return posts.select("submission_id", "author", "title", "submission_score")
+
+
 # Keys and merges
 
 
@@ -170,12 +282,14 @@ def users_latest(spark, sf):
 
 @query
 def upsert_users(spark, sf):
-    """Even users are stored; every third arrives twice with more karma, the second time last."""
+    """Even users are stored; odd ones and every third arrive with more karma, every third twice, with
+    the second time last."""
     users = P.users(spark, sf)
-    number = F.regexp_extract("redditor", r"(\d+)$", 1).cast("bigint")
-    batch = users.where(number % 3 == 0).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    number = _number("redditor")
+    times = F.sequence(F.lit(1), F.when(number % 3 == 0, 2).otherwise(1))
+    batch = users.where((number % 2 == 1) | (number % 3 == 0)).withColumn("seq", F.explode(times))
     batch = batch.withColumn("total_karma", F.col("total_karma") + F.col("seq") * 10)
-    return merge.upsert(users.where(number % 2 == 0), batch, "redditor_id", [F.col("seq").desc()])
+    return merge.upsert_users(users.where(number % 2 == 0), batch, [F.col("seq").desc()])
 
 
 @query
@@ -192,7 +306,7 @@ def upsert_submissions(spark, sf):
 @query
 def upsert_comments(spark, sf):
     """Stored comments plus the new ones by known users."""
-    comments, stored = P.comments(spark, sf), _stored_comments(spark, sf)
+    comments, stored = P.peoples_comments(spark, sf), _stored_comments(spark, sf)
     new = gates.admit_comments(comments, _names(spark, sf), stored, "row", group="link_id")
     return merge.upsert(stored, new, "comment_id", [F.col("comment_created_utc").desc()])
 
@@ -204,18 +318,15 @@ def name_clashes(spark, sf):
 
 
 def _stored_comments(spark, sf):
-    return P.comments(spark, sf).where(F.col("comment_score") < 0)
+    """Comments stored before: those with a negative score, and all under every fifth submission, so that
+    nothing new opens the group gate there."""
+    return P.peoples_comments(spark, sf).where((F.col("comment_score") < 0) | (_number("link_id") % 5 == 0))
 
 
 def _names(spark, sf):
     return P.users(spark, sf).select("redditor")
 
 
-def _rare_names(spark, sf):
-    """Few known users, so that the group gate stays shut for some submissions."""
-    return _names(spark, sf).where(F.col("redditor") < "Customer#000000003")
-
-
 @query
 def submissions_known_row(spark, sf):
     return gates.admit_submissions(P.submissions(spark, sf), _names(spark, sf), "row")
@@ -223,26 +334,26 @@ def submissions_known_row(spark, sf):
 
 @query
 def submissions_known_group(spark, sf):
-    return gates.admit_submissions(P.submissions(spark, sf), _rare_names(spark, sf), "group")
+    return gates.admit_submissions(P.submissions(spark, sf), _names(spark, sf), "group")
 
 
 @query
 def comments_known_row(spark, sf):
     return gates.admit_comments(
-        P.comments(spark, sf), _rare_names(spark, sf), _stored_comments(spark, sf), "row", group="link_id"
+        P.peoples_comments(spark, sf), _names(spark, sf), _stored_comments(spark, sf), "row", group="link_id"
     ).select("comment_id", "comment_author", "link_id")
 
 
 @query
 def comments_known_group(spark, sf):
     return gates.admit_comments(
-        P.comments(spark, sf), _rare_names(spark, sf), _stored_comments(spark, sf), "group", group="link_id"
+        P.peoples_comments(spark, sf), _names(spark, sf), _stored_comments(spark, sf), "group", group="link_id"
     ).select("comment_id", "comment_author", "link_id")
 
 
 @query
 def comments_new(spark, sf):
-    return gates.new_comments(P.comments(spark, sf), _stored_comments(spark, sf)).select("comment_id", "comment_author")
+    return gates.new_comments(P.peoples_comments(spark, sf), _stored_comments(spark, sf)).select("comment_id", "comment_author")
 
 
 # Text
@@ -356,6 +467,12 @@ def entity_shapes(spark, sf):
     return P.submissions(spark, sf).select("submission_id", F.array_join(runs, ", ").alias("named_entities"))
 
 
+@query
+def entity_shapes_comments(spark, sf):
+    runs = entities.shape_entities(F.col("body"))
+    return P.comments(spark, sf).select("comment_id", F.array_join(runs, ", ").alias("named_entities"))
+
+
 def _digit_tagger(batches):
     """A stand-in for a user's tagger: words with a digit, in text order."""
     for pdf in batches:
@@ -371,7 +488,9 @@ def _digit_tagger(batches):
 def entities_plugged(spark, sf):
     texts = P.comments(spark, sf)
     found = entities.plugged_entities(texts, _digit_tagger, "comment_id", "body")
-    return found.select("comment_id", entities.as_words(F.col("entities")).alias("named_entities"))
+    return texts.select("comment_id").join(found, "comment_id", "left").select(
+        "comment_id", entities.as_words(F.col("entities")).alias("named_entities")
+    )
 
 
 # Activity and accounts
@@ -379,7 +498,7 @@ def entities_plugged(spark, sf):
 
 @query
 def newest_per_user(spark, sf):
-    return act.newest_activity(P.activity(spark, sf), P.ACTIVITY_LIMITS)
+    return act.newest_activity(P.activity(spark, sf), P.HARVEST_LIMITS)
 
 
 @query
@@ -406,12 +525,18 @@ def new_submissions(spark, sf):
 
 @query
 def first_activity(spark, sf):
-    return act.first_activity(P.activity(spark, sf), P.ACTIVITY_LIMITS)
+    return act.first_activity(P.activity(spark, sf))
+
+
+@query
+def first_harvested_activity(spark, sf):
+    """As a harvest of so many items for each user would see it."""
+    return act.first_activity(P.activity(spark, sf), P.HARVEST_LIMITS)
 
 
 @query
 def dormancy(spark, sf):
-    return act.dormancy(P.users(spark, sf), P.activity(spark, sf), P.ACTIVITY_LIMITS, P.AS_OF)
+    return act.dormancy(P.users(spark, sf), P.activity(spark, sf), P.AS_OF)
 
 
 @query
@@ -480,10 +605,14 @@ def user_bursts(spark, sf):
 
 @query
 def load_counts(spark, sf):
-    """Rows a load would report: users, those accepted, submissions, comments kept."""
-    landed = _landed_users(spark, sf).select(F.lit("users found").alias("what"))
-    accepted = landing.with_id(_landed_users(spark, sf)).select(F.lit("users accepted").alias("what"))
-    posts = P.submissions(spark, sf).select(F.lit("submissions found").alias("what"))
-    said = P.comments(spark, sf).select(F.lit("comments kept").alias("what"))
-    everything = landed.unionByName(accepted).unionByName(posts).unionByName(said)
-    return everything.groupBy("what").agg(F.count("*").alias("n"))
+    """Rows a load finds, accepts, keeps and rejects; every hundredth post cannot be read."""
+    posts = _posts_landed(spark, sf)
+    cut = F.when(F.col("place.row") % 100 == 1, F.expr("substring(json, 1, length(json) - 2)")).otherwise(F.col("json"))
+    return ing.load_counts(ing.parse_landing(_users_landed(spark, sf), posts.withColumn("json", cut)))
+
+
+@query
+def cleared_comments(spark, sf):
+    """What a load into a cleared table leaves there."""
+    empty = tables.empty_table(spark, "comments")
+    return merge.upsert(empty, P.comments(spark, sf), "comment_id", [F.col("comment_created_utc").desc()])
