@@ -9,7 +9,7 @@ is just the threshold fail to meet less often than once in a million; full sets
 Texts with equal sets are one node. Linked nodes are found without listing all pairs of a bucket: while
 a bucket holds several components, its members are compared with one leader from its first component.
 After some rounds with changing leaders, what is still apart is compared in blocks, member by member
-across components. Only pairs already in one component are never compared, so no link between
+across components, where only links are written down. Only pairs already in one component are never compared, so no link between
 components is lost.
 
 Null texts are empty; empty texts (or such without words) are linked with nothing and stay. A component
@@ -36,9 +36,9 @@ from chatterscope.llm.shared import steps, stored, unused
 #: Share of pairs just at the threshold that may meet in no table.
 MISSED = 1e-6
 #: Rounds with one leader to a bucket before the rest is compared in blocks.
-LEADER_ROUNDS = 4
-#: Members of a block.
-BLOCK = 2000
+LEADER_ROUNDS = 2
+#: Shingles of the sets in a block, about.
+BLOCK = 1 << 20
 #: Sub-keys of both collections that a pair must share to be compared in blocks. At likeness 0.8 fewer
 #: than this many of 30 agree less often than once in 10^8.
 LEAST_SHARED = 5
@@ -134,16 +134,14 @@ def _shingled(width: int):
 
 
 def _tables(nodes: DataFrame, m: int) -> DataFrame:
-    """(key, i, j, node) for the tables where a node can meet another: those whose two sub-keys each
+    """(key, node) for the tables where a node can meet another: those whose two sub-keys each
     belong to several nodes. nodes: node, subs."""
     subs = nodes.select("node", F.posexplode("subs").alias("k", "sub"))
     shared = subs.groupBy("k", "sub").agg(F.count("*").alias("n")).where("n > 1").select("k", "sub")
     live = subs.join(shared, ["k", "sub"]).groupBy("node").agg(F.collect_list(F.struct("k", "sub")).alias("live"))
     one = live.select("node", "live", F.explode(F.filter("live", lambda x: x["k"] < m)).alias("a"))
     two = one.select("node", "a", F.explode(F.filter("live", lambda x: x["k"] >= m)).alias("b"))
-    return two.select(
-        F.xxhash64("a.k", "a.sub", "b.k", "b.sub").alias("key"), F.col("a.k").alias("i"), F.col("b.k").alias("j"), "node"
-    )
+    return two.select(F.xxhash64("a.k", "a.sub", "b.k", "b.sub").alias("key"), "node")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -155,64 +153,96 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(both * like.parts >= either * like.share).select("a", "b")
 
 
-def _across(m: int):
-    """Pairs of different components in a unit that share enough sub-keys, each in the first table where
-    they meet only. Rows come unit by unit: key, i, j, p, q, block, node, label, subs."""
-
-    def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j, p, q = rows[0][:4]
-        block, node, label = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        subs = np.array([r[7] for r in rows], np.int64).reshape(len(rows), 2 * m)
-        names, sizes = np.unique(label, return_counts=True)
-        # Each pair of components has a side in a component other than the largest.
-        few = np.flatnonzero(label != names[sizes.argmax()])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        outside = np.ones(len(rows), bool)
-        for x in few:
-            outside[x] = False  # once from either side
-            ok = outside & (label != label[x])
+@dataclass
+class _Unit:
+    """Two blocks of the nodes that share sub-key i, or one block twice."""
+
+    name: tuple
+    rows: list[tuple]
+
+    def links(self, m: int, like: Likeness) -> list[tuple[int, int]]:
+        """One link (a, b) for each two components of the unit that have any, by full sets."""
+        _, _, i, p, q = self.name
+        block, node, label = (np.array([r[k] for r in self.rows], np.int64) for k in range(3))
+        subs = np.stack([r[3] for r in self.rows])
+        sizes = np.array([len(r[4]) for r in self.rows])
+        first = np.cumsum(sizes) - sizes
+        _, items = np.unique(np.concatenate([r[4] for r in self.rows]), return_inverse=True)
+        names, members = np.unique(label, return_counts=True)
+        # Of any two components one is not the largest: its members are compared with all others.
+        few = np.flatnonzero(label != names[members.argmax()])
+        todo = np.ones(len(node), bool)
+        marked = np.zeros(int(items.max()) + 1, bool)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for x in few.tolist():
+            todo[x] = False  # once from either side
+            ok = todo & (label != label[x])
             if p != q:
                 ok &= block != block[x]
             at = np.flatnonzero(ok)
             same = subs[at] == subs[x]
-            at = at[(same.sum(1) >= LEAST_SHARED) & (same[:, :m].argmax(1) == i) & (same[:, m:].argmax(1) == j - m)]
-            left.append(np.full(len(at), node[x]))
-            right.append(node[at])
-        return np.concatenate(left), np.concatenate(right)
+            # Each pair in the first sub-key that it shares, if it shares one of either collection.
+            at = at[(same.sum(1) >= LEAST_SHARED) & (same[:, :m].argmax(1) == i) & same[:, m:].any(1)]
+            if not len(at):
+                continue
+            own = items[first[x] : first[x] + sizes[x]]
+            marked[own] = True
+            both = np.add.reduceat(marked[items], first)[at]
+            marked[own] = False
+            linked = at[both * like.parts >= (sizes[at] + sizes[x] - both) * like.share]
+            for y in linked.tolist():
+                found.setdefault((min(label[x], label[y]), max(label[x], label[y])), (int(node[x]), int(node[y])))
+        return list(found.values())
+
+
+def _across(m: int, like: Likeness):
+    """Links between components in each unit. Rows come unit by unit."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
+        unit = None
+        links: list[tuple[int, int]] = []
         for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "p", "q", "block", "node", "label", "subs")), strict=True):
-                if (r[0], r[1], r[2], r[3], r[4]) != unit:
-                    if rows:
-                        x, y = pairs_of(rows)
-                        a.append(x)
-                        b.append(y)
-                    unit, rows = (r[0], r[1], r[2], r[3], r[4]), []
-                rows.append(r[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-        if rows:
-            x, y = pairs_of(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            names = zip(*(batch.column(c).to_pylist() for c in ("k", "sub", "i", "p", "q")), strict=True)
+            block, node, label = (batch.column(c).to_pylist() for c in ("block", "node", "label"))
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("subs"), batch.column("items"))]
+            for r, name in enumerate(names):
+                if unit is None or unit.name != name:
+                    links += unit.links(m, like) if unit else []
+                    unit = _Unit(name, [])
+                subs, items = (v[at[r] : at[r + 1]].copy() for v, at in lists)
+                unit.rows.append((block[r], node[r], label[r], subs, items))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], schema=_LINKS)
+            links = []
+        if unit:
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in unit.links(m, like)], schema=_LINKS)
 
     return across
 
 
-def _in_blocks(apart: DataFrame, nodes: DataFrame, m: int) -> DataFrame:
-    """Pairs (a, b) to compare among `apart` (key, i, j, node, label), whose buckets have several labels.
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
-    A bucket goes to the tasks in units of two blocks, so none holds more than two blocks of it.
+def _in_blocks(apart: DataFrame, nodes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) between components among the nodes of `apart` (node, label).
+
+    Nodes that meet in some table share a sub-key of the first collection, so its m buckets take the
+    place of the m * m tables. A bucket goes to the tasks in units of two blocks of bounded size, and
+    full sets are compared there: pairs are not written out, only links.
     """
-    sizes = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = apart.join(sizes, "key").join(nodes.select("node", "subs"), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "i", "j", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label", "subs"
+    members = nodes.join(apart.select("node", "label").distinct(), "node")
+    keys = members.select("node", "label", F.size("subs").alias("n"), F.posexplode("subs").alias("k", "sub")).where(f"k < {like.m}")
+    sized = keys.drop("n").join(sets.select("node", F.size("items").alias("n")), "node")
+    shared = sized.groupBy("k", "sub").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")
+    )
+    shared = shared.where("low < high").select("k", "sub", "blocks")
+    placed = keys.join(shared, ["k", "sub"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "k", "sub", F.col("k").alias("i"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label"
     )
-    order = ["key", "i", "j", "p", "q"]
-    return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(m), "a long, b long").distinct()
+    full = units.join(nodes.select("node", "subs").join(sets, "node"), "node")
+    order = ["k", "sub", "p", "q"]
+    return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(like.m, like), "a long, b long")
 
 
 def linked(nodes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
@@ -223,28 +253,24 @@ def linked(nodes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     tables = stored(_tables(nodes, like.m), "tables")
     labels = stored(tables.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
     sets = stored(texts.join(labels.select("node"), "node").select("node", _shingled(like.width)(F.col("text")).alias("items")), "sets")
-    compared = None
     for turn in range(LEADER_ROUNDS + 1):
         placed = tables.join(labels, "node")
         # The first leaders are the same in all of a group's buckets, later ones differ from bucket to bucket.
         draw = F.xxhash64("node", "key", F.lit(turn)) if turn else F.xxhash64("node")
-        leads = placed.groupBy("key", "i", "j").agg(
+        leads = placed.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", draw.alias("draw"), "node")).alias("lead")
         )
-        leads = leads.where("low < high").select("key", "i", "j", F.col("lead.node").alias("lead"), "low")
-        apart = stored(placed.join(leads, ["key", "i", "j"]), "apart")
+        leads = leads.where("low < high").select("key", F.col("lead.node").alias("lead"), "low")
+        apart = stored(placed.join(leads, "key"), "apart")
         if apart.isEmpty():
-            return labels
-        tables = apart.select("key", "i", "j", "node")
+            break
+        tables = apart.select("key", "node")
         if turn < LEADER_ROUNDS:
             pairs = apart.where("label <> low").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+            links = _confirmed(pairs, sets, like)
         else:
-            pairs = _in_blocks(apart.select("key", "i", "j", "node", "label"), nodes, like.m)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        labels = merged(labels, stored(_confirmed(pairs, sets, like), "links"))
+            links = _in_blocks(apart, nodes, sets, like)
+        labels = merged(labels, stored(links, "links"))
     return labels
 
 

@@ -60,7 +60,7 @@ def test_equal_to_brute_force(spark, like):
 
 def test_many_members_at_the_threshold(spark, monkeypatch):
     """A group whose pairs lie on both sides of the threshold, compared in small blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 2000)
     monkeypatch.setattr(minhash, "LEADER_ROUNDS", 1)
     like = Likeness(3, 85)
     rows = list(enumerate(corpus(5, 3, 150, 120, 5)))
