@@ -34,8 +34,9 @@ MOST = 256
 BITS = 5
 #: Bytes of a run of duplicate chunks from which it is removed.
 RUN = 96
-#: Rows of a measured table of texts up to which a join broadcasts it; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Values (of some 20 bytes) of a measured table up to which a join broadcasts it; beyond, both sides are
+#: shuffled.
+BROADCAST_VALUES = 1_000_000
 
 _GEAR = np.random.default_rng(20_240_501).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
@@ -120,29 +121,41 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
+def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """`df`, a stored table, marked for broadcast if it was counted and is small. values: how many a row
+    holds, if not a few."""
+    size = df.agg(F.sum(F.lit(1) if values is None else values)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_VALUES else df
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(t1, t2, first, spans) for texts of `docs` (doc_id, text as binary) that lose something: the
-    doc_id of the first document with the text, whether there are others, and what that one loses."""
+    """(t1, t2, first, several, spans) for texts of `docs` (doc_id, text as binary) that lose something:
+    the doc_id of the first document with the text, whether there are others, what that one loses."""
     found = F.arrow_udf(_chunks, "array<struct<n:int,d1:long,d2:long>>")
     rows = docs.select("doc_id", *_key(F.col("text")), found(F.col("text")).alias("chunks"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "chunks")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    texts = rows.groupBy("t1", "t2").agg(
-        F.min(order).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("known"), F.count("*").alias("n")
+    none = F.col("doc_id").isNull().alias("none")
+    copies = rows.groupBy("t1", "t2").agg(
+        F.min(F.struct(none, "doc_id", "row")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+        F.count("doc_id").alias("known"), F.count("*").alias("n"),
     )
     # More than one document: other doc_ids, or some and none; repeated rows of one doc_id are one.
     several = (F.col("low") < F.col("high")) | ((F.col("known") > 0) & (F.col("known") < F.col("n")))
-    texts = stored(texts.select("t1", "t2", several.alias("several"), "first"), "texts")
-    one = rows.select("row", "chunks").join(texts.select(F.col("first.row").alias("row"), "first"), "row")
-    each = one.select("first", F.posexplode("chunks").alias("k", "c")).select(
-        F.struct("first.none", "first.doc_id", "first.row", "k").alias("place"), "c.d1", "c.d2"
+    copies = stored(copies.where("n > 1").select("t1", "t2", "first", several.alias("several")), "copies")
+    # The first row of each text stands for all.
+    one = rows.join(_small(copies), ["t1", "t2"], "left").where("first is null or row = first.row")
+    each = one.select(none, "doc_id", "row", F.posexplode("chunks").alias("k", "c")).select(
+        F.struct("none", "doc_id", "row", "k").alias("place"), "c.d1", "c.d2"
     )
     shared = each.groupBy("d1", "d2").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = each.join(shared, ["d1", "d2"]).where("place > one").groupBy(F.col("place.row").alias("row")).agg(F.collect_list("place.k").alias("later"))
     spans = F.arrow_udf(_runs, "array<struct<start:int,end:int>>")
-    lost = one.join(later, "row").select("row", spans(F.col("chunks.n"), F.col("later")).alias("spans"))
-    fate = texts.join(lost, texts["first.row"] == lost["row"], "left").select("t1", "t2", F.col("first.doc_id").alias("first"), "several", "spans")
-    return stored(fate.where("several or size(spans) > 0"), "fate")
+    lost = rows.join(later, "row").select("row", "t1", "t2", "doc_id", spans(F.col("chunks.n"), F.col("later")).alias("spans"))
+    lost = lost.where(F.size("spans") > 0)
+    fate = lost.join(copies, ["t1", "t2"], "full").select(
+        "t1", "t2", F.coalesce("first.doc_id", "doc_id").alias("first"), F.coalesce("several", F.lit(False)).alias("several"), "spans"
+    )
+    return stored(fate.where("several or spans is not null"), "fate")
 
 
 def _spans_of(n: int, gone: bool | None, spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -184,10 +197,9 @@ def _with_fate(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     fate = duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
     name = unused(docs, "chunk_fate")
     fate = fate.select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("first", "several", "spans").alias(name))
-    if fate.count() <= BROADCAST_ROWS:
-        fate = F.broadcast(fate)
     t1, t2 = _key(text)
-    placed = docs.join(fate, (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2")
+    few = F.lit(1) + F.coalesce(F.size(F.col(f"{name}.spans")), F.lit(0))
+    placed = docs.join(_small(fate, few), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2")
     gone = F.col(f"{name}.several") & ~F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}.first"))
     return placed, [text, gone, F.col(f"{name}.spans")]
 

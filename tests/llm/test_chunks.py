@@ -66,9 +66,9 @@ def brute(rows):
     return sorted(result, key=str)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_equal_to_brute_force(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(chunks, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("values", [0, 1000])
+def test_equal_to_brute_force(spark, monkeypatch, values):
+    monkeypatch.setattr(chunks, "BROADCAST_VALUES", values)
     rnd = random.Random(6)
     passages = [prose(rnd, n) for n in (60, 80, 200)]
     texts = [prose(rnd, rnd.choice([2, 40, 300])) + rnd.choice([" ", rnd.choice(passages)]) + prose(rnd, rnd.choice([3, 60])) for _ in range(120)]
