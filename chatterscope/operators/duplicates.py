@@ -27,16 +27,19 @@ def duplicate_ids(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     """Ids of the rows that share their normalised key with another row.
 
     Counting combines map-side, so a hot key sends one row per task. On the way back the most
-    frequent keys, a fixed number of them, are broadcast: their rows are known to be duplicates and
-    are not shuffled at all. No key that is left holds more than one row in `HOT_KEYS`.
+    frequent keys, a fixed number of them, are broadcast: their rows are known to be duplicates, and
+    look for a value of their own among the counts, which spreads them. No key that is left holds
+    more than one row in `HOT_KEYS`.
     """
     rows = df.select(row_id, digest(*(F.col(k) for k in keys)).alias("_key")).where(F.col("_key").isNotNull())
     counted = rows.groupBy("_key").agg(F.count("*").alias("_n"))
     repeated = counted.where(F.col("_n") > 1)
-    hot = repeated.orderBy(F.col("_n").desc(), "_key").limit(HOT_KEYS).select("_key")
-    known = rows.join(F.broadcast(hot), "_key", "left_semi").select(row_id)
-    others = rows.join(F.broadcast(hot), "_key", "left_anti")
-    return known.unionByName(others.join(repeated.select("_key"), "_key", "left_semi").select(row_id))
+    hot = repeated.orderBy(F.col("_n").desc(), "_key").limit(HOT_KEYS).select("_key", F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), "_key", "left")
+    sought = F.when(F.col("_hot"), F.unhex(F.sha2(F.col(row_id).cast("string"), 512))).otherwise(F.col("_key"))
+    marked = marked.withColumn("_key", sought)
+    found = marked.join(repeated.select("_key", F.lit(True).alias("_found")), "_key", "left")
+    return found.where("_hot or _found").select(row_id)
 
 
 def flag_duplicates(

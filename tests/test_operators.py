@@ -295,3 +295,13 @@ def test_limits_from_settings():
     assert REPORT_PRESET.karma == 500
     with pytest.raises(ValueError):
         Thresholds(karma=1, inactivity_days=0)
+
+
+def test_duplicates_move_rows_twice(spark):
+    """One exchange for the counts and one for the rows on the way back, whose counts stay where they are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = duplicates.duplicate_ids(hot(spark), ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("Range (") <= 3

@@ -278,7 +278,7 @@ def _comment_report() -> str:
           from (select e_toks.id, t, {_clean_tokens('body')} as ct from fx_comments join e_toks on id = comment_id)""",
     }
     body = f"""
-      select comment_id as "Comment ID", comment_author as "Author", comment_created_utc as "Created ON",
+      select comment_id as "Comment ID", coalesce(comment_author, '') as "Author", comment_created_utc as "Created ON",
         body as "Body", comment_score as "Comment Score", is_submitter as "Is Submitter", edited as "Edited",
         link_id as "Submission ID", shown as "Sentiment", coalesce(words, '') as "Named Entities",
         printf('%.2f', r) || ' (' || {_DIVERSITY} || ')' as "Lexical Diversity",
