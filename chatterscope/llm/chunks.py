@@ -107,13 +107,16 @@ def runs(lengths: list[int], duplicate: list[int], least: int) -> list[tuple[int
     return [(a, b) for a, b in found if b - a >= least]
 
 
-def _runs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for lengths, duplicate in batches:
-        found = [
-            [{"start": a, "end": b} for a, b in runs(x, y, RUN)]
-            for x, y in zip(lengths.to_pylist(), duplicate.to_pylist(), strict=True)
-        ]
-        yield pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+def _runs(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """struct(spans, repeated): runs of chunks that occurred before, and bytes in runs of chunks that occur
+    elsewhere, before or after."""
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for lengths, shared in batches:
+        found, repeated = [], []
+        for x, y in zip(lengths.to_pylist(), shared.to_pylist(), strict=True):
+            found.append([{"start": a, "end": b} for a, b in runs(x, [c["k"] for c in y if c["later"]], RUN)])
+            repeated.append(sum(b - a for a, b in runs(x, [c["k"] for c in y], RUN)))
+        yield pa.StructArray.from_arrays([pa.array(found, spans), pa.array(repeated, pa.int64())], names=["spans", "repeated"])
 
 
 def _key(text: Column) -> list[Column]:
@@ -129,8 +132,9 @@ def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(t1, t2, first, several, spans) for texts of `docs` (doc_id, text as binary) that lose something:
-    the doc_id of the first document with the text, whether there are others, what that one loses."""
+    """(t1, t2, first, several, spans, repeated) for texts of `docs` (doc_id, text as binary) that have
+    something in common: the doc_id of the first document with the text, whether there are others, what
+    that one loses, and how many of its bytes occur elsewhere."""
     found = F.arrow_udf(_chunks, "array<struct<n:int,d1:long,d2:long>>")
     rows = docs.select("doc_id", *_key(F.col("text")), found(F.col("text")).alias("chunks"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "chunks")
@@ -148,14 +152,16 @@ def duplicates(docs: DataFrame) -> DataFrame:
         F.struct("none", "doc_id", "row", "k").alias("place"), "c.d1", "c.d2"
     )
     shared = each.groupBy("d1", "d2").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = each.join(shared, ["d1", "d2"]).where("place > one").groupBy(F.col("place.row").alias("row")).agg(F.collect_list("place.k").alias("later"))
-    spans = F.arrow_udf(_runs, "array<struct<start:int,end:int>>")
-    lost = rows.join(later, "row").select("row", "t1", "t2", "doc_id", spans(F.col("chunks.n"), F.col("later")).alias("spans"))
-    lost = lost.where(F.size("spans") > 0)
-    fate = lost.join(copies, ["t1", "t2"], "full").select(
-        "t1", "t2", F.coalesce("first.doc_id", "doc_id").alias("first"), F.coalesce("several", F.lit(False)).alias("several"), "spans"
+    own = each.join(shared, ["d1", "d2"]).groupBy(F.col("place.row").alias("row")).agg(
+        F.collect_list(F.struct(F.col("place.k").alias("k"), (F.col("place") > F.col("one")).alias("later"))).alias("shared")
     )
-    return stored(fate.where("several or spans is not null"), "fate")
+    spans = F.arrow_udf(_runs, "struct<spans:array<struct<start:int,end:int>>,repeated:long>")
+    lost = rows.join(own, "row").select("t1", "t2", "doc_id", spans(F.col("chunks.n"), F.col("shared")).alias("r")).select("t1", "t2", "doc_id", "r.*")
+    fate = lost.where("repeated > 0").join(copies, ["t1", "t2"], "full").select(
+        "t1", "t2", F.coalesce("first.doc_id", "doc_id").alias("first"), F.coalesce("several", F.lit(False)).alias("several"),
+        "spans", F.coalesce("repeated", F.lit(0)).alias("repeated"),
+    )
+    return stored(fate.where("several or repeated > 0"), "fate")
 
 
 def _spans_of(n: int, gone: bool | None, spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -191,28 +197,34 @@ def _rest(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
 
 
-def _with_fate(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """`docs` with what their texts lose, and the arguments of what cuts them."""
+def _with_fate(docs: DataFrame) -> tuple[DataFrame, str, list[Column]]:
+    """`docs` with what their texts lose in a column, its name, and the arguments of what cuts them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     fate = duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
     name = unused(docs, "chunk_fate")
-    fate = fate.select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("first", "several", "spans").alias(name))
+    fate = fate.select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("first", "several", "spans", "repeated").alias(name))
     t1, t2 = _key(text)
     few = F.lit(1) + F.coalesce(F.size(F.col(f"{name}.spans")), F.lit(0))
     placed = docs.join(_small(fate, few), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2")
     gone = F.col(f"{name}.several") & ~F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}.first"))
-    return placed, [text, gone, F.col(f"{name}.spans")]
+    return placed, name, [text, gone, F.col(f"{name}.spans")]
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    placed, arguments = _with_fate(docs.select("doc_id", "text"))
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and n_repeated, the bytes that occur
+    elsewhere, before or after: all of a text that another document has."""
+    placed, name, arguments = _with_fate(docs.select("doc_id", "text"))
     report = F.arrow_udf(_report, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
-    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), report(*arguments).alias("r")).select("doc_id", "r.*")
+    placed = placed.select(
+        F.col("doc_id").cast("long").alias("doc_id"), report(*arguments).alias("r"), F.col(name).alias("fate")
+    )
+    whole = F.col("fate.several") & (F.col("r.n_bytes") >= RUN)
+    repeated = F.when(whole, F.col("r.n_bytes")).otherwise(F.coalesce("fate.repeated", F.lit(0)))
+    return placed.select("doc_id", "r.*", repeated.cast("long").alias("n_repeated"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows with all their columns, duplicate runs cut out of `text`; null becomes empty."""
-    placed, arguments = _with_fate(docs)
+    placed, _, arguments = _with_fate(docs)
     rest = F.arrow_udf(_rest, "string")(*arguments)
     return placed.withColumn("text", rest).select(*docs.columns)
