@@ -506,6 +506,7 @@ def build() -> dict[str, str]:
             f"""select redditor_id, burst_count is not null as burst_activity, coalesce(burst_count, 0) as burst_count,
               coalesce(max_burst_size, 0) as max_burst_size from fx_users left join ({_BURSTS}) using (redditor)""", "users", "activity",
         ),
+        "submissions_as_lines": _sql("select * from fx_submissions", "submissions"),
         "landing_rejects": _sql(
             """select reason, count(*) as n from (
               select case substring(comment_id, 2)::int % 7 when 0 then 'malformed' when 1 then 'not an object' when 2 then 'not an object' end as reason

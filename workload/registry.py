@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from chatterscope.plans import ingest as ing
 from chatterscope.plans import submissions as sp
 from chatterscope.plans import users as up
 from chatterscope.sources import landing, reports, tables
+from chatterscope.streaming import load
 from workload import projections as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +193,14 @@ def landing_submissions(spark, sf):
     return landing.to_submission_rows(landing.with_author_label(landing.parse_submissions(posts)))
 
 
+@query
+def submissions_as_lines(spark, sf):
+    """Submissions written as newline-delimited records to the shared folder, and read again."""
+    folder = load.checkpoint_folder(spark, f"lines-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+    reports.write_lines(P.submissions(spark, sf), folder)
+    return landing.to_submission_rows(landing.parse_submissions(landing.read_lines(spark, [folder])))
+
+
 # The whole load
 
 
