@@ -17,7 +17,8 @@ without sorting all positions.
 
 Equal texts are one text with a count: of the threshold's length or more, it is repeated as a whole.
 Hot classes, ranks and windows are counted with partial sums before they move, and joins that bring
-counts back split skewed keys. Hashes of windows and classes have 128 bits, ranks are exact.
+counts back split skewed keys. Classes are told apart by 128 bits (those of the anchor's block and of the
+spanned bytes), windows by 96, ranks exactly.
 
 Null texts are empty; texts shorter than the threshold keep every byte. A null doc_id is a document like
 any other, repeated rows are documents with equal texts. Extra columns are ignored or kept.
@@ -42,8 +43,9 @@ THRESHOLD = 400
 BLOCK = 64
 #: Window starts of a longer text that are looked at together.
 SLICE = 1 << 22
-#: Rows of a measured table of texts up to which a join broadcasts it; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Values (of some 20 bytes) of a measured table up to which a join broadcasts it; beyond, both sides are
+#: shuffled.
+BROADCAST_VALUES = 1_000_000
 
 _RANDOM = np.random.default_rng(20_240_401)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,8 +72,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first and last window start, hash of the anchor's block, class digest) of every
-    anchor; places count from the start of its text."""
+    """(text, anchor, first and last window start, hash of the anchor's block, hash of the bytes that its
+    windows span) of every anchor; places count from the start of its text."""
     pieces = []  # of texts, so long that each window start of the text lies in one
     for k, t in enumerate(texts):
         for at in range(0, max(len(t) - THRESHOLD + 1, 0), SLICE):
@@ -95,24 +97,24 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         low = windows[begins]
         high = windows[np.append(begins[1:], len(windows)) - 1]
         owner = np.searchsorted(ends, low, "right")
-        digest = b"".join([xxhash.xxh3_128_digest(joined[a : b + THRESHOLD]) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        spanned = [xxhash.xxh3_64_intdigest(joined[a : b + THRESHOLD]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         shift = np.array([p[1] for p in pieces[first:last]])[owner] - starts[owner]
         text = np.array([p[0] for p in pieces[first:last]])[owner]
-        c = np.frombuffer(digest, np.int64).reshape(-1, 2)
-        out.append((text, at[low] + shift, low + shift, high + shift, h[at[low]].view(np.int64), c[:, 0], c[:, 1]))
+        c = np.array(spanned, np.uint64).view(np.int64)
+        out.append((text, at[low] + shift, low + shift, high + shift, h[at[low]].view(np.int64), c))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         texts = [t or b"" for t in batch.to_pylist()]
-        text, at, low, high, g, c1, c2 = anchors(texts)
+        text, at, low, high, g, c = anchors(texts)
         offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
         fields = pa.StructArray.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(g), pa.array(c1), pa.array(c2)],
-            names=["a", "lo", "hi", "g", "c1", "c2"],
+            [pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(g), pa.array(c)],
+            names=["a", "lo", "hi", "g", "c"],
         )
         yield pa.ListArray.from_arrays(pa.array(offsets), fields)
 
@@ -121,8 +123,8 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that each wanted anchor's windows span."""
     for batch in batches:
         rows = [
-            (w["g"], w["row"], w["settled"], w["lo"], w["a"] - w["lo"], text[w["lo"] : w["hi"] + THRESHOLD])
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True)
+            (w["g"], row, w["settled"], w["lo"], w["a"] - w["lo"], text[w["lo"] : w["hi"] + THRESHOLD])
+            for text, row, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "row", "wanted")), strict=True)
             for w in wanted
         ]
         yield pa.RecordBatch.from_pylist(
@@ -158,8 +160,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = np.zeros(len(at), np.uint64)
                 for k, part in enumerate(parts):
                     w = words.mix(w ^ (h[at + part] * _FACTORS[32 + 2 * k + salt]))
-                found.append(pa.array(w.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*found, pa.array(np.concatenate(places))], names=["w1", "w2", "place"])
+                found.append(w)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[0].view(np.int64)), pa.array((found[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.concatenate(places))],
+                names=["w1", "w2", "place"],
+            )
+
+
+def _joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Spans [start, end), in any order, as maximal runs."""
+    for batch in batches:
+        runs = [[{"start": a, "end": b} for a, b in maximal(0, False, spans)] for spans in batch.to_pylist()]
+        yield pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
 
 def _key(text: Column) -> list[Column]:
@@ -167,9 +179,11 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, a stored table, marked for broadcast if it was counted and is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """`df`, a stored table, marked for broadcast if it was counted and is small. values: how many a row
+    holds, if not a few."""
+    size = df.agg(F.sum(F.lit(1) if values is None else values)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_VALUES else df
 
 
 def _reranked(state: DataFrame, step: int) -> DataFrame:
@@ -214,32 +228,25 @@ def _stretches(regions: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(t1, t2, whole, spans) of the texts of `docs` (doc_id, text as binary) that have repeated bytes:
-    all of them, or those in [start, end) of spans, which may overlap."""
+    all of them, or those in the runs [start, end) of spans."""
     keyed = docs.select("doc_id", "text", *_key(F.col("text")))
-    found = F.arrow_udf(_anchors, "array<struct<a:int,lo:int,hi:int,g:long,c1:long,c2:long>>")
+    found = F.arrow_udf(_anchors, "array<struct<a:int,lo:int,hi:int,g:long,c:long>>")
     rows = keyed.select("doc_id", "t1", "t2", F.length("text").alias("n_bytes"), found(F.col("text")).alias("anchors"))
     rows = stored(rows.where(f"n_bytes >= {THRESHOLD}").withColumn("row", F.monotonically_increasing_id()), "anchors")
-    texts = stored(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("row").alias("row")), "texts")
-    one = rows.join(texts.select("row", "copies"), "row")
-    found = stored(one.select("row", (F.col("copies") > 1).alias("copied"), F.explode("anchors").alias("x")).select("row", "copied", "x.*"), "places")
-    classes = found.groupBy("g", "c1", "c2").agg(
+    copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("row").alias("one")).where("n > 1").drop("n")
+    copies = stored(copies, "copies")
+    # The first row of each text stands for all.
+    one = rows.join(_small(copies), ["t1", "t2"], "left").where("one is null or row = one")
+    one = one.withColumn("copied", F.col("one").isNotNull())
+    places = one.select("row", "copied", F.explode("anchors").alias("x")).select("row", "copied", "x.*")
+    classes = places.groupBy("g", "c").agg(
         ((F.count("*") > 1) | F.bool_or("copied")).alias("settled"), F.min(F.struct("row", "a", "lo", "hi")).alias("one")
     )
-    classes = stored(classes, "classes")
-    contested = classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    wanted = classes.join(contested, "g").select("g", "settled", "one.*")
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("g", "row", "settled", "a", "lo", "hi")).alias("wanted"))
-    wanted = stored(wanted.join(rows.select("row", "doc_id", "t1", "t2"), "row").withColumnsRenamed({"doc_id": "d", "t1": "u1", "t2": "u2"}), "wanted")
-    same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    regions = keyed.join(_small(wanted), same).select("text", "wanted").mapInArrow(
-        _regions, "g long, row long, settled boolean, lo int, a int, region binary"
-    )
-    # Rows that repeat doc_id and text bring a region twice; once is enough.
-    regions = regions.withColumn("region_id", F.monotonically_increasing_id())
-    regions = stored(regions, "regions")
-    stretches = _stretches(regions)
-    windows = regions.join(stretches, "region_id").select("region_id", "settled", "a", "region", "stretches")
-    windows = stored(windows.mapInArrow(_windows, "w1 long, w2 long, place long"), "windows")
+    classes = stored(classes.select("g", "c", "settled", "one.*"), "classes")
+    contested = stored(classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "contested")
+    regions = _wanted_regions(keyed, rows, classes.join(_small(contested), "g"))
+    windows = regions.join(_stretches(regions), "region_id").select("region_id", "settled", "a", "region", "stretches")
+    windows = windows.mapInArrow(_windows, "w1 long, w2 int, place long")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     hits = windows.where("place >= 0").join(twice, ["w1", "w2"]).select(
         F.shiftright("place", 9).alias("region_id"), F.col("place").bitwiseAND(511).cast("int").alias("at")
@@ -247,13 +254,29 @@ def repeated(docs: DataFrame) -> DataFrame:
     by_window = hits.join(regions.select("region_id", "row", "lo"), "region_id").select(
         "row", (F.col("lo") + F.col("at")).alias("start"), (F.col("lo") + F.col("at") + THRESHOLD).alias("end")
     )
-    whole_class = classes.where("settled").select("g", "c1", "c2")
-    by_class = found.where("not copied").join(whole_class, ["g", "c1", "c2"]).select(
+    whole_class = stored(classes.where("settled").select("g", "c"), "settled")
+    by_class = places.where("not copied").join(_small(whole_class), ["g", "c"]).select(
         "row", F.col("lo").alias("start"), (F.col("hi") + THRESHOLD).alias("end")
     )
     spans = by_class.unionByName(by_window).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    fate = texts.join(spans, "row", "left").select("t1", "t2", (F.col("copies") > 1).alias("whole"), "spans")
-    return stored(fate.where("whole or spans is not null"), "repeated")
+    runs = F.arrow_udf(_joined, "array<struct<start:int,end:int>>")
+    in_part = spans.select("row", runs(F.col("spans")).alias("spans")).join(rows.select("row", "t1", "t2"), "row")
+    in_part = in_part.select("t1", "t2", F.lit(False).alias("whole"), "spans")
+    as_whole = copies.select("t1", "t2", F.lit(True).alias("whole"), F.lit(None).cast(in_part.schema["spans"].dataType).alias("spans"))
+    return stored(in_part.unionByName(as_whole), "repeated")
+
+
+def _wanted_regions(keyed: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(region_id, row, settled, lo, a, g, region) for anchors `wanted`: the bytes their windows span."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("settled", "a", "lo", "hi", "g")).alias("wanted"))
+    lists = stored(lists.join(rows.select("row", "doc_id", "t1", "t2"), "row"), "wanted")
+    lists = lists.withColumnsRenamed({"doc_id": "d", "t1": "u1", "t2": "u2"})
+    same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    found = keyed.join(_small(lists, 2 * F.size("wanted")), same).select("text", "row", "wanted").mapInArrow(
+        _regions, "g long, row long, settled boolean, lo int, a int, region binary"
+    )
+    # Rows that repeat doc_id and text bring a settled region twice, which does no harm.
+    return stored(found.withColumn("region_id", F.monotonically_increasing_id()), "regions")
 
 
 def maximal(n: int, whole: bool | None, spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -283,7 +306,8 @@ def _with_fate(docs: DataFrame, text: Column) -> tuple[DataFrame, str]:
     name = unused(docs, "repeated")
     fate = repeated(plain).select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("whole", "spans").alias(name))
     t1, t2 = _key(text)
-    return docs.join(_small(fate), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2"), name
+    few = F.lit(1) + F.coalesce(F.size(F.col(f"{name}.spans")), F.lit(0))
+    return docs.join(_small(fate, few), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2"), name
 
 
 def _binary() -> Column:

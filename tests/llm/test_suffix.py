@@ -93,7 +93,7 @@ def test_slices_and_small_steps_change_nothing(spark, monkeypatch, size):
     texts = [prose(rnd, 30) + a + prose(rnd, 40) + b for a in p for b in p]
     want = brute(texts)
     monkeypatch.setattr(suffix, "SLICE", size)
-    monkeypatch.setattr(suffix, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(suffix, "BROADCAST_VALUES", 0)
     found = suffix.anchors([t.encode() for t in texts])
     for k, t in enumerate(texts):
         own = found[0] == k
