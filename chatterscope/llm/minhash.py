@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chatterscope.llm import words
 from chatterscope.llm.components import merged
-from chatterscope.llm.shared import steps, stored, unused
+from chatterscope.llm.shared import small, steps, stored, unused
 
 #: Share of pairs just at the threshold that may meet in no table.
 MISSED = 1e-6
@@ -252,7 +252,7 @@ def linked(nodes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """
     tables = stored(_tables(nodes, like.m), "tables")
     labels = stored(tables.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
-    sets = stored(texts.join(labels.select("node"), "node").select("node", _shingled(like.width)(F.col("text")).alias("items")), "sets")
+    sets = stored(texts.join(small(labels.select("node")), "node").select("node", _shingled(like.width)(F.col("text")).alias("items")), "sets")
     for turn in range(LEADER_ROUNDS + 1):
         placed = tables.join(labels, "node")
         # The first leaders are the same in all of a group's buckets, later ones differ from bucket to bucket.
@@ -314,5 +314,5 @@ def components(docs: DataFrame, like: Likeness) -> DataFrame:
 def representatives(docs: DataFrame, like: Likeness) -> DataFrame:
     """One row of each component, that of its smallest doc_id, with all columns."""
     rows, placed, name = _by_component(docs, like)
-    first = placed.where(F.col("row") == F.col("first")).select(F.col("row").alias(f"{name}_kept"))
-    return rows.join(first, F.col(name)["row"] == F.col(f"{name}_kept"), "left_semi").drop(name)
+    others = stored(placed.where(F.col("row") != F.col("first")).select(F.col("row").alias(f"{name}_other")), "others")
+    return rows.join(small(others), F.col(name)["row"] == F.col(f"{name}_other"), "left_anti").drop(name)

@@ -81,3 +81,13 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Values (of some 20 bytes) of a measured table up to which a join broadcasts it; beyond, both sides are
+#: shuffled.
+BROADCAST_VALUES = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, a stored narrow table, marked for broadcast if it was counted and is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_VALUES else df

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from chatterscope.llm import minhash
+from chatterscope.llm import minhash, shared
 from chatterscope.llm.components import merged
 from chatterscope.llm.minhash import Likeness
 
@@ -69,7 +69,9 @@ def test_many_members_at_the_threshold(spark, monkeypatch):
     assert sorted(got) == sorted(brute(rows, like))
 
 
-def test_representatives_keep_rows_whole(spark):
+@pytest.mark.parametrize("values", [0, 1_000_000])
+def test_representatives_keep_rows_whole(spark, monkeypatch, values):
+    monkeypatch.setattr(shared, "BROADCAST_VALUES", values)
     like = Likeness(5, 80)
     rows = [(i, t, f"s{i}") for i, t in enumerate(corpus(3, 20, 6, 60, 2))] + [(900, None, "n"), (901, "", "e"), (902, "something else", "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, Label string").repartition(3)
