@@ -168,10 +168,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Spans [start, end), in any order, as maximal runs."""
+    """Spans [start, end), in any order and each in one number, as maximal runs."""
     for batch in batches:
-        runs = [[{"start": a, "end": b} for a, b in maximal(0, False, spans)] for spans in batch.to_pylist()]
-        yield pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        values, at = batch.values.to_numpy(), batch.offsets.to_numpy()
+        starts, ends, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for first, last in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            spans = np.sort(values[first:last])
+            start, reach = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+            new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+            starts.append(start[new])
+            ends.append(reach[np.append(new[1:], len(spans)) - 1])
+            sizes.append(len(new))
+        runs = [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)]
+        offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+        yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(runs, names=["start", "end"]))
 
 
 def _key(text: Column) -> list[Column]:
@@ -251,14 +261,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     hits = windows.where("place >= 0").join(twice, ["w1", "w2"]).select(
         F.shiftright("place", 9).alias("region_id"), F.col("place").bitwiseAND(511).cast("int").alias("at")
     )
-    by_window = hits.join(regions.select("region_id", "row", "lo"), "region_id").select(
-        "row", (F.col("lo") + F.col("at")).alias("start"), (F.col("lo") + F.col("at") + THRESHOLD).alias("end")
-    )
+    one_number = lambda start, end: (F.shiftleft(start.cast("long"), 32) + end).alias("span")
+    start = F.col("lo") + F.col("at")
+    by_window = hits.join(regions.select("region_id", "row", "lo"), "region_id").select("row", one_number(start, start + THRESHOLD))
     whole_class = stored(classes.where("settled").select("g", "c"), "settled")
     by_class = places.where("not copied").join(_small(whole_class), ["g", "c"]).select(
-        "row", F.col("lo").alias("start"), (F.col("hi") + THRESHOLD).alias("end")
+        "row", one_number(F.col("lo"), F.col("hi") + THRESHOLD)
     )
-    spans = by_class.unionByName(by_window).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = by_class.unionByName(by_window).groupBy("row").agg(F.collect_list("span").alias("spans"))
     runs = F.arrow_udf(_joined, "array<struct<start:int,end:int>>")
     in_part = spans.select("row", runs(F.col("spans")).alias("spans")).join(rows.select("row", "t1", "t2"), "row")
     in_part = in_part.select("t1", "t2", F.lit(False).alias("whole"), "spans")
@@ -272,24 +282,16 @@ def _wanted_regions(keyed: DataFrame, rows: DataFrame, wanted: DataFrame) -> Dat
     lists = stored(lists.join(rows.select("row", "doc_id", "t1", "t2"), "row"), "wanted")
     lists = lists.withColumnsRenamed({"doc_id": "d", "t1": "u1", "t2": "u2"})
     same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    found = keyed.join(_small(lists, 2 * F.size("wanted")), same).select("text", "row", "wanted").mapInArrow(
+    found = keyed.join(lists, same).select("text", "row", "wanted").mapInArrow(
         _regions, "g long, row long, settled boolean, lo int, a int, region binary"
     )
     # Rows that repeat doc_id and text bring a settled region twice, which does no harm.
     return stored(found.withColumn("region_id", F.monotonically_increasing_id()), "regions")
 
 
-def maximal(n: int, whole: bool | None, spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal removed runs of a text of n bytes."""
-    if whole:
-        return [(0, n)]
-    runs: list[list[int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
-    return [(a, b) for a, b in runs]
+def gone(n: int, whole: bool | None, runs: list[dict] | None) -> list[tuple[int, int]]:
+    """What goes of a text of n bytes."""
+    return [(0, n)] if whole else [(r["start"], r["end"]) for r in runs or ()]
 
 
 def cut_out(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -318,18 +320,18 @@ def _report(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for text, whole, spans in batches:
         rows = []
         for t, w, s in zip(text.to_pylist(), whole.to_pylist(), spans.to_pylist(), strict=True):
-            runs = maximal(len(t), w, s)
+            runs = gone(len(t), w, s)
             rows.append((len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(cut_out(t, runs)).hexdigest()))
-        n, removed, spans_, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
+        n, gone_, spans_, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(digest, pa.string())],
+            [pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array(spans_, pa.int64()), pa.array(digest, pa.string())],
             names=["n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
 def _rest(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for text, whole, spans in batches:
-        kept = [cut_out(t, maximal(len(t), w, s)) for t, w, s in zip(text.to_pylist(), whole.to_pylist(), spans.to_pylist(), strict=True)]
+        kept = [cut_out(t, gone(len(t), w, s)) for t, w, s in zip(text.to_pylist(), whole.to_pylist(), spans.to_pylist(), strict=True)]
         yield pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
 
 
