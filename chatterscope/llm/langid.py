@@ -9,12 +9,19 @@ Letters are lowered, every run of other characters is one space. A text that is
 is `und` with score 0, and so is every text when nothing could be learned. Ties go to the language
 that sorts first. Only the text decides; extra columns are kept, repeated rows treated one by one.
 
+A cosine is noise below some 0.1: vectors of unrelated n-grams differ from a right angle by about
+1 / sqrt(`DIMENSIONS`), and a short text holds few of its language's n-grams. So what is asked of a text
+to be taken for language grows with the letters of its distinct words, up to `LONG`; and of a text that
+does not reach the full cosine, at least half of those letters must be letters of a learned language.
+
 The prototypes are learned from at most `per_language` texts of each language (more or fewer by
 chance), those whose hash of doc_id is lowest: a bounded sample that is the same in every run.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterscope.llm.shared import held_out, steps, text_of, unused
+from chatterscope.llm.shared import held_out, steps, text_of
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -33,8 +40,13 @@ SEED = 20_240_201
 BLOCK = 8192
 #: Tasks that learn; each adds up its share of the sample.
 LEARNERS = 24
+#: Letters in distinct words from which a text has to reach the whole cosine that is asked for.
+LONG = 100
+#: A letter is one of a language if more than this share of the language's sampled texts have it.
+COMMON = 0.005
 
 _SPACE = 32
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Letters:
@@ -122,10 +134,11 @@ def profiles(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Prototypes:
-    """Unit vectors of languages, in the order of their names."""
+    """Unit vectors of languages, in the order of their names, and the letters of all of them."""
 
     names: tuple[str, ...]
     vectors: np.ndarray
+    alphabet: frozenset[int] = frozenset()
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         vectors = profiles(texts, self.vectors.shape[1])
@@ -139,12 +152,25 @@ class Prototypes:
         score[empty] = 0.0
         return ["und" if e else self.names[b] for e, b in zip(empty, best, strict=True)], score
 
+    def accepts(self, texts: list[str], least: float) -> list[bool]:
+        """Whether texts are in a learned language: their score is `least`, or a share of it for short ones."""
+        lowered = letters(self.vectors.shape[1]).lowered
+        out = []
+        for t, name, score in zip(texts, *self.predict(texts), strict=True):
+            if name != "und" and score < least:
+                own = [lowered[ord(c)] for word in set(_WORD.findall(t.lower())) for c in word]
+                learned = sum(c in self.alphabet for c in own)
+                out.append(bool(2 * learned >= len(own) and score * LONG >= least * min(len(own), LONG)))
+            else:
+                out.append(name != "und")
+        return out
+
 
 def learn(texts: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> Prototypes:
     """Prototypes from `doc_id`, `text` and `lang`; rows without text or lang teach nothing.
 
-    The driver receives a number per language and the prototypes: the languages are the distinct
-    values of `lang`, and their number bounds both.
+    The driver receives a number per language, the prototypes and counts of letters: the languages are the
+    distinct values of `lang`, and their number and that of letters bound these.
     """
     texts = texts.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     texts = texts.where("text is not null and lang is not null")
@@ -155,31 +181,49 @@ def learn(texts: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PE
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = texts.where(draw < share[F.col("lang")]).repartition(LEARNERS, "doc_id")
 
+    # Places from `dimensions` on are letters, the last one counts texts.
+    last = dimensions + 0x110000
+
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        having: dict[str, Counter[int]] = {}
+        lowered = letters(dimensions).lowered
         for batch in batches:
             strings, names = text_of(batch, "text"), np.array(batch.column("lang").to_pylist(), object)
-            for first, last in steps([t.encode() for t in strings]):
-                vectors = profiles(strings[first:last], dimensions)
+            for first, end in steps([t.encode() for t in strings]):
+                vectors = profiles(strings[first:end], dimensions)
                 vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None]
-                for name in set(names[first:last]):
-                    own = vectors[names[first:last] == name].sum(0, dtype=np.float64)
+                for name in set(names[first:end]):
+                    own = vectors[names[first:end] == name].sum(0, dtype=np.float64)
                     sums[name] = sums[name] + own if name in sums else own
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
-            names=["lang", "v"],
-        )
+                for t, name in zip(strings[first:end], names[first:end], strict=True):
+                    found = {int(lowered[ord(c)]) for c in set(t)} - {_SPACE}
+                    having.setdefault(name, Counter()).update([last, *(dimensions + c for c in found)])
+        for name, v in sums.items():
+            k, n = zip(*having[name].items(), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * (dimensions + len(k)), pa.string()), pa.array([*range(dimensions), *k], pa.int32()), pa.array([*v, *n], pa.float64())],
+                names=["lang", "k", "x"],
+            )
 
-    parts = sample.mapInArrow(add_up, "lang string, v array<double>")
-    summed = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
+    parts = sample.mapInArrow(add_up, "lang string, k int, x double")
+    summed = parts.groupBy("lang", "k").agg(F.sum("x").alias("x"))
     names = tuple(sorted(counts))
     row = {name: i for i, name in enumerate(names)}
     vectors = np.zeros((len(names), dimensions))
+    having = []
+    sampled: dict[str, float] = {}
     for r in summed.collect():
-        vectors[row[r.lang], r.k] = r.x
+        if r.k < dimensions:
+            vectors[row[r.lang], r.k] = r.x
+        elif r.k < last:
+            having.append(r)
+        else:
+            sampled[r.lang] = r.x
+    alphabet = frozenset(r.k - dimensions for r in having if r.x > COMMON * sampled[r.lang])
     # Sums of partial sums may differ in the last digits from run to run; eight digits do not.
     vectors = np.round(vectors / np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None], 8)
-    return Prototypes(names, vectors.astype(np.float32))
+    return Prototypes(names, vectors.astype(np.float32), alphabet)
 
 
 def predicted(text: Column, model: Prototypes) -> Column:
@@ -212,11 +256,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float) -> DataFrame:
-    """The rows, with all their columns, whose text has a language with at least this score.
+    """The rows, with all their columns, whose text is in a language by this score (see `Prototypes.accepts`).
 
     Learned from the rows' own `lang`.
     """
     model = learn(docs.select("doc_id", "text", "lang"))
-    name = unused(docs, "predicted")
-    scored = docs.withColumn(name, predicted(F.col("text"), model))
-    return scored.where((F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= least)).drop(name)
+
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            yield pa.array([x for a, b in steps([t.encode() for t in texts]) for x in model.accepts(texts[a:b], least)], pa.bool_())
+
+    judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(judge, "boolean")(F.col("text").cast("string")))

@@ -17,14 +17,16 @@ from chatterscope.llm.shared import documents, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Cosine with its language from which a text is taken for language at all.
-LEAST_LANGUAGE = 0.01
+#: Cosine with its language from which a text is taken for language at all; less for short ones. Measured
+#: at sf 0.1: see README, Choices.
+LEAST_LANGUAGE = 0.2
 #: Five words, 0.8.
 NEAR = minhash.Likeness(5, 80)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages of the corpus; those without a letter go."""
+    """Documents whose text is in one of the languages of the corpus; gibberish, other scripts and texts
+    without a letter go."""
     return langid.accepted(docs, LEAST_LANGUAGE)
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from chatterscope.llm import langid
 
 SYLLABLES = {"aa": "ka lo mi tu ne", "bb": "schr ung ei ach zu", "cc": "ción llo que es ñar", "dd": "日 本 語 学 校"}
@@ -73,3 +74,18 @@ def test_accepted_keeps_columns_and_clean_rows(spark, rows):
     kept = langid.accepted(docs, 0.01)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows}
+
+
+def test_gibberish_and_unlearned_scripts_go(spark, rows):
+    rnd = random.Random(9)
+    word = lambda letters: "".join(rnd.choices(letters, k=rnd.randint(2, 10)))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450)))
+    clean = [text(lang, n, rnd) for lang in SYLLABLES for n in [1] * 20 + [300] * 5]
+    junk = [" ".join(word(letters) for _ in range(100)) for letters in (latin, cyrillic, latin + "0123456789+/") for _ in range(30)]
+    junk += [word(cyrillic) for _ in range(30)]
+    odd = [(1000 + k, t, None, "x") for k, t in enumerate(clean + junk)]
+    kept = langid.accepted(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, p string"), corpus_pipeline.LEAST_LANGUAGE)
+    ids = {r.doc_id for r in kept.collect()}
+    assert {r[0] for r in rows} <= ids
+    assert len(ids & {1000 + k for k in range(len(clean))}) >= len(clean) - 1  # a word may be noise to its language
+    assert not ids & {1000 + len(clean) + k for k in range(len(junk))}
