@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over a text's bytes: each step shifts the hash and adds a random number of the byte, so
-it depends on the last 32 bytes only. Where its highest bits are zero a chunk ends, unless it is shorter
+it depends on the last 16 bytes only. Where its highest bits are zero a chunk ends, unless it is shorter
 than `LEAST`; it ends at `MOST` bytes in any case, and a short end joins the chunk before. Bounds depend
 on nearby content, so an insertion changes the chunks around it and no others. A chunk whose digest
 occurred before, by doc_id and place, is a duplicate; a run of duplicate chunks of at least `RUN` bytes
@@ -27,25 +27,28 @@ from pyspark.sql import functions as F
 
 from chatterscope.llm.shared import steps, stored, unused
 
-#: Bytes of a chunk. `LEAST` may not be less than the 32 bytes the hash depends on.
-LEAST = 32
-MOST = 256
+#: Bytes the hash depends on.
+WINDOW = 16
+#: Bytes of a chunk. `LEAST` may not be less than `WINDOW`.
+LEAST = 16
+MOST = 128
 #: A chunk may end where this many highest bits of the hash are zero.
-BITS = 5
+BITS = 4
 #: Bytes of a run of duplicate chunks from which it is removed.
-RUN = 96
+RUN = 64
 #: Values (of some 20 bytes) of a measured table up to which a join broadcasts it; beyond, both sides are
 #: shuffled.
 BROADCAST_VALUES = 1_000_000
 
-_GEAR = np.random.default_rng(20_240_501).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
+#: Numbers of which only the highest bits are random: shifted `WINDOW` times they are gone.
+_GEAR = (np.random.default_rng(20_240_501).integers(0, 1 << WINDOW, 256, np.uint64) << np.uint64(32 - WINDOW)).astype(np.uint32)
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the sum of the gears of the last 32, the j-th last shifted by j.
+    """The rolling hash after each byte: the sum of the gears of the last 16, the j-th last shifted by j.
     Summed by doubling the stretch that is covered."""
     h, size = _GEAR[raw], 1
-    while size < 32:
+    while size < WINDOW:
         longer = h.copy()
         longer[size:] += h[:-size] << np.uint32(size)
         h, size = longer, 2 * size
@@ -151,6 +154,9 @@ def duplicates(docs: DataFrame) -> DataFrame:
     each = one.select(none, "doc_id", "row", F.posexplode("chunks").alias("k", "c")).select(
         F.struct("none", "doc_id", "row", "k").alias("place"), "c.d1", "c.d2"
     )
+    # Half a digest finds the few chunks that may occur again; only those move with their places.
+    often = stored(each.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "often")
+    each = stored(each.join(_small(often), "d1", "left_semi"), "again")
     shared = each.groupBy("d1", "d2").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
     own = each.join(shared, ["d1", "d2"]).groupBy(F.col("place.row").alias("row")).agg(
         F.collect_list(F.struct(F.col("place.k").alias("k"), (F.col("place") > F.col("one")).alias("later"))).alias("shared")

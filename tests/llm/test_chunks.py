@@ -99,3 +99,17 @@ def test_passages_over_fifty_words_are_found(spark):
         else:
             assert r.n_removed == r.n_repeated == 0
     assert found >= 54 and either == 2 * found
+
+
+def test_every_passage_over_fifty_words_is_found_and_most_of_it(spark):
+    rnd = random.Random(17)
+    docs, size = [], 0
+    for k in range(60):
+        p = prose(rnd, 51)
+        size += len(p.encode())
+        docs += [(2 * k, prose(rnd, 80) + " " + p + " " + prose(rnd, 30)), (2 * k + 1, prose(rnd, 50) + " " + p + " " + prose(rnd, 70))]
+    clean = [(1000 + k, prose(rnd, 150)) for k in range(100)]
+    got = chunks.removals(spark.createDataFrame(docs + clean, "doc_id long, text string")).collect()
+    found = [r.n_removed for r in got if r.doc_id < 1000 and r.n_removed > 0]
+    assert len(found) == 60 and 0.75 * size < sum(found) <= size + 60 * 16
+    assert all(r.n_repeated > 0 for r in got if r.doc_id < 1000) and not any(r.n_repeated for r in got if r.doc_id >= 1000)
