@@ -8,7 +8,7 @@ occurred before, by doc_id and place, is a duplicate; a run of duplicate chunks
 is removed, shorter ones stay, since short phrases coincide by chance.
 
 Equal texts are one text with a count, of which the first document is kept as is and the others lose
-everything (unless shorter than `RUN`). Null texts are empty and keep what they have, null doc_ids come
+everything, if the text has at least `least_copy` bytes (`RUN` unless given; 1: any that is not empty). Null texts are empty and keep what they have, null doc_ids come
 last, rows that repeat doc_id and text are one document and get its result. Extra columns are ignored or
 kept, no rows give no rows. Digests have 128 bits.
 """
@@ -172,7 +172,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def _spans_of(n: int, gone: bool | None, spans: list[dict] | None) -> list[tuple[int, int]]:
     if gone:
-        return [(0, n)] if n >= RUN else []
+        return [(0, n)] if n else []
     return [(s["start"], s["end"]) for s in spans or ()]
 
 
@@ -203,7 +203,7 @@ def _rest(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
 
 
-def _with_fate(docs: DataFrame) -> tuple[DataFrame, str, list[Column]]:
+def _with_fate(docs: DataFrame, least_copy: int) -> tuple[DataFrame, str, list[Column]]:
     """`docs` with what their texts lose in a column, its name, and the arguments of what cuts them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     fate = duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
@@ -212,25 +212,25 @@ def _with_fate(docs: DataFrame) -> tuple[DataFrame, str, list[Column]]:
     t1, t2 = _key(text)
     few = F.lit(1) + F.coalesce(F.size(F.col(f"{name}.spans")), F.lit(0))
     placed = docs.join(_small(fate, few), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2")
-    gone = F.col(f"{name}.several") & ~F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}.first"))
+    gone = F.col(f"{name}.several") & (F.length(text) >= least_copy) & ~F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}.first"))
     return placed, name, [text, gone, F.col(f"{name}.spans")]
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, least_copy: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and n_repeated, the bytes that occur
     elsewhere, before or after: all of a text that another document has."""
-    placed, name, arguments = _with_fate(docs.select("doc_id", "text"))
+    placed, name, arguments = _with_fate(docs.select("doc_id", "text"), least_copy)
     report = F.arrow_udf(_report, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
     placed = placed.select(
         F.col("doc_id").cast("long").alias("doc_id"), report(*arguments).alias("r"), F.col(name).alias("fate")
     )
-    whole = F.col("fate.several") & (F.col("r.n_bytes") >= RUN)
+    whole = F.col("fate.several") & (F.col("r.n_bytes") >= least_copy)
     repeated = F.when(whole, F.col("r.n_bytes")).otherwise(F.coalesce("fate.repeated", F.lit(0)))
     return placed.select("doc_id", "r.*", repeated.cast("long").alias("n_repeated"))
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
+def without_duplicates(docs: DataFrame, least_copy: int = RUN) -> DataFrame:
     """The rows with all their columns, duplicate runs cut out of `text`; null becomes empty."""
-    placed, _, arguments = _with_fate(docs)
+    placed, _, arguments = _with_fate(docs, least_copy)
     rest = F.arrow_udf(_rest, "string")(*arguments)
     return placed.withColumn("text", rest).select(*docs.columns)

@@ -23,8 +23,8 @@ def query(fn: Query) -> Query:
 
 @query
 def op1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to runs of chunks that occurred before."""
-    return chunks.removals(documents(spark, sf_dir))
+    """What every document loses to runs of chunks that occurred before; later copies of a text lose all of it."""
+    return chunks.removals(documents(spark, sf_dir), least_copy=1)
 
 
 @query

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from chatterscope.llm import chunks
+from chatterscope.llm import chunks, queries
 
 
 def prose(rnd, n):
@@ -113,3 +113,19 @@ def test_every_passage_over_fifty_words_is_found_and_most_of_it(spark):
     found = [r.n_removed for r in got if r.doc_id < 1000 and r.n_removed > 0]
     assert len(found) == 60 and 0.75 * size < sum(found) <= size + 60 * 16
     assert all(r.n_repeated > 0 for r in got if r.doc_id < 1000) and not any(r.n_repeated for r in got if r.doc_id >= 1000)
+
+
+def test_short_copies_go_as_a_whole(spark, tmp_path):
+    texts = ["tiny", "tiny", "é", "é", "", "", None, "x" * 63, "x" * 63, "only once", "tiny"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "tiny")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n_removed, r.n_spans, r.n_repeated) for r in queries.op1_chunks(spark, str(tmp_path)).collect()}
+    sizes = [len((t or "").encode()) for t in texts]
+    first = {t or "": k for k, t in reversed(list(enumerate(texts)))}
+    want = set()
+    for k, (t, n) in enumerate(zip(texts, sizes, strict=True)):
+        later = n > 0 and first[t] != k
+        want.add((k, n * later, int(later), n * (texts.count(t) > 1)))
+    assert got == want
+    rest = {r.doc_id: r.text for r in chunks.without_duplicates(docs, least_copy=1).collect()}
+    assert [rest[k] for k in range(11)] == ["tiny", "", "é", "", "", "", "", "x" * 63, "", "only once", ""]
