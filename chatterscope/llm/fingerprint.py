@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from chatterscope.functions.text import bound, spaced
 
 WIDTH = 5
-#: A sketch retains a shingle's hash if it is among the lowest 2^-SHIFT of all 64-bit hashes.
+#: A sketch retains a shingle's hash if it is among the lowest 2^-SHIFT of all 64-bit hashes, unless given:
+#: the query retains one in two, for the sake of short texts.
 SHIFT = 3
 #: Documents in a range of the order, about, and the most ranges; the driver receives their bounds.
 RANGE_ROWS = 4000
@@ -113,17 +114,17 @@ def followed(docs: DataFrame, carried: list[str]) -> DataFrame:
     return placed.where("not ghost").drop("range", "ghost", "after").unionByName(alone)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Every document's sketch, that of its edited text, and likenesses."""
+def fingerprints(docs: DataFrame, shift: int = SHIFT) -> DataFrame:
+    """Every document's sketch, that of its edited text, and likenesses; all retain 2^-shift of the hashes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    own = own.select("doc_id", "text", F.xxhash64("text").alias("tie"), sketch(F.col("text")).alias("sketch"))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("tie"), sketch(F.col("text"), shift=shift).alias("sketch"))
     pairs = followed(own, ["text", "sketch"])
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     replaced = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     pairs = pairs.withColumn("edited", replaced)
-    pairs = pairs.withColumn("edited_sketch", sketch(F.col("edited")))
+    pairs = pairs.withColumn("edited_sketch", sketch(F.col("edited"), shift=shift))
     none = F.array().cast("array<long>")
     return pairs.select(
         "doc_id",

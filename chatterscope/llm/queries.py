@@ -86,4 +86,4 @@ def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, beside those of its edited text and of the next document."""
-    return fingerprint.fingerprints(documents(spark, sf_dir))
+    return fingerprint.fingerprints(documents(spark, sf_dir), shift=1)

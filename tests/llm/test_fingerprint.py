@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chatterscope.llm import fingerprint
+from chatterscope.llm import fingerprint, queries
 
 
 def rows_of(seed, n):
@@ -75,3 +75,19 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(rows_of(3, 20), "doc_id long, text string")
     plan = fingerprint.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_estimates_of_short_texts_in_the_query(spark, tmp_path):
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choices("abcdefg", k=rnd.randint(1, 6))) for _ in range(300)]
+    rows = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randint(5, 50)))) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_fingerprint(spark, str(tmp_path)).collect()}
+    off, lost = [], 0
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
+        cut = len(t) // 4
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (s.split() for s in (t, t[: len(t) - cut] + u[:cut]))]
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        off.append(abs(got[i].near_edited - true))
+        lost += true >= 0.4 and got[i].near_edited == 0
+    assert sum(off) / len(off) < 0.1 and sum(x > 0.25 for x in off) <= 30 and lost <= 2
