@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterscope.llm import bpe, chunks, exact, fingerprint, langid, minhash, packing, suffix, toxicity, unigram
+from chatterscope.llm import align, bpe, chunks, exact, fingerprint, langid, lines, minhash, packing, suffix, toxicity, unigram, whitening
 from chatterscope.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,33 @@ def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, beside those of its edited text and of the next document."""
     return fingerprint.fingerprints(documents(spark, sf_dir), shift=1)
+
+
+@query
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers overlap in every text."""
+    return align.alignments(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding, whitened: 32 components."""
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to lines that ten documents have."""
+    return lines.removals(documents(spark, sf_dir))
+
+
+ORACLE["op13_lines"] = """
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+l as (select r, doc_id, unnest(parts) as line, unnest(range(len(parts))) as i from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+c as (select key as often from k where key <> '' group by key having count(distinct r) >= 10)
+select doc_id, count(*) as n_lines, count(often) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where often is null), '')) as kept_sha256
+from k left join c on key = often group by r, doc_id
+"""
