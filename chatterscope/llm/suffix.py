@@ -1,27 +1,30 @@
 """Repeated byte strings by distributed prefix doubling.
 
-Every byte that some string of `THRESHOLD` bytes covers which also starts elsewhere is found exactly,
+Every byte that some string of `threshold` bytes covers which also starts elsewhere is found exactly,
 without sorting all positions.
 
 1.  Each string of the threshold's length, a window, is owned by one position in it, its anchor: where
     the hash of the next 64 bytes is least, leftmost first. Equal windows have equal anchors at equal
-    distances, and consecutive windows mostly share theirs, so about one position in 130 is an anchor.
+    distances, and consecutive windows mostly share theirs, so about two positions in threshold - 64 are
+    anchors (one in 130 was counted at 400).
 2.  Anchors with unique next 64 bytes own unique windows and are dropped. Anchors whose windows span the
     same bytes are one class. A class of several anchors is repeated as a whole; one whose first 64
     bytes no other class shares is settled. Only the others, one for each class, go on.
 3.  Prefix doubling: positions every 64 bytes to both sides of the anchor are ranked by the next 64
     bytes, then pairs of ranks at offsets of 1, 2, ... blocks are sorted and ranked anew, unique ones
-    dropped, until the strings span the part that 64 neighbouring windows share.
-4.  Windows around a position that is still not unique are ranked by all their bytes. Those that occur
-    twice are repeated.
+    dropped, until the strings span the part that 64 neighbouring windows share, their core.
+4.  A window around a core that is still not unique is ranked by the pair of its core's rank and the hash of
+    what it has before and behind the core, fewer than threshold - (threshold - 63) // 64 * 64 + 1 bytes.
+    Those of equal rank are repeated; the core's bytes are looked at by doubling alone.
 
 Equal texts are one text with a count: of the threshold's length or more, it is repeated as a whole.
 Hot classes, ranks and windows are counted with partial sums before they move, and joins that bring
 counts back split skewed keys. Classes are told apart by 128 bits (those of the anchor's block and of the
-spanned bytes), windows by 96, ranks exactly.
+spanned bytes), windows by the rank and 64 bits, ranks exactly.
 
-Null texts are empty; texts shorter than the threshold keep every byte. A null doc_id is a document like
-any other, repeated rows are documents with equal texts. Extra columns are ignored or kept.
+Null texts are empty; texts shorter than the threshold keep every byte, others of any length are looked at
+whole. A null doc_id is a document like any other, repeated rows are documents with equal texts. Extra
+columns are ignored or kept, no rows give no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +41,11 @@ from pyspark.sql import functions as F
 from chatterscope.llm import words
 from chatterscope.llm.shared import steps, stored, unused
 
+#: Bytes of a repeated string, unless others are asked for; from `LEAST` on.
 THRESHOLD = 400
 #: Bytes that make a position's first rank, and the distance of ranked positions. A power of two.
 BLOCK = 64
+LEAST = 3 * BLOCK
 #: Window starts of a longer text that are looked at together.
 SLICE = 1 << 22
 #: Values (of some 20 bytes) of a measured table up to which a join broadcasts it; beyond, both sides are
@@ -71,13 +76,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], threshold: int = THRESHOLD) -> tuple[np.ndarray, ...]:
     """(text, anchor, first and last window start, hash of the anchor's block, hash of the bytes that its
     windows span) of every anchor; places count from the start of its text."""
     pieces = []  # of texts, so long that each window start of the text lies in one
     for k, t in enumerate(texts):
-        for at in range(0, max(len(t) - THRESHOLD + 1, 0), SLICE):
-            pieces.append((k, at, t[at : at + SLICE + THRESHOLD - 1]))
+        for at in range(0, max(len(t) - threshold + 1, 0), SLICE):
+            pieces.append((k, at, t[at : at + SLICE + threshold - 1]))
     out: list[tuple[np.ndarray, ...]] = []
     for first, last in steps([p[2] for p in pieces]):
         joined = b"".join(p[2] for p in pieces[first:last])
@@ -85,10 +90,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         starts = np.concatenate([[0], ends[:-1]])
         h = block_hashes(np.frombuffer(joined, np.uint8))
         ordered = (h & _HIGH) | np.arange(len(h), dtype=np.uint64)
-        at = (_least(ordered, THRESHOLD - BLOCK + 1) & ~_HIGH).astype(np.int64)
+        at = (_least(ordered, threshold - BLOCK + 1) & ~_HIGH).astype(np.int64)
         inside = np.zeros(len(joined) + 1, np.int32)
         inside[starts] += 1
-        inside[ends - THRESHOLD + 1] -= 1
+        inside[ends - threshold + 1] -= 1
         windows = np.flatnonzero(np.cumsum(inside)[: len(at)])
         new = (np.diff(windows, prepend=-2) != 1) | (np.diff(at[windows], prepend=-1) != 0)
         begins = np.flatnonzero(new)
@@ -97,7 +102,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         low = windows[begins]
         high = windows[np.append(begins[1:], len(windows)) - 1]
         owner = np.searchsorted(ends, low, "right")
-        spanned = [xxhash.xxh3_64_intdigest(joined[a : b + THRESHOLD]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        spanned = [xxhash.xxh3_64_intdigest(joined[a : b + threshold]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         shift = np.array([p[1] for p in pieces[first:last]])[owner] - starts[owner]
         text = np.array([p[0] for p in pieces[first:last]])[owner]
         c = np.array(spanned, np.uint64).view(np.int64)
@@ -107,29 +112,33 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        texts = [t or b"" for t in batch.to_pylist()]
-        text, at, low, high, g, c = anchors(texts)
-        offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-        fields = pa.StructArray.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(g), pa.array(c)],
-            names=["a", "lo", "hi", "g", "c"],
-        )
-        yield pa.ListArray.from_arrays(pa.array(offsets), fields)
+def _anchors(threshold: int):
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.to_pylist()]
+            text, at, low, high, g, c = anchors(texts, threshold)
+            offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+            fields = pa.StructArray.from_arrays(
+                [pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(g), pa.array(c)],
+                names=["a", "lo", "hi", "g", "c"],
+            )
+            yield pa.ListArray.from_arrays(pa.array(offsets), fields)
 
+    return find
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes that each wanted anchor's windows span."""
-    for batch in batches:
-        rows = [
-            (w["g"], row, w["settled"], w["lo"], w["a"] - w["lo"], text[w["lo"] : w["hi"] + THRESHOLD])
-            for text, row, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "row", "wanted")), strict=True)
-            for w in wanted
-        ]
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(_REGION.names, r, strict=True)) for r in rows], schema=_REGION
-        )
+
+def _regions(threshold: int):
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes that each wanted anchor's windows span."""
+        for batch in batches:
+            rows = [
+                (w["g"], row, w["settled"], w["lo"], w["a"] - w["lo"], text[w["lo"] : w["hi"] + threshold])
+                for text, row, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "row", "wanted")), strict=True)
+                for w in wanted
+            ]
+            yield pa.RecordBatch.from_pylist([dict(zip(_REGION.names, r, strict=True)) for r in rows], schema=_REGION)
+
+    return take
 
 
 _REGION = pa.schema(
@@ -137,34 +146,47 @@ _REGION = pa.schema(
 )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, place) of the windows in the wanted stretches. place: region and window start in one
-    number, -1 for regions that are settled."""
-    parts = [*range(0, THRESHOLD - BLOCK, BLOCK), THRESHOLD - BLOCK]
-    for batch in batches:
-        regions = batch.column("region").to_pylist()
-        for first, last in steps(regions):
-            some = slice(first, last)
-            begin = np.cumsum([0, *map(len, regions[some])])
-            h = block_hashes(np.frombuffer(b"".join(regions[some]), np.uint8))
-            starts, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            columns = [batch.column(c).slice(first, last - first).to_pylist() for c in ("region_id", "settled", "a", "stretches")]
-            for k, (number, settled, a, stretches) in enumerate(zip(*columns, strict=True)):
-                count = len(regions[first + k]) - THRESHOLD + 1
-                at = np.concatenate([np.arange(max(a - BLOCK * (u + 1) + 1, 0), min(a - BLOCK * u + 1, count)) for u in stretches])
-                starts.append(begin[k] + at)
-                places.append(np.full(len(at), -1) if settled else (number << 9) | at)
-            at = np.concatenate(starts)
-            found = []
-            for salt in (0, 1):
-                w = np.zeros(len(at), np.uint64)
-                for k, part in enumerate(parts):
-                    w = words.mix(w ^ (h[at + part] * _FACTORS[32 + 2 * k + salt]))
-                found.append(w)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[0].view(np.int64)), pa.array((found[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.concatenate(places))],
-                names=["w1", "w2", "place"],
-            )
+def blocks_of(threshold: int) -> tuple[int, int]:
+    """(ranked positions to either side of an anchor, blocks that BLOCK neighbouring windows share)."""
+    return (threshold - BLOCK) // BLOCK, (threshold - BLOCK + 1) // BLOCK
+
+
+def _bits(threshold: int) -> int:
+    """Bits that hold the distance of a window's start from its anchor, or from its region's start."""
+    return (threshold - BLOCK).bit_length()
+
+
+def _windows(threshold: int):
+    """(rank, rest, place) of the windows around live cores. rank: the core's, and the window's distance from
+    its anchor, in one number. rest: hash of what lies before and behind the core. place: region and
+    window start in one number, -1 for regions that are settled."""
+    _, core = blocks_of(threshold)
+    bits = _bits(threshold)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions = batch.column("region").to_pylist()
+            for first, last in steps(regions):
+                begin = np.cumsum([0, *map(len, regions[first:last])])
+                raw = np.frombuffer(b"".join(regions[first:last]), np.uint8)
+                made = [[np.zeros(0, np.int64)] for _ in range(4)]
+                columns = [batch.column(c).slice(first, last - first).to_pylist() for c in ("region", "region_id", "settled", "a", "cores")]
+                for k, (region, number, settled, a, cores) in enumerate(zip(*columns, strict=True)):
+                    count = len(region) - threshold + 1
+                    for c in cores:
+                        # The core begins u blocks before the anchor; the windows that start in the block before its second byte share it.
+                        u = c["u"]
+                        at = np.arange(max(a - BLOCK * (u + 1) + 1, 0), min(a - BLOCK * u + 1, count))
+                        made[0].append(begin[k] + at)
+                        made[1].append(a - BLOCK * u - at)
+                        made[2].append((c["rank"] << bits) | (a - at))
+                        made[3].append(np.full(len(at), -1) if settled else (number << bits) | at)
+                start, before, ranks, places = (np.concatenate(x) for x in made)
+                values, behind = _BYTE[raw], start + before + BLOCK * core
+                rest = words.mix(words.ranges(values, start, start + before) * _FACTORS[34] + words.ranges(values, behind, start + threshold))
+                yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(rest.view(np.int64)), pa.array(places)], names=["rank", "rest", "place"])
+
+    return rank
 
 
 def _joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -196,12 +218,12 @@ def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_VALUES else df
 
 
-def _reranked(state: DataFrame, step: int) -> DataFrame:
+def _reranked(state: DataFrame, step: int, n: int) -> DataFrame:
     """Positions ranked by the pair of ranks here and `step` positions on; unique ones get no rank.
 
-    state: region_id, g, r (ranks by position). Strings are compared at equal places to equal anchors.
+    state: region_id, g, r (ranks by position, n of them). Strings are compared at equal places to equal
+    anchors.
     """
-    n = 2 * _REACH + 1
     pair = F.transform(F.sequence(F.lit(0), F.lit(n - 1 - step)), lambda k: F.struct(F.get("r", k).alias("x"), F.get("r", k + step).alias("y")))
     pairs = state.select("region_id", "g", F.posexplode(pair).alias("t", "p")).select("region_id", "g", "t", "p.x", "p.y")
     pairs = pairs.where("x is not null and y is not null")
@@ -212,37 +234,36 @@ def _reranked(state: DataFrame, step: int) -> DataFrame:
     return stored(found.select("region_id", "g", places.alias("r")), "ranks")
 
 
-#: Ranked positions to either side of an anchor.
-_REACH = (THRESHOLD - BLOCK) // BLOCK
-#: Blocks that BLOCK neighbouring windows share.
-_CORE = (THRESHOLD - BLOCK + 1) // BLOCK
-
-
-def _stretches(regions: DataFrame) -> DataFrame:
-    """(region_id, stretches): the distances from the anchor, in blocks, where windows may be repeated."""
-    at = lambda t: F.col("a") + (t - _REACH) * BLOCK
+def _cores(regions: DataFrame, threshold: int) -> DataFrame:
+    """(region_id, cores): the cores that occur in several regions, by how many blocks before the anchor they
+    begin (u), and their ranks."""
+    reach, core = blocks_of(threshold)
+    n = 2 * reach + 1
+    at = lambda t: F.col("a") + (t - reach) * BLOCK
     inside = lambda t: (at(t) >= 0) & (at(t) + BLOCK <= F.length("region"))
     first = F.transform(
-        F.sequence(F.lit(0), F.lit(2 * _REACH)),
+        F.sequence(F.lit(0), F.lit(n - 1)),
         lambda t: F.when(inside(t), F.xxhash64(F.substring("region", at(t) + 1, F.lit(BLOCK)))),
     )
-    state = _reranked(regions.select("region_id", "g", first.alias("r")), 0)
+    state = _reranked(regions.select("region_id", "g", first.alias("r")), 0, n)
     blocks = 1
-    while blocks < _CORE:
-        step = min(blocks, _CORE - blocks)
-        state = _reranked(state, step)
+    while blocks < core:
+        step = min(blocks, core - blocks)
+        state = _reranked(state, step, n)
         blocks += step
-    live = state.select("region_id", F.posexplode("r").alias("t", "rank")).where(f"rank is not null and t <= {_REACH}")
-    return live.groupBy("region_id").agg(F.collect_list(F.lit(_REACH) - F.col("t")).alias("stretches"))
+    live = state.select("region_id", F.posexplode("r").alias("t", "rank")).where(f"rank is not null and t <= {reach}")
+    return live.groupBy("region_id").agg(F.collect_list(F.struct((F.lit(reach) - F.col("t")).alias("u"), "rank")).alias("cores"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(t1, t2, whole, spans) of the texts of `docs` (doc_id, text as binary) that have repeated bytes:
     all of them, or those in the runs [start, end) of spans."""
+    if threshold < LEAST:
+        raise ValueError(f"a threshold of {threshold} bytes is below {LEAST}")
     keyed = docs.select("doc_id", "text", *_key(F.col("text")))
-    found = F.arrow_udf(_anchors, "array<struct<a:int,lo:int,hi:int,g:long,c:long>>")
+    found = F.arrow_udf(_anchors(threshold), "array<struct<a:int,lo:int,hi:int,g:long,c:long>>")
     rows = keyed.select("doc_id", "t1", "t2", F.length("text").alias("n_bytes"), found(F.col("text")).alias("anchors"))
-    rows = stored(rows.where(f"n_bytes >= {THRESHOLD}").withColumn("row", F.monotonically_increasing_id()), "anchors")
+    rows = stored(rows.where(f"n_bytes >= {threshold}").withColumn("row", F.monotonically_increasing_id()), "anchors")
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("row").alias("one")).where("n > 1").drop("n")
     copies = stored(copies, "copies")
     # The first row of each text stands for all.
@@ -254,19 +275,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     classes = stored(classes.select("g", "c", "settled", "one.*"), "classes")
     contested = stored(classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "contested")
-    regions = _wanted_regions(keyed, rows, classes.join(_small(contested), "g"))
-    windows = regions.join(_stretches(regions), "region_id").select("region_id", "settled", "a", "region", "stretches")
-    windows = windows.mapInArrow(_windows, "w1 long, w2 int, place long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hits = windows.where("place >= 0").join(twice, ["w1", "w2"]).select(
-        F.shiftright("place", 9).alias("region_id"), F.col("place").bitwiseAND(511).cast("int").alias("at")
+    regions = _wanted_regions(keyed, rows, classes.join(_small(contested), "g"), threshold)
+    windows = regions.join(_cores(regions, threshold), "region_id").select("region_id", "settled", "a", "region", "cores")
+    windows = windows.mapInArrow(_windows(threshold), "rank long, rest long, place long")
+    twice = windows.groupBy("rank", "rest").agg(F.count("*").alias("n")).where("n > 1").select("rank", "rest")
+    bits = _bits(threshold)
+    hits = windows.where("place >= 0").join(twice, ["rank", "rest"]).select(
+        F.shiftright("place", bits).alias("region_id"), F.col("place").bitwiseAND((1 << bits) - 1).cast("int").alias("at")
     )
     one_number = lambda start, end: (F.shiftleft(start.cast("long"), 32) + end).alias("span")
     start = F.col("lo") + F.col("at")
-    by_window = hits.join(regions.select("region_id", "row", "lo"), "region_id").select("row", one_number(start, start + THRESHOLD))
+    by_window = hits.join(regions.select("region_id", "row", "lo"), "region_id").select("row", one_number(start, start + threshold))
     whole_class = stored(classes.where("settled").select("g", "c"), "settled")
     by_class = places.where("not copied").join(_small(whole_class), ["g", "c"]).select(
-        "row", one_number(F.col("lo"), F.col("hi") + THRESHOLD)
+        "row", one_number(F.col("lo"), F.col("hi") + threshold)
     )
     spans = by_class.unionByName(by_window).groupBy("row").agg(F.collect_list("span").alias("spans"))
     runs = F.arrow_udf(_joined, "array<struct<start:int,end:int>>")
@@ -276,14 +298,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     return stored(in_part.unionByName(as_whole), "repeated")
 
 
-def _wanted_regions(keyed: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _wanted_regions(keyed: DataFrame, rows: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
     """(region_id, row, settled, lo, a, g, region) for anchors `wanted`: the bytes their windows span."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("settled", "a", "lo", "hi", "g")).alias("wanted"))
     lists = stored(lists.join(rows.select("row", "doc_id", "t1", "t2"), "row"), "wanted")
     lists = lists.withColumnsRenamed({"doc_id": "d", "t1": "u1", "t2": "u2"})
     same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("d"))
     found = keyed.join(lists, same).select("text", "row", "wanted").mapInArrow(
-        _regions, "g long, row long, settled boolean, lo int, a int, region binary"
+        _regions(threshold), "g long, row long, settled boolean, lo int, a int, region binary"
     )
     # Rows that repeat doc_id and text bring a settled region twice, which does no harm.
     return stored(found.withColumn("region_id", F.monotonically_increasing_id()), "regions")
@@ -302,11 +324,11 @@ def cut_out(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _with_fate(docs: DataFrame, text: Column) -> tuple[DataFrame, str]:
+def _with_fate(docs: DataFrame, text: Column, threshold: int) -> tuple[DataFrame, str]:
     """`docs` with a column (whole, spans) and its name."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     name = unused(docs, "repeated")
-    fate = repeated(plain).select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("whole", "spans").alias(name))
+    fate = repeated(plain, threshold).select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("whole", "spans").alias(name))
     t1, t2 = _key(text)
     few = F.lit(1) + F.coalesce(F.size(F.col(f"{name}.spans")), F.lit(0))
     return docs.join(_small(fate, few), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2"), name
@@ -335,17 +357,17 @@ def _rest(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    placed, name = _with_fate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _binary())
+    placed, name = _with_fate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _binary(), threshold)
     report = F.arrow_udf(_report, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
     return placed.select("doc_id", report(_binary(), F.col(f"{name}.whole"), F.col(f"{name}.spans")).alias("r")).select("doc_id", "r.*")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows with all their columns, repeated bytes cut out of `text` (and what is left of a cut
     character), and `n_chars`, if there, counted anew. A row without repeats stays as it is."""
-    placed, name = _with_fate(docs, _binary())
+    placed, name = _with_fate(docs, _binary(), threshold)
     rest = F.arrow_udf(_rest, "string")(_binary(), F.col(f"{name}.whole"), F.col(f"{name}.spans"))
     cut, new = F.col(name).isNotNull(), f"{name}_text"
     placed = placed.withColumn(new, rest)

@@ -10,7 +10,7 @@ from chatterscope.llm import suffix
 T = suffix.THRESHOLD
 
 
-def brute(texts):
+def brute(texts, T=T):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + T] for t in raw for i in range(len(t) - T + 1))
     out = []
@@ -27,11 +27,11 @@ def brute(texts):
     return out
 
 
-def check(spark, texts, parts=4):
+def check(spark, texts, parts=4, threshold=T):
     rows = [(k * 7919 % 10007 if k % 17 else None, t, "x") for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, repeated string").repartition(parts)
-    got = sorted((tuple(r) for r in suffix.removals(docs).collect()), key=str)
-    want = sorted(((r[0], *w) for r, w in zip(rows, brute(texts), strict=True)), key=str)
+    got = sorted((tuple(r) for r in suffix.removals(docs, threshold).collect()), key=str)
+    want = sorted(((r[0], *w) for r, w in zip(rows, brute(texts, threshold), strict=True)), key=str)
     assert got == want
 
 
@@ -59,6 +59,8 @@ def test_passages_edits_and_copies(spark):
         texts.append("".join(t))
     texts += [texts[5], texts[5], texts[7], None, "", "short", "short"]
     check(spark, texts)
+    check(spark, texts, threshold=250)
+    check(spark, texts, threshold=192)
 
 
 def test_lengths_around_the_threshold(spark):
@@ -77,6 +79,38 @@ def test_periods_and_runs(spark):
     check(spark, texts)
 
 
+def test_ranks_decide(spark, monkeypatch):
+    """Windows that differ in their core only are told apart by the ranks of doubling, and by nothing else."""
+    rnd = random.Random(13)
+    a, b = prose(rnd, 120)[:500], prose(rnd, 30)[:60]
+    texts = [a[:220] + x + a[220:] for x in ("", b, b[:59] + "#", "#" + b[1:], b)]
+    texts = [t[:500] + f" {k} " + prose(rnd, 20) for k, t in enumerate(texts)]
+    check(spark, texts)
+    reranked = suffix._reranked
+
+    def unranked(state, step, n):
+        if not step:
+            return reranked(state, step, n)
+        return state.select("region_id", "g", suffix.F.transform("r", lambda _: suffix.F.lit(0).cast("long")).alias("r"))
+
+    monkeypatch.setattr(suffix, "_reranked", unranked)
+    with pytest.raises(AssertionError):
+        check(spark, texts)
+
+
+def test_short_passages(spark):
+    """51 words are found, whatever their length, at the pipeline's threshold."""
+    rnd = random.Random(14)
+    passages = [" ".join("".join(rnd.choices("abcdeéün", k=rnd.randint(3, 8))) for _ in range(51)) for _ in range(40)]
+    assert min(len(p.encode()) for p in passages) >= 250
+    texts = [prose(rnd, 60) + " " + p + " " + prose(rnd, rnd.randint(0, 60)) for p in passages for _ in range(2)]
+    check(spark, texts, threshold=250)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(p not in r.text for r in suffix.without_repeats(docs, 250).collect() for p in passages)
+    with pytest.raises(ValueError, match="below"):
+        suffix.removals(docs, 191)
+
+
 def test_one_document_and_none(spark):
     rnd = random.Random(10)
     p = prose(rnd, 120)
