@@ -1,5 +1,10 @@
 """Every registered query against its SQL on the smallest data, and the shape of its plan."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -36,3 +41,17 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert len(entry(spark).columns) == 13
+
+
+def test_entry_without_the_text_operators(tmp_path):
+    """They may be deleted; compiled files that stay behind make a package without modules."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "chatterscope", tmp_path / "chatterscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "workload", tmp_path / "workload")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "chatterscope" / "llm" / "__pycache__").mkdir(parents=True)
+    asked = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    for _ in range(2):
+        said = subprocess.run([sys.executable, "-B", "-c", asked], cwd=tmp_path, capture_output=True, text=True, check=True)
+        assert said.stdout.split() == ["True", str(len(registry.QUERIES))]
+        (tmp_path / "corpus_pipeline.py").write_text("from chatterscope.llm import exact\n")
