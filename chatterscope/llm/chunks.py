@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterscope.llm.shared import steps, stored, unused
+from chatterscope.llm.shared import releases, steps, stored, unused
 
 #: Bytes the hash depends on.
 WINDOW = 16
@@ -134,6 +134,7 @@ def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_VALUES else df
 
 
+@releases
 def duplicates(docs: DataFrame) -> DataFrame:
     """(t1, t2, first, several, spans, repeated) for texts of `docs` (doc_id, text as binary) that have
     something in common: the doc_id of the first document with the text, whether there are others, what

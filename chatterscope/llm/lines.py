@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterscope.llm.shared import stored, unused
+from chatterscope.llm.shared import releases, stored, unused
 from chatterscope.llm.words import mix
 
 #: Documents that must have a key, and its code points, for its lines to go.
@@ -309,6 +309,7 @@ def _fates(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["d", "u1", "u2", "gone"])
 
 
+@releases
 def fates(docs: DataFrame, least_docs: int, least_chars: int) -> DataFrame:
     """(d, u1, u2, gone) of `docs` (doc_id, text as binary) that lose lines: doc_id, digest of the text, a bit
     for each line. Documents with one doc_id and text have the same lines, and one row here."""

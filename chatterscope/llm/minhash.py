@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chatterscope.llm import words
 from chatterscope.llm.components import merged
-from chatterscope.llm.shared import small, steps, stored, unused
+from chatterscope.llm.shared import release, releases, small, steps, stored, unused
 
 #: Share of pairs just at the threshold that may meet in no table.
 MISSED = 1e-6
@@ -245,6 +245,7 @@ def _in_blocks(apart: DataFrame, nodes: DataFrame, sets: DataFrame, like: Likene
     return full.repartition(*order).sortWithinPartitions(*order).mapInArrow(_across(like.m, like), "a long, b long")
 
 
+@releases
 def linked(nodes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """(node, label) of the nodes that may have links: the least node each can reach.
 
@@ -284,6 +285,7 @@ def _labelled(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, st
     owners = sets.select(F.col("node").alias("row"))
     nodes = stored(feature.select("row", "subs").join(owners, "row").withColumnRenamed("row", "node"), "nodes")
     labels = linked(nodes, feature.select(F.col("row").alias("node"), "text"), like)
+    release(nodes)
     return rows, sets.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label")), name
 
 

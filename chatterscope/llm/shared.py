@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it from there.
 
     Cuts the lineage: what follows reads files that outlive any executor, and ids drawn while
-    writing stay as they are. The files stay until the folder is emptied by its owner.
+    writing stay as they are. The files stay until they are released or the folder is emptied by its owner.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    for made in _made:
+        made.append(found)
+    return found
+
+
+#: The tables stored since each running function that releases them began.
+_made: list[list[DataFrame]] = []
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that `stored` gave and that nothing to come reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def releases(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function whose result is a stored table: the others that it stored on the way are released."""
+
+    @wraps(fn)
+    def run(*args, **named) -> DataFrame:
+        made: list[DataFrame] = []
+        _made.append(made)
+        try:
+            result = fn(*args, **named)
+        finally:
+            _made[:] = [m for m in _made if m is not made]
+        for table in made:
+            if table.stored_at != result.stored_at:
+                release(table)
+        return result
+
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

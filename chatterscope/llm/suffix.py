@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterscope.llm import words
-from chatterscope.llm.shared import steps, stored, unused
+from chatterscope.llm.shared import releases, steps, stored, unused
 
 #: Bytes of a repeated string, unless others are asked for; from `LEAST` on.
 THRESHOLD = 400
@@ -255,6 +255,7 @@ def _cores(regions: DataFrame, threshold: int) -> DataFrame:
     return live.groupBy("region_id").agg(F.collect_list(F.struct((F.lit(reach) - F.col("t")).alias("u"), "rank")).alias("cores"))
 
 
+@releases
 def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(t1, t2, whole, spans) of the texts of `docs` (doc_id, text as binary) that have repeated bytes:
     all of them, or those in the runs [start, end) of spans."""

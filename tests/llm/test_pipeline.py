@@ -4,11 +4,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 from test_minhash import brute as components
-from test_suffix import T, prose
+from test_suffix import prose
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 
+T = corpus_pipeline.REPEATED
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
