@@ -22,6 +22,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_LANGUAGE = 0.2
 #: Five words, 0.8.
 NEAR = minhash.Likeness(5, 80)
+#: Bytes of a repeated passage: fifty words have some 300, and hardly ever fewer than this.
+REPEATED = 250
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that occur elsewhere too; none goes as a whole."""
-    return suffix.without_repeats(docs)
+    """Documents without the passages of `REPEATED` bytes and more that occur elsewhere too, wherever they
+    occur: what several documents share is in none of them alone. No document goes as a whole."""
+    return suffix.without_repeats(docs, REPEATED)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
