@@ -41,7 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.stored_at = path
     for made in _made:
@@ -49,6 +54,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+#: Spark removes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The tables stored since each running function that releases them began.
 _made: list[list[DataFrame]] = []
 
