@@ -86,16 +86,86 @@ def shape_entities(text: Column) -> Column:
 Tagger = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
+def isolated(tagger: Tagger) -> Tagger:
+    """`tagger`, kept running when it fails on a text: that text alone gives a row with `failed`.
+
+    The tagger runs on as long as it succeeds, so what it sets up is set up once. Where it fails, the
+    batch that it was at is halved until the single text is found, and the tagger begins anew with the next
+    batch. A batch's rows must come before the next batch is asked for. The driver or a lost executor is no
+    failure of a text: only what the tagger itself raises is caught.
+    """
+
+    def whole(frame: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return list(tagger(iter([frame])))
+        except Exception:
+            return halved(frame)
+
+    def halved(frame: pd.DataFrame) -> list[pd.DataFrame]:
+        """Of a batch that failed."""
+        if len(frame) == 1:
+            return [pd.DataFrame({"text_key": frame["text_key"], "pos": [-1], "phrase": [None], "label": [None], "failed": [True]})]
+        half = len(frame) // 2
+        return whole(frame.iloc[:half]) + whole(frame.iloc[half:])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: list[pd.DataFrame] = []  # the batch that the tagger was given last
+        found: list[pd.DataFrame] = []  # what it has made of it so far
+        done: list[pd.DataFrame] = []  # what it has made of batches before
+
+        def feed() -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                done.extend(found)
+                found.clear()
+                at[:] = [frame]
+                yield frame
+            at.clear()
+
+        while True:
+            at.clear()
+            made = tagger(feed())
+            try:
+                for frame in made:
+                    found.append(frame)
+                    yield from done
+                    done.clear()
+                done.extend(found)
+                found.clear()
+                at.clear()
+            except Exception:
+                if not at:  # at its end, with no text to blame
+                    raise
+                found.clear()
+                done.extend(halved(at[0]))
+            yield from done
+            done.clear()
+            if not at:
+                return
+
+    return run
+
+
+def _with_failed(tagger: Tagger) -> Tagger:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in isolated(tagger)(frames):
+            yield frame if "failed" in frame else frame.assign(failed=False)
+
+    return run
+
+
 def plugged_entities(
     texts: DataFrame, tagger: Tagger, key: str, text: str
 ) -> DataFrame:
     """Entities from a user's tagger over Arrow batches: (text_key, text) in,
     (text_key, pos, phrase, label) out. A phrase may carry tags (`word/TAG word/TAG`).
+
+    A text on which the tagger fails has no entities and is marked `failed`; see `isolated`.
     """
-    schema = f"text_key {texts.schema[key].dataType.simpleString()}, pos int, phrase string, label string"
+    schema = f"text_key {texts.schema[key].dataType.simpleString()}, pos int, phrase string, label string, failed boolean"
     pairs = texts.select(F.col(key).alias("text_key"), F.col(text).alias("text"))
-    found = pairs.where(F.col("text").isNotNull()).mapInPandas(tagger, schema)
-    return _per_text(found.withColumnRenamed("text_key", "_id"), key)
+    found = pairs.where(F.col("text").isNotNull()).mapInPandas(_with_failed(tagger), schema)
+    listed = F.array_sort(F.collect_list(F.when(~F.col("failed"), F.struct("pos", "phrase", "label"))))
+    return found.groupBy("text_key").agg(listed.alias("entities"), F.bool_or("failed").alias("failed")).withColumnRenamed("text_key", key)
 
 
 def as_words(found: Column) -> Column:

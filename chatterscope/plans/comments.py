@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from chatterscope.functions import text as tx
 from chatterscope.operators.duplicates import duplicate_ids, yes_no
-from chatterscope.operators.entities import as_words, entities
+from chatterscope.operators.entities import Tagger, as_words, entities, plugged_entities
 from chatterscope.operators.joins import attach
 from chatterscope.operators.sentiment import Rules, sentiment
 
+#: What a text's measures show if its analysis failed.
+ERROR = {"sentiment": "Error", "named_entities": "", "lexical_diversity": "Error", "common_bigrams": ""}
+
 
 def distinct_bodies(comments: DataFrame) -> DataFrame:
     """Each non-empty stripped body once, with its digest as key."""
@@ -22,11 +25,12 @@ def distinct_bodies(comments: DataFrame) -> DataFrame:
 
 def analyse_texts(
     texts: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, key: str, text: str,
-    rules: Rules = Rules(),
+    rules: Rules = Rules(), tagger: Tagger | None = None,
 ) -> DataFrame:
     """Add `sentiment, named_entities, lexical_diversity, common_bigrams`; `key` is unique.
 
-    Diversity and bigrams are row-local; scores and entities come back as narrow rows by key.
+    Diversity and bigrams are row-local; scores and entities come back as narrow rows by key. A tagger
+    takes the gazetteer's place; a text on which it fails shows `ERROR` for all four, other rows go on.
     """
     diversity = tx.lexical_diversity(F.col(text))
     local = texts.withColumns(
@@ -37,16 +41,20 @@ def analyse_texts(
     joined = (
         local.drop("_ld")
         .join(sentiment(texts, lexicon, key, text, rules), key, "left")
-        .join(entities(texts, gazetteer, key, text), key, "left")
+        .join(entities(texts, gazetteer, key, text) if tagger is None else plugged_entities(texts, tagger, key, text), key, "left")
     )
     compound = F.coalesce("compound", F.lit(0.0))
     known = F.col("_score").isNotNull()
-    return joined.withColumns(
+    analysed = joined.withColumns(
         {
             "sentiment": F.when(known, tx.scored(compound, 3, tx.sentiment_label(compound))),
             "named_entities": F.when(known, as_words(F.col("entities"))),
         }
     ).drop("_score", "compound", "entities")
+    if tagger is None:
+        return analysed
+    shown = {c: F.when(F.col("failed"), F.lit(v)).otherwise(F.col(c)) for c, v in ERROR.items()}
+    return analysed.withColumns(shown).drop("failed")
 
 
 def _with_duplicate_flag(analysed: DataFrame, comments: DataFrame) -> DataFrame:
@@ -56,7 +64,7 @@ def _with_duplicate_flag(analysed: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def comment_analysis(
-    comments: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules()
+    comments: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, rules: Rules = Rules(), tagger: Tagger | None = None
 ) -> DataFrame:
     """All comment columns plus the four text measures and the duplicate flag.
 
@@ -65,7 +73,7 @@ def comment_analysis(
     A null body keeps its row, with null measures.
     """
     stripped = comments.withColumn("_text", tx.strip(F.col("body")))
-    analysed = analyse_texts(stripped, lexicon, gazetteer, "comment_id", "_text", rules)
+    analysed = analyse_texts(stripped, lexicon, gazetteer, "comment_id", "_text", rules, tagger)
     return _with_duplicate_flag(analysed.drop("_text"), comments)
 
 

@@ -16,6 +16,7 @@ from chatterscope.operators.gates import admit_comments, admit_submissions
 from chatterscope.operators.keyed import latest
 from chatterscope.operators.merge import upsert, upsert_users
 from chatterscope.sources import landing
+from chatterscope.sources.snapshots import Snapshots, Updates
 from chatterscope.sources.tables import write_table
 
 
@@ -96,11 +97,20 @@ def load_counts(landed: Landed) -> DataFrame:
     return reduce(DataFrame.unionByName, named).groupBy("what").agg(F.count("*").alias("n"))
 
 
-def ingest(
-    landed: Landed, stored: Tables, gate: str = "row", order: Sequence[Column] | None = None
-) -> Tables:
-    """Merge landed records into the stored tables; lazy apart from two checks: there must be users and
-    submissions to load, and names must stay unique.
+@dataclass(frozen=True)
+class Admitted:
+    """What a load puts into the tables: rows, and the order in which a key's first row stands."""
+
+    users: DataFrame
+    submissions: DataFrame
+    comments: DataFrame
+    order: Sequence[Column]
+
+
+def admit(
+    landed: Landed, stored_comments: DataFrame, gate: str = "row", order: Sequence[Column] | None = None
+) -> Admitted:
+    """The landed rows that pass the gates. There must be users and submissions to load.
 
     `order` ranks records of one key, the winner first; the default takes the one that stands last,
     files by name.
@@ -114,9 +124,25 @@ def ingest(
     posts = landing.latest_submissions(landed.submissions, order)
     admitted = admit_submissions(landing.to_submission_rows(posts, carry=["place"]), names, gate)
     flat = landed_comments(landed.submissions, order)
-    new = admit_comments(flat, accepted_names(landed.users), stored.comments, gate)
+    new = admit_comments(flat, accepted_names(landed.users), stored_comments, gate)
+    return Admitted(user_rows, admitted, new, [F.col("place").desc()])
+
+
+def ingest(
+    landed: Landed, stored: Tables, gate: str = "row", order: Sequence[Column] | None = None
+) -> Tables:
+    """Merge landed records into the stored tables, lazily; two ids with one name fail the users' merge when
+    it is computed."""
+    new = admit(landed, stored.comments, gate, order)
     return Tables(
-        upsert_users(stored.users, user_rows, [F.col("place").desc()]),
-        upsert(stored.submissions, admitted, "submission_id", [F.col("place").desc()]),
-        upsert(stored.comments, new, "comment_id", [F.col("place").desc()]),
+        upsert_users(stored.users, new.users, new.order),
+        upsert(stored.submissions, new.submissions, "submission_id", new.order),
+        upsert(stored.comments, new.comments, "comment_id", new.order),
     )
+
+
+def load(landed: Landed, stored: Snapshots, gate: str = "row", order: Sequence[Column] | None = None) -> int:
+    """Merge landed records into versioned tables: only the parts that get new rows are rewritten, and all
+    three tables change together or not at all. The new version."""
+    new = admit(landed, stored.read("comments"), gate, order)
+    return stored.load({name: Updates(getattr(new, name), new.order) for name in ("users", "submissions", "comments")})

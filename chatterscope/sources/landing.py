@@ -31,6 +31,12 @@ def split_communities(spec: str) -> list[str]:
     return spec.split("+")
 
 
+def community_paths(root: str, spec: str) -> list[str]:
+    """The landing folders of the communities in `spec`, to be read together; one that is named twice is
+    read twice."""
+    return [f"{root.rstrip('/')}/{name}" for name in split_communities(spec)]
+
+
 def read_indented(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """`(key, json, file, place)` for each top-level entry of JSON objects; see `entries`."""
     text = spark.read.option("lineSep", _RECORD_END).text(list(paths))

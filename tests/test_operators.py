@@ -305,3 +305,44 @@ def test_duplicates_move_rows_twice(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("Range (") <= 3
+
+
+def test_a_failing_tagger_loses_single_texts_only(spark):
+    bad = {3, 4, 17, 40, 99}
+    started, asked = [], []
+
+    def tagger(batches):
+        started.append(1)
+        for batch in batches:
+            asked.append(len(batch))
+            if set(batch["text_key"]) & bad:
+                raise ValueError("no tag for this")
+            yield batch.assign(pos=0, phrase=batch["text"], label="X")[["text_key", "pos", "phrase", "label"]]
+
+    frames = [pd.DataFrame({"text_key": range(k, k + 10), "text": [f"t{i}" for i in range(k, k + 10)]}) for k in range(0, 100, 10)]
+    made = pd.concat(list(entities.isolated(tagger)(iter(frames))))
+    lost = made[made["failed"].eq(True)]
+    assert set(lost["text_key"]) == bad and len(made) == 100 and set(made["text_key"]) == set(range(100))
+    assert asked.count(10) == 10 and len(started) < 60
+    clean = [f for f in frames if not set(f["text_key"]) & bad]
+    started.clear()
+    assert len(pd.concat(list(entities.isolated(tagger)(iter(clean))))) == 60 and len(started) == 1
+    assert list(entities.isolated(tagger)(iter([]))) == []
+
+    def broken(batches):
+        raise RuntimeError("no model")
+        yield
+
+    with pytest.raises(RuntimeError, match="no model"):
+        list(entities.isolated(broken)(iter(frames)))
+
+    rows = spark.createDataFrame([(i, f"word{i}") for i in range(100)] + [(100, None)], "id long, t string").repartition(3)
+
+    def fails(batches):
+        for batch in batches:
+            if set(batch["text_key"]) & {3, 4, 17, 40, 99}:
+                raise ValueError("no tag for this")
+            yield batch.assign(pos=0, phrase=batch["text"], label="X")[["text_key", "pos", "phrase", "label"]]
+
+    got = {r.id: (r.failed, len(r.entities)) for r in entities.plugged_entities(rows, fails, "id", "t").collect()}
+    assert got == {i: (i in bad, int(i not in bad)) for i in range(100)}

@@ -355,6 +355,37 @@ _SIGHTINGS = """
   where comment_author is not null"""
 
 
+def _versions() -> str:
+    """The rows of each table after one load and after the same load once more."""
+    return _sql(
+        f"""select v as version, name, n from (values (2), (3)) as versions(v), (
+          select 'users' as name, count(*) as n from fx_users where {_NUMBER} % 19 <> 0
+          union all select 'submissions', count(*) from fx_comments where comment_author in (select redditor from fx_users)
+          union all select 'comments', (select count(*) from fx_peoples where {_STORED}) + (select count(*) from landed where opens))""",
+        "users", "comments", "peoples", landed=_LANDED_POSTS.format(number=_NUMBER),
+    )
+
+
+def _failing() -> str:
+    """Measures of the comment report with a tagger's words; texts with a seventh length show the error."""
+    stripped = _strip("body")
+    steps = {
+        **_sentiment_steps("fx_comments", "comment_id", stripped, "s_"),
+        "scored": _scored("fx_comments", "comment_id", "s_scores"),
+        "tagged": f"""select comment_id as id, length({stripped}) % 7 = 0 as failed, array_to_string(list_filter({_pieces('body')},
+            lambda x: regexp_matches(x, '[0-9]')), ', ') as words, {_tokens(stripped)} as t, {_clean_tokens('body')} as ct from fx_comments""",
+        "ld": f"select id, failed, words, {_bigrams('t')} as bigrams, {_ratio('ct')} as r, len(ct) as n from tagged",
+    }
+    return _sql(
+        f"""select ld.id as comment_id, case when failed then 'Error' else shown end as sentiment,
+          case when failed then '' else words end as named_entities,
+          case when failed then 'Error' else printf('%.2f', r) || ' (' || {_DIVERSITY} || ')' end as lexical_diversity,
+          case when failed then '' else bigrams end as common_bigrams
+        from ld join scored on scored.id = ld.id""",
+        "comments", "lexicon", **steps,
+    )
+
+
 def build() -> dict[str, str]:
     toks, body_toks = _tokens("title"), _tokens("body")
     words = _sentiment_steps("fx_comments", "comment_id", "body", "s_")["s_texts"]
@@ -370,6 +401,10 @@ def build() -> dict[str, str]:
             """select *, 'news' as community from fx_submissions
             union all select *, 'nsfw' from fx_submissions where over_18""", "submissions",
         ),
+        "communities_landed": _sql(
+            """select * from fx_submissions
+            union all select * from fx_submissions where over_18""", "submissions",
+        ),
         "landing_comments": _sql(f"select {_COMMENT_COLUMNS} from fx_peoples", "peoples"),
         "landing_objects": _sql(
             """select comment_id as key, 1::bigint as n, body, case when edited_raw = '1700000000.0' then '1.7E9' else edited_raw end as edited
@@ -412,6 +447,12 @@ def build() -> dict[str, str]:
             f"""select * from fx_peoples
             where {_STORED} or comment_author in (select redditor from fx_users)""", "peoples", "users",
         ),
+        "upsert_incremental": _sql(
+            f"""select * from fx_peoples
+            where {_STORED} or comment_author in (select redditor from fx_users)""", "peoples", "users",
+        ),
+        "version_before": _sql(f"select * from fx_peoples where {_STORED}", "peoples"),
+        "load_versions": _versions(),
         "name_clashes": _sql(
             "select author, count(*) as n from fx_submissions where author is not null group by author having count(*) > 1",
             "submissions",
@@ -469,6 +510,7 @@ def build() -> dict[str, str]:
         "entity_shapes": _sql(_SHAPES.format(key="submission_id", text=_tokens("title"), table="submissions"), "submissions"),
         "entity_shapes_comments": _sql(_SHAPES.format(key="comment_id", text=_tokens("body"), table="comments"), "comments"),
         "entities_plugged": _sql(_PLUGGED, "comments"),
+        "failing_texts": _failing(),
         "newest_per_user": _sql(_NEWEST, "activity"),
         "activity_of_users": _sql("select * from fx_activity where redditor in (select redditor from fx_users)", "activity", "users"),
         "activity_log": _sql(

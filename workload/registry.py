@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from chatterscope.plans import comments as cp
 from chatterscope.plans import ingest as ing
 from chatterscope.plans import submissions as sp
 from chatterscope.plans import users as up
-from chatterscope.sources import landing, reports, tables
+from chatterscope.sources import landing, reports, snapshots, tables
 from chatterscope.streaming import load
 from workload import projections as P
 
@@ -71,6 +72,17 @@ def communities_appended(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def communities_landed(spark, sf):
+    """The same listings, landed as lines in a folder for each community and read as one list of paths."""
+    posts = P.submissions(spark, sf)
+    root = load.checkpoint_folder(spark, f"communities-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+    for name, kept in (("news", F.lit(True)), ("nsfw", F.col("over_18"))):
+        reports.write_lines(posts.where(kept), f"{root}/{name}")
+    records = landing.read_lines(spark, landing.community_paths(root, "news+nsfw"))
+    return landing.to_submission_rows(landing.parse_submissions(records))
+
+
 # Landing
 
 
@@ -321,6 +333,42 @@ def upsert_comments(spark, sf):
     return merge.upsert(stored, new, "comment_id", [F.col("comment_created_utc").desc()])
 
 
+def _versions(spark, sf):
+    """Comments stored as one version, and the new ones by known users loaded as the next."""
+    folder = load.checkpoint_folder(spark, f"versions-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+    versions = snapshots.Snapshots(spark, folder, buckets=16)
+    comments, stored = P.peoples_comments(spark, sf), _stored_comments(spark, sf)
+    versions.load({"comments": snapshots.Updates(stored, [F.col("comment_created_utc").desc()])})
+    new = gates.admit_comments(comments, _names(spark, sf), versions.read("comments"), "row", group="link_id")
+    versions.load({"comments": snapshots.Updates(new, [F.col("comment_created_utc").desc()])})
+    return versions
+
+
+@query
+def upsert_incremental(spark, sf):
+    """The merge of `upsert_comments` as a load into versioned tables: the last version."""
+    return _versions(spark, sf).read("comments")
+
+
+@query
+def version_before(spark, sf):
+    """The same tables as they were before the last load."""
+    return _versions(spark, sf).read("comments", 1)
+
+
+@query
+def load_versions(spark, sf):
+    """A whole load of landed text into versioned tables, twice: the rows of each table and version. The
+    second load finds its comments stored."""
+    folder = load.checkpoint_folder(spark, f"loads-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+    versions = snapshots.Snapshots(spark, folder, buckets=16)
+    versions.load({"comments": snapshots.Updates(_stored_comments(spark, sf))})
+    for _ in range(2):
+        ing.load(_landed(spark, sf), versions, "row")
+    tables_of = [versions.read(name, v).select(F.lit(v).alias("version"), F.lit(name).alias("name")) for v in (2, 3) for name in schemas.TABLES]
+    return reduce(DataFrame.unionByName, tables_of).groupBy("version", "name").agg(F.count("*").alias("n"))
+
+
 @query
 def name_clashes(spark, sf):
     """Author names held by more than one post (the uniqueness check, on data that violates it)."""
@@ -503,6 +551,21 @@ def entities_plugged(spark, sf):
     )
 
 
+def _failing_tagger(batches):
+    """The same, but it fails on every text with a seventh length."""
+    for batch in batches:
+        if (batch["text"].str.len() % 7 == 0).any():
+            raise ValueError("this tagger has its bad days")
+        yield from _digit_tagger(iter([batch]))
+
+
+@query
+def failing_texts(spark, sf):
+    """The comment analysis with a tagger that fails on some texts: only those show it."""
+    analysed = cp.comment_analysis(P.comments(spark, sf), P.lexicon(spark, sf), P.gazetteer(spark, sf), P.RULES, _failing_tagger)
+    return analysed.select("comment_id", "sentiment", "named_entities", "lexical_diversity", "common_bigrams")
+
+
 # Activity and accounts
 
 
