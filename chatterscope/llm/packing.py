@@ -3,13 +3,17 @@
 Documents become ids, longer ones are cut, and the pieces' lengths are counted. From the histogram
 alone the driver plans: it enumerates patterns of up to three lengths that fill a sequence, fits their
 repeat counts to the histogram by non-negative least squares, rounds them down, and packs what is left
-best-fit, longest first, into new sequences and into room that the patterns left. The plan holds counts
+best-fit, longest first, into new sequences and into room that the patterns left. Patterns of bins may
+leave room that no residual fits, so the plan is made with several shares of the repeat counts, and the one
+of fewest sequences stands; a share of zero is best-fit decreasing of everything, so no plan is worse than
+that. The plan holds counts
 of lengths, never pieces, so its size follows the number of lengths. Each piece then finds its place
 from its length and its rank among the pieces of that length; ranks come from a running number in each
 task and a sum over tasks, so that no task sees all pieces of a common length.
 
 A null text is empty and gives one piece, the closing id. Null doc_ids are kept as null, repeated rows
-are packed one by one, extra columns are ignored, no rows give no pieces.
+are packed one by one, pieces of equal length are interchangeable and take the places of that length by
+their rank, extra columns are ignored, no rows give no pieces.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from chatterscope.llm.shared import stored, text_of
 SIZE = 2048
 #: Width of the bins of lengths that patterns are made of.
 BIN = 16
+#: Shares of the fitted repeat counts that plans are made with.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25, 0.0)
 #: Remembered runs in a worker; a full memory is emptied, which costs time only.
 REMEMBERED = 600_000
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split text.
@@ -179,15 +185,21 @@ def plan(histogram: dict[int, int], size: int = SIZE, width: int = BIN) -> list[
         by_bin[-(-n // width)].append(n)
     # A pattern of which some bin has no piece would repeat zero times after rounding.
     usable = [p for p in patterns(bins) if all(count[k] for k in p)]
+    repeats = np.zeros(len(usable))
     if usable:
         matrix = np.zeros((bins + 1, len(usable)))
         for j, p in enumerate(usable):
             for k in p:
                 matrix[k, j] += 1
         repeats = least_squares(matrix, count)
+    plans = []
+    for share in SHARES if repeats.any() else SHARES[-1:]:
+        rest, made = dict(left), list(groups)
         for j in np.argsort(-repeats):
-            groups += _instances(usable[j], int(repeats[j]), left, by_bin, size, width)
-    return _best_fit(groups, left, size)
+            made += _instances(usable[j], int(share * repeats[j]), rest, by_bin, size, width)
+        plans.append(_best_fit(made, rest, size))
+    # Of plans with equally many sequences the first, with the largest share of patterns.
+    return min(plans, key=lambda groups: sum(times for _, times in groups))
 
 
 def _instances(pattern, repeats, left, by_bin, size, width):

@@ -69,6 +69,32 @@ def test_plan_holds_everything(name):
     assert used <= {"hot": 50_002}.get(name, least * 1.002 + 1)
 
 
+def best_fit_decreasing(histogram, size=2048):
+    """Sequences that it takes, one piece at a time."""
+    rooms, used = Counter(), 0
+    for n in sorted(histogram.elements(), reverse=True):
+        room = min((r for r, c in rooms.items() if c and r >= n), default=None)
+        if room is None:
+            used, room = used + 1, size
+        else:
+            rooms[room] -= 1
+        rooms[room - n] += 1
+    return used
+
+
+@pytest.mark.parametrize("name", [n for n in HISTOGRAMS if n != "hot"])
+def test_plan_is_never_worse_than_best_fit_decreasing(name):
+    assert sum(times for _, times in packing.plan(HISTOGRAMS[name])) <= best_fit_decreasing(Counter(HISTOGRAMS[name]))
+
+
+@pytest.mark.parametrize("scale, sequences", [("0.001", None), ("0.01", 481)])
+def test_plan_of_documents(spark, scale, sequences):
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+    histogram = Counter({r["length"]: r["count"] for r in packing.pieces(docs, PATH).groupBy("length").count().collect()})
+    used = sum(times for _, times in packing.plan(histogram))
+    assert used <= best_fit_decreasing(histogram) and used <= (sequences or used)
+
+
 def test_rows(spark):
     rnd = random.Random(5)
     words = [w for w in "the of and inthe rest ation über ça 12 ,;".split()]
