@@ -4,12 +4,17 @@ A gear hash rolls over a text's bytes: each step shifts the hash and adds a rand
 it depends on the last 16 bytes only. Where its highest bits are zero a chunk ends, unless it is shorter
 than `LEAST`; it ends at `MOST` bytes in any case, and a short end joins the chunk before. Bounds depend
 on nearby content, so an insertion changes the chunks around it and no others. A chunk whose digest
-occurred before, by doc_id and place, is a duplicate; a run of duplicate chunks of at least `RUN` bytes
-is removed, shorter ones stay, since short phrases coincide by chance.
+occurred before, by doc_id, digest of the text and place, is a duplicate; a run of duplicate chunks of at
+least `RUN` bytes is removed, shorter ones stay, since short phrases coincide by chance.
+
+A chunk moves as its digest, its row and its number. Half of a digest, counted, finds the few chunks that may
+occur again; only those get their place. Digests that more than one in `HOT` of them share are fewer than
+`HOT`, and are joined by broadcast, the others by key, so that no task gets all rows of a common digest.
 
 Equal texts are one text with a count, of which the first document is kept as is and the others lose
 everything, if the text has at least `least_copy` bytes (`RUN` unless given; 1: any that is not empty). Null texts are empty and keep what they have, null doc_ids come
-last, rows that repeat doc_id and text are one document and get its result. Extra columns are ignored or
+last and are told apart by their texts' digests, like different texts of one doc_id; rows that repeat doc_id
+and text are one document and get its result. A text of any length is cut and compared whole. Extra columns are ignored or
 kept, no rows give no rows. Digests have 128 bits.
 """
 
@@ -35,10 +40,9 @@ MOST = 128
 #: A chunk may end where this many highest bits of the hash are zero.
 BITS = 4
 #: Bytes of a run of duplicate chunks from which it is removed.
-RUN = 64
-#: Values (of some 20 bytes) of a measured table up to which a join broadcasts it; beyond, both sides are
-#: shuffled.
-BROADCAST_VALUES = 1_000_000
+RUN = 128
+#: Bound on the number of digests that are joined by broadcast.
+HOT = 50_000
 
 #: Numbers of which only the highest bits are random: shifted `WINDOW` times they are gone.
 _GEAR = (np.random.default_rng(20_240_501).integers(0, 1 << WINDOW, 256, np.uint64) << np.uint64(32 - WINDOW)).astype(np.uint32)
@@ -127,13 +131,6 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
-def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
-    """`df`, a stored table, marked for broadcast if it was counted and is small. values: how many a row
-    holds, if not a few."""
-    size = df.agg(F.sum(F.lit(1) if values is None else values)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_VALUES else df
-
-
 @releases
 def duplicates(docs: DataFrame) -> DataFrame:
     """(t1, t2, first, several, spans, repeated) for texts of `docs` (doc_id, text as binary) that have
@@ -151,15 +148,18 @@ def duplicates(docs: DataFrame) -> DataFrame:
     several = (F.col("low") < F.col("high")) | ((F.col("known") > 0) & (F.col("known") < F.col("n")))
     copies = stored(copies.where("n > 1").select("t1", "t2", "first", several.alias("several")), "copies")
     # The first row of each text stands for all.
-    one = rows.join(_small(copies), ["t1", "t2"], "left").where("first is null or row = first.row")
-    each = one.select(none, "doc_id", "row", F.posexplode("chunks").alias("k", "c")).select(
-        F.struct("none", "doc_id", "row", "k").alias("place"), "c.d1", "c.d2"
-    )
-    # Half a digest finds the few chunks that may occur again; only those move with their places.
+    one = rows.join(copies, ["t1", "t2"], "left").where("first is null or row = first.row")
+    each = one.select("row", F.posexplode("chunks").alias("k", "c")).select("row", "k", "c.d1", "c.d2")
     often = stored(each.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "often")
-    each = stored(each.join(_small(often), "d1", "left_semi"), "again")
-    shared = each.groupBy("d1", "d2").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = each.join(shared, ["d1", "d2"]).groupBy(F.col("place.row").alias("row")).agg(
+    again = each.join(often, "d1", "left_semi").join(rows.select("row", none, "doc_id", "t1", "t2"), "row")
+    again = stored(again.select("row", "d1", "d2", F.struct("none", "doc_id", "t1", "t2", "k").alias("place")), "again")
+    shared = again.groupBy("d1", "d2").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(shared, "shared")
+    # The counts add up to the rows of `again` at most, so fewer than HOT digests have more than their share.
+    fair = again.count() // HOT + 1
+    hot, rest = shared.where(F.col("n") > fair).drop("n"), shared.where(F.col("n") <= fair).drop("n")
+    found = again.join(F.broadcast(hot), ["d1", "d2"]).unionByName(again.join(rest.hint("merge"), ["d1", "d2"]))
+    own = found.groupBy("row").agg(
         F.collect_list(F.struct(F.col("place.k").alias("k"), (F.col("place") > F.col("one")).alias("later"))).alias("shared")
     )
     spans = F.arrow_udf(_runs, "struct<spans:array<struct<start:int,end:int>>,repeated:long>")
@@ -211,8 +211,7 @@ def _with_fate(docs: DataFrame, least_copy: int) -> tuple[DataFrame, str, list[C
     name = unused(docs, "chunk_fate")
     fate = fate.select(F.col("t1").alias(f"{name}1"), F.col("t2").alias(f"{name}2"), F.struct("first", "several", "spans", "repeated").alias(name))
     t1, t2 = _key(text)
-    few = F.lit(1) + F.coalesce(F.size(F.col(f"{name}.spans")), F.lit(0))
-    placed = docs.join(_small(fate, few), (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2")
+    placed = docs.join(fate, (t1 == F.col(f"{name}1")) & (t2 == F.col(f"{name}2")), "left").drop(f"{name}1", f"{name}2")
     gone = F.col(f"{name}.several") & (F.length(text) >= least_copy) & ~F.col("doc_id").cast("long").eqNullSafe(F.col(f"{name}.first"))
     return placed, name, [text, gone, F.col(f"{name}.spans")]
 
