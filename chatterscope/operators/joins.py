@@ -24,7 +24,7 @@ def salt(row_id: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
 
 
-def _executor_bytes(spark: SparkSession) -> int:
+def executor_bytes(spark: SparkSession) -> int:
     said = spark.conf.get("spark.executor.memory", "1g").strip().lower().removesuffix("b")
     unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     return int(said[:-1]) * unit[said[-1]] if said[-1] in unit else int(said) << 20
@@ -36,7 +36,7 @@ def measured(dim: DataFrame, *more: Column) -> tuple[bool, tuple]:
     widths = (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in dim.columns)
     size = F.sum(reduce(Column.__add__, widths))
     rows, total, *rest = dim.agg(F.count("*"), size, *more).first()
-    limit = _executor_bytes(dim.sparkSession) * BROADCAST_SHARE
+    limit = executor_bytes(dim.sparkSession) * BROADCAST_SHARE
     return rows <= BROADCAST_ROW_LIMIT and (total or 0) <= limit, tuple(rest)
 
 

@@ -3,7 +3,7 @@
 The harvest writes its object indented by four spaces. A raw line break cannot occur inside a JSON
 string, so a line break, four spaces and a closing brace always end one top-level record. Reading
 with that separator makes the single object splittable: no task holds a whole file. Objects in other
-layouts cannot be split and are read file by file (`read_objects`).
+layouts are split too, at a higher price (`read_objects`).
 
 Nothing is lost without a trace: what is no record is returned by `rejected_records`.
 """
@@ -20,6 +20,7 @@ from chatterscope import schemas
 from chatterscope.functions.text import WHITESPACE, bound
 from chatterscope.operators.checks import require_keys
 from chatterscope.operators.keyed import latest
+from chatterscope.sources.objects import stretches
 
 _RECORD_END = "\n    }"
 #: A key that no record has.
@@ -44,8 +45,8 @@ def read_indented(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The same for objects in any layout. A file is read whole, by one task."""
-    return entries(_with_place(spark.read.text(list(paths), wholetext=True)))
+    """The same for objects in any layout; see `sources.objects`."""
+    return entries(stretches(spark, paths))
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -75,7 +76,8 @@ def entries(text: DataFrame) -> DataFrame:
     A stretch ends where the separator stood, or at the end of the file. It is closed by a mark of its
     own and parsed as one object: only if the mark is found again has all of it been read. So entries
     may be indented, compact, empty or null, and any number of them may share a stretch. A stretch that
-    cannot be read whole gives one row without key, and is rejected when its records are parsed.
+    cannot be read whole gives one row without key, and is rejected when its records are parsed. So does one
+    that is said not to be `whole`.
     """
     inner = F.regexp_replace("value", r"\A[\s\x{feff}]*[{,]?\s*", "")
     # The separator was cut off, or the file ends with the object's own brace.
@@ -89,7 +91,10 @@ def entries(text: DataFrame) -> DataFrame:
     )
     broken = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value").alias("value")))
     nothing = F.filter(broken, lambda x: F.lit(False))
-    found = F.when(rest, nothing).otherwise(F.coalesce(read(inside), read(at_end), broken))
+    found = F.coalesce(read(inside), read(at_end), broken)
+    if "whole" in text.columns:
+        found = F.when(F.col("whole"), found).otherwise(broken)
+    found = F.when(rest, nothing).otherwise(found)
     each = text.select("file", "place", F.posexplode(found).alias("entry", "e"))
     return each.select(
         F.col("e.key").alias("key"), F.coalesce("e.value", F.lit("null")).alias("json"), "file",
