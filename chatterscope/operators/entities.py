@@ -14,15 +14,23 @@ from chatterscope.operators.joins import dictionary_join, measured
 ENTITY = "struct<pos:int,phrase:string,label:string>"
 
 
-def gazetteer_matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
+OVERLAPS = ("any", "kept")
+
+
+def gazetteer_matches(
+    texts: DataFrame, gazetteer: DataFrame, key: str, text: str, overlap: str = "any"
+) -> DataFrame:
     """One row per entity found: `_id, pos, phrase, label`.
 
     `gazetteer(phrase, label)`: tokens joined by one space; of a repeated phrase the first label by
     name counts. Of the phrases that start at one token the longest stands; a match that begins
-    before the end of one that started earlier is dropped. Tokens that open no phrase are dropped by
+    before the end of one that started earlier is dropped: of `any` earlier match, or only of one that
+    was `kept`, as a scan from the left leaves them. Tokens that open no phrase are dropped by
     a join before what follows them is put together, and each opening token is followed only for the
     lengths of phrases that it opens, so one long phrase does not widen other rows.
     """
+    if overlap not in OVERLAPS:
+        raise ValueError(f"overlap must be one of {OVERLAPS}")
     phrases = gazetteer.groupBy("phrase").agg(F.min("label").alias("label"))
     phrases = phrases.withColumn("n", F.size(F.split("phrase", " ")))
     small, (longest,) = measured(phrases, F.max("n"))
@@ -45,20 +53,38 @@ def gazetteer_matches(texts: DataFrame, gazetteer: DataFrame, key: str, text: st
     earlier_end = F.max(F.col("pos") + F.col("n")).over(
         in_order.rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        hits.withColumn("_before", F.lag("pos").over(in_order))
-        .withColumn("_end", earlier_end)
-        .where(F.col("_before").isNull() | ((F.col("_before") != F.col("pos")) & (F.col("_end") <= F.col("pos"))))
-        .select("_id", "pos", "phrase", "label")
+    ranked = hits.withColumn("_before", F.lag("pos").over(in_order)).withColumn("_end", earlier_end)
+    free = F.col("_before").isNull() | (F.col("_end") <= F.col("pos"))
+    longest = ranked.where(F.col("_before").isNull() | (F.col("_before") != F.col("pos")))
+    if overlap == "any":
+        return longest.where(free).select("_id", "pos", "phrase", "label")
+    # Matches that hang together are folded; a run of them begins where none before reaches.
+    run = F.sum(F.when(free, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = longest.withColumn("_run", run).groupBy("_id", "_run").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "n", "phrase", "label"))).alias("_matches")
+    )
+    return runs.select("_id", F.explode(_scanned(F.col("_matches"))).alias("m")).select("_id", "m.pos", "m.phrase", "m.label")
+
+
+def _scanned(matches: Column) -> Column:
+    """Of matches in text order those that begin at or after the end of the last one taken."""
+    end = lambda m: m["pos"] + m["n"]
+    first = F.element_at(matches, 1)
+    state = lambda until, taken: F.struct(until.alias("until"), taken.alias("taken"))
+    return F.aggregate(
+        F.slice(matches, 2, F.size(matches)),
+        state(end(first), F.array(first)),
+        lambda a, m: F.when(m["pos"] >= a["until"], state(end(m), F.array_append(a["taken"], m))).otherwise(a),
+        lambda a: a["taken"],
     )
 
 
-def entities(texts: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
+def entities(texts: DataFrame, gazetteer: DataFrame, key: str, text: str, overlap: str = "any") -> DataFrame:
     """`(key, entities)` for the texts with at least one match, entities in text order.
 
     The collected list is bounded by the words of one text.
     """
-    found = gazetteer_matches(texts, gazetteer, key, text)
+    found = gazetteer_matches(texts, gazetteer, key, text, overlap)
     return _per_text(found, key)
 
 

@@ -84,6 +84,41 @@ def write_report(analysis: DataFrame, headers: dict[str, str], path: str, fmt: s
         raise ValueError("no rows to process")
 
 
+def indented_parts(root: str) -> list[str]:
+    """The folders of an object written by `write_indented`, in their order."""
+    return [f"{root.rstrip('/')}/1-records", f"{root.rstrip('/')}/2-end"]
+
+
+def write_indented(df: DataFrame, key: str, root: str) -> None:
+    """Records as one JSON object by `key`, in the harvest's layout: indented by four spaces, each record
+    ending at the first level, so that `landing.read_indented` splits it. Non-ASCII text is kept.
+
+    The object is written by many tasks, in the order of its keys. Its text is that of all files, folders
+    and files by name. What opens it belongs to its first record, and what closes it is written last: the
+    object of a writer that died has no end. A null key fails the write; records of one key are all written.
+    """
+    named = F.when(F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(F.raise_error(F.lit(f"{key} is null")))
+    quoted = F.to_json(F.struct(named.alias("k")))
+    quoted = F.substring(quoted, 6, F.length(quoted) - 6)
+    fields = [c for c in df.columns if c != key]
+    record = F.to_json(F.struct(*fields), {"pretty": "true", "ignoreNullFields": "false"}) if fields else F.lit("{ }")
+    # The writer indents by two spaces a level and puts one before a colon; no text holds a raw line break.
+    record = F.regexp_replace(record, r'(?m)^( *+"(?:[^"\\]++|\\.)*+") : ', "$1: ")
+    record = F.regexp_replace(F.regexp_replace(record, r"(?m)^( +)", "$1$1"), r"\n", "\n    ")
+    in_order = df.repartitionByRange(key).sortWithinPartitions(key).select(F.concat(F.lit("    "), quoted, F.lit(": "), record).alias("entry"))
+    first = F.monotonically_increasing_id() == 0
+    opened = in_order.select(F.when(first, F.concat(F.lit("{\n"), "entry")).otherwise(F.concat(F.lit(",\n"), "entry")).alias("value"))
+    opening = F.count(F.when(F.col("value").startswith("{"), 1))
+    text, seen = counted(opened, f"object-{uuid.uuid4()}", opening=opening)
+    records, end = indented_parts(root)
+    text.write.mode("errorifexists").text(records)
+    rows = seen.get["rows"]
+    if rows and seen.get["opening"] != 1:
+        raise ValueError(f"{records} does not begin with its first record")
+    spark = df.sparkSession
+    spark.range(1).select(F.lit("}" if rows else "{}").alias("value")).write.mode("errorifexists").text(end)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """Landed records as newline-delimited JSON; non-ASCII text is kept as it is."""
     df.write.mode("errorifexists").json(path)

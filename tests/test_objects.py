@@ -2,10 +2,11 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 
-from chatterscope.sources import landing, objects
+from chatterscope.sources import landing, objects, reports
 
 SPLITS = (40, 300, 1 << 20)
 TEXTS = ['plain', 'a } b', '{"not": "a record"}', 'quote " here', 'back\\slash', '\\"}', 'ü}é{', '[', ']]}', '', '\\', '"', 'line\nbreak', ' }']
@@ -113,3 +114,40 @@ def test_a_record_without_end_is_not_put_together(split, tmp_path, monkeypatch):
     assert [(r["key"], r["json"]) for r in found if r["key"]] == [("a", '{"x":1}')]
     lost = [r["json"] for r in found if r["key"] is None]
     assert len(lost) > 5 and max(map(len, lost)) < 300 and sum(x.count("[") for x in lost) == 1000
+
+
+def _written(root):
+    """The text of all parts, folders and files by name."""
+    parts = [p for folder in reports.indented_parts(str(root)) for p in sorted(Path(folder).glob("part-*.txt"))]
+    return "".join(p.read_text() for p in parts)
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("n", (0, 1, 500))
+def test_an_object_is_written_by_many_tasks(spark, tmp_path, uncoalesced, n):
+    """It is one JSON text, and each reader gives its records back."""
+    draw = random.Random(n)
+    rows = [(f"{i:04} {draw.choice(TEXTS)}", draw.choice(TEXTS), [(draw.choice(TEXTS) + ' : "', None)] * draw.randint(0, 3), None) for i in range(n)]
+    schema = "id string, `te\"x : t` string, comments array<struct<body: string, score: int>>, none double"
+    root = tmp_path / "object"
+    reports.write_indented(spark.createDataFrame(rows, schema).repartition(7), "id", str(root))
+    wanted = {r[0]: {'te"x : t': r[1], "comments": [{"body": b, "score": s} for b, s in r[2]], "none": None} for r in rows}
+    assert list(json.loads(_written(root)).items()) == list(wanted.items())
+    assert n < 2 or len(list(Path(reports.indented_parts(str(root))[0]).glob("part-*.txt"))) > 1
+    for read in (landing.read_indented, landing.read_objects):
+        found = read(spark, reports.indented_parts(str(root))).collect()
+        assert {r["key"]: json.loads(r["json"]) for r in found} == wanted and len(found) == n
+    ends = [line for line in _written(root).splitlines() if line == "    }"]
+    assert len(ends) == n
+
+
+def test_a_record_without_key_is_not_written(spark, tmp_path):
+    with pytest.raises(Exception, match="id is null"):
+        reports.write_indented(spark.createDataFrame([(None, 1)], "id string, x int"), "id", str(tmp_path / "object"))
+    assert not (tmp_path / "object" / "2-end").exists()

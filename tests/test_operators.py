@@ -54,6 +54,20 @@ def test_gazetteer(spark, sides):
     }
 
 
+def test_a_dropped_match_hides_nothing(spark, sides):
+    rows = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d x a b c"), (3, "c d")], "id int, t string")
+    gaz = spark.createDataFrame([(p, "RUN") for p in ("a b", "b c", "c d", "d e", "b")], "phrase string, label string")
+
+    def got(overlap):
+        return pairs(entities.gazetteer_matches(rows, gaz, "id", "t", overlap).select("_id", "pos", "phrase"))
+
+    # "b c" begins inside "a b" and is dropped; "c d" begins inside "b c" only.
+    assert got("kept") == [(1, 0, "a b"), (1, 2, "c d"), (2, 0, "a b"), (2, 2, "c d"), (2, 5, "a b"), (3, 0, "c d")]
+    assert got("any") == [(1, 0, "a b"), (2, 0, "a b"), (2, 5, "a b"), (3, 0, "c d")]
+    with pytest.raises(ValueError):
+        got("none")
+
+
 def test_shapes(spark):
     rows = spark.createDataFrame([("Today John Smith met Mary. Then Bob left Paris",)], "t string")
     assert rows.select(entities.shape_entities(F.col("t"))).first()[0] == ["John Smith", "Mary", "Bob", "Paris"]

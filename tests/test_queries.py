@@ -34,7 +34,7 @@ def test_query(spark, con, name):
     df = registry.QUERIES[name](spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name not in ("entities_plugged", "failing_texts"):
+    if name not in ("entities_plugged", "failing_texts", "landing_any_layout"):
         assert "Python" not in plan and "Pandas" not in plan
     assert compare(df, con, SQL[name]).startswith("ok")
 

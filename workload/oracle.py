@@ -313,6 +313,25 @@ def _sentiment_query(table: str, key: str, text: str) -> str:
     return _sql(body, table, "lexicon", **steps, scored=_scored(f"fx_{table}", key, "s_scores"))
 
 
+def _scanned_query() -> str:
+    """Of overlapping runs of words those that a scan from the left takes."""
+    steps = _entity_steps("fx_comments", "comment_id", "body", "e_") | {
+        "fx_gazetteer": f"""
+            select distinct array_to_string(t[i:i + 1 + i % 2], ' ') as phrase, 'RUN' as label
+            from (select t, unnest(range(1, len(t))) as i from (select {_tokens('text')} as t from benchmark))""",
+        "e_scanned": """
+            select id, list_reduce(list({'s': pos, 'e': pos + len, 'w': [phrase]} order by pos),
+              lambda a, m: case when m.s >= a.e then {'s': m.s, 'e': m.e, 'w': a.w || m.w} else a end) as r
+            from e_longest group by id""",
+    }
+    for unused in ("e_kept", "e_ents"):
+        del steps[unused]
+    steps = {"fx_gazetteer": steps.pop("fx_gazetteer"), **steps}
+    body = """select comment_id, coalesce(array_to_string(r.w, ', '), '') as named_entities
+      from fx_comments left join e_scanned on id = comment_id"""
+    return _sql(body, "comments", **steps)
+
+
 def _entity_query(table: str, key: str, text: str, shown: str) -> str:
     body = f"select {key}, coalesce({shown}, '') as named_entities from fx_{table} left join e_ents on id = {key}"
     return _sql(body, table, "gazetteer", **_entity_steps(f"fx_{table}", key, text, "e_"))
@@ -507,6 +526,7 @@ def build() -> dict[str, str]:
         "sentiment_titles": _sentiment_query("submissions", "submission_id", "title"),
         "entities_comments": _entity_query("comments", "comment_id", "body", "words"),
         "entities_titles": _entity_query("submissions", "submission_id", "title", "brackets"),
+        "entities_scanned": _scanned_query(),
         "entity_shapes": _sql(_SHAPES.format(key="submission_id", text=_tokens("title"), table="submissions"), "submissions"),
         "entity_shapes_comments": _sql(_SHAPES.format(key="comment_id", text=_tokens("body"), table="comments"), "comments"),
         "entities_plugged": _sql(_PLUGGED, "comments"),
@@ -549,6 +569,8 @@ def build() -> dict[str, str]:
               coalesce(max_burst_size, 0) as max_burst_size from fx_users left join ({_BURSTS}) using (redditor)""", "users", "activity",
         ),
         "submissions_as_lines": _sql("select * from fx_submissions", "submissions"),
+        "submissions_as_object": _sql("select * from fx_submissions", "submissions"),
+        "landing_any_layout": _sql("select comment_id, comment_author, body, link_id from fx_comments_raw", "comments_raw"),
         "landing_rejects": _sql(
             """select reason, count(*) as n from (
               select case substring(comment_id, 2)::int % 7 when 0 then 'malformed' when 1 then 'not an object' when 2 then 'not an object' end as reason

@@ -93,37 +93,37 @@ ACTIVITY = _ACTIVITY.replace(
 ACTIVITY_CHECK = _ACTIVITY.replace("{seconds}", "epoch_us(ts) // 1000000")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(USERS, customer=_table(spark, sf_dir, "customer"))
+    return spark.sql(USERS, customer=table(spark, sf_dir, "customer"))
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SUBMISSIONS, pages=_table(spark, sf_dir, "pages"))
+    return spark.sql(SUBMISSIONS, pages=table(spark, sf_dir, "pages"))
 
 
 def comments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(COMMENTS_RAW, documents=_table(spark, sf_dir, "documents"))
+    return spark.sql(COMMENTS_RAW, documents=table(spark, sf_dir, "documents"))
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(COMMENTS, documents=_table(spark, sf_dir, "documents"))
+    return spark.sql(COMMENTS, documents=table(spark, sf_dir, "documents"))
 
 
 def peoples_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PEOPLES, documents=_table(spark, sf_dir, "documents"))
+    return spark.sql(PEOPLES, documents=table(spark, sf_dir, "documents"))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ACTIVITY, events=_table(spark, sf_dir, "events"))
+    return spark.sql(ACTIVITY, events=table(spark, sf_dir, "events"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark passages with a valence from -4 to 4 by rule."""
-    words = _table(spark, sf_dir, "benchmark").select(
+    words = table(spark, sf_dir, "benchmark").select(
         F.explode(tx.clean_tokens(F.col("text"))).alias("token")
     ).distinct()
     size = F.length("token")
@@ -133,7 +133,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of one to four tokens from the benchmark passages, labelled by rule."""
-    passages = _table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t"))
     item = F.col("item_id")
     label = F.element_at(F.array(*map(F.lit, ("GPE", "ORGANIZATION", "PERSON"))), (item % 3 + 1).cast("int"))
     cuts = F.array(

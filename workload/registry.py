@@ -213,6 +213,36 @@ def submissions_as_lines(spark, sf):
     return landing.to_submission_rows(landing.parse_submissions(landing.read_lines(spark, [folder])))
 
 
+@query
+def submissions_as_object(spark, sf):
+    """Submissions written as one indented object by their id, by many tasks, and read again."""
+    folder = load.checkpoint_folder(spark, f"object-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+    reports.write_indented(P.submissions(spark, sf), "submission_id", folder)
+    records = landing.read_indented(spark, reports.indented_parts(folder))
+    return landing.to_submission_rows(landing.parse_submissions(records))
+
+
+#: Small, so that the given tables fall into many blocks too.
+_BLOCK_BYTES = 200_000
+
+
+@query
+def landing_any_layout(spark, sf):
+    """All raw comments as entries of compact objects, a hundred or so a line, and of indented ones, cut
+    into records by many tasks that begin anywhere in them."""
+    raw = P.comments_raw(spark, sf).withColumn("_json", F.expr(_COMMENT_JSON)).withColumn("_k", _number("comment_id"))
+    folder = load.checkpoint_folder(spark, f"layouts-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+    entry = F.concat(F.lit('"'), F.col("comment_id"), F.lit('":'), F.col("_json"))
+    lines = raw.where("_k % 2 = 0").groupBy(F.floor(F.col("_k") / 200)).agg(F.array_join(F.collect_list(entry), ",").alias("_e"))
+    lines.select(F.concat(F.lit("{"), "_e", F.lit("}"))).write.option("lineSep", " ").text(f"{folder}/compact")
+    reports.write_indented(raw.where("_k % 2 = 1").drop("_json", "_k"), "comment_id", f"{folder}/indented")
+    splitting = spark.newSession()
+    splitting.conf.set("spark.sql.files.maxPartitionBytes", _BLOCK_BYTES)
+    found = landing.read_objects(splitting, [f"{folder}/compact", *reports.indented_parts(f"{folder}/indented")])
+    text = lambda name: F.get_json_object("json", f"$.{name}").alias(name)
+    return found.select(F.col("key").alias("comment_id"), text("comment_author"), text("body"), text("link_id"))
+
+
 # The whole load
 
 
@@ -519,6 +549,24 @@ def entities_titles(spark, sf):
     )
 
 
+def _word_runs(spark, sf):
+    """Every run of two or three words of the benchmark passages: phrases that overlap each other."""
+    passages = P.table(spark, sf, "benchmark").select(tx.tokens(F.col("text")).alias("t"))
+    cuts = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.slice("t", i, 2 + i % 2))
+    runs = passages.where(F.size("t") > 0).select(F.explode(cuts).alias("p")).where(F.size("p") > 1)
+    return runs.select(F.array_join("p", " ").alias("phrase")).distinct().withColumn("label", F.lit("RUN"))
+
+
+@query
+def entities_scanned(spark, sf):
+    """Overlapping phrases as a scan from the left takes them."""
+    texts = P.comments(spark, sf)
+    found = entities.entities(texts, _word_runs(spark, sf), "comment_id", "body", overlap="kept")
+    return texts.select("comment_id").join(found, "comment_id", "left").select(
+        "comment_id", entities.as_words(F.col("entities")).alias("named_entities")
+    )
+
+
 @query
 def entity_shapes(spark, sf):
     runs = entities.shape_entities(F.col("title"))
