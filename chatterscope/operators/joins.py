@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast up to so many rows and up to this share of an executor's memory.
 BROADCAST_ROW_LIMIT = 1_000_000
 BROADCAST_SHARE = 1 / 16
+#: Up to this share where the size is the one planned.
+PLANNED_SHARE = 1 / 64
 _SALT = "_salt"
 
 
@@ -44,6 +46,13 @@ def fits_broadcast(dim: DataFrame) -> bool:
     return measured(dim)[0]
 
 
+def planned_small(dim: DataFrame) -> bool:
+    """Whether a side may be broadcast, without running it: by the optimizer's size of its plan, which
+    starts from the bytes of the files read. Files are compressed, hence the smaller share."""
+    planned = int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return planned <= executor_bytes(dim.sparkSession) * PLANNED_SHARE
+
+
 def dictionary_join(
     rows: DataFrame, dim: DataFrame, on: str, how: str, small: bool, row_id: Sequence[str]
 ) -> DataFrame:
@@ -69,15 +78,15 @@ def attach(
 ) -> DataFrame:
     """Join `right` (unique on `on`) to `left`, whose keys may be arbitrarily hot.
 
-    A right side that is measured small is broadcast, and `left` is neither shuffled nor read twice.
-    Otherwise: the keys present on the left are reduced to distinct (key, salt) pairs, at most `salts` per
+    Nothing runs while the plan is built. A right side that is planned small is broadcast, and `left` is
+    neither shuffled nor read twice. Otherwise: the keys present on the left are reduced to distinct (key, salt) pairs, at most `salts` per
     key, and only those meet `right` on the bare key. The wide rows are then shuffled once, on
     (key, salt), so a key holding a third of all rows is spread over `salts` tasks.
     `how`: inner, left, left_semi or left_anti.
     """
     on = list(on)
     needed = right.select(*on) if how in ("left_semi", "left_anti") else right
-    if fits_broadcast(needed):
+    if planned_small(needed):
         return left.join(F.broadcast(needed), on, how)
     salts = salt_count(left.sparkSession)
     salted = left.withColumn(_SALT, salt(row_id, salts))

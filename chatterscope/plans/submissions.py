@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatterscope.functions import text as tx
 from chatterscope.operators.duplicates import duplicate_ids
 from chatterscope.operators.entities import as_brackets, entities
-from chatterscope.operators.joins import attach, fits_broadcast
+from chatterscope.operators.joins import attach, planned_small
 from chatterscope.operators.sentiment import Rules, sentiment
 
 
@@ -67,12 +67,12 @@ def submission_report(
 ) -> DataFrame:
     """The analysis of the submissions of known users.
 
-    Names that are measured small are broadcast, and only admitted submissions are analysed. Otherwise
+    Names that are planned small are broadcast, and only admitted submissions are analysed. Otherwise
     admission is decided on (id, author) alone and joined last, by id like everything else, so the
     wide rows move once. The flags are the same either way: duplicates share their author, so they
     are admitted together.
     """
-    if fits_broadcast(users.select("redditor")):
+    if planned_small(users.select("redditor")):
         known = submissions_of_known_users(submissions, users)
         return submission_analysis(known, lexicon, gazetteer, rules)
     authors = submissions.select("submission_id", "author")

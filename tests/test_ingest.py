@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatterscope import schemas
+from chatterscope.operators import gates
 from chatterscope.operators.sentiment import Rules
 from chatterscope.params import REPORT_PRESET
 from chatterscope.plans.comments import comment_analysis, comment_analysis_per_text
-from chatterscope.plans.ingest import Landed, Tables, accepted_names, ingest, load_counts, read_landing
+from chatterscope.plans.ingest import Landed, Tables, accepted_names, ingest, landed_comments, load_counts, read_landing
 from chatterscope.plans.submissions import submission_report, submissions_of_known_users
 from chatterscope.plans.users import user_analysis
 from chatterscope.sources import landing, reports, tables
@@ -87,6 +88,28 @@ def test_ingest_row_gate(spark, landed):
     assert [f.dataType for f in stored.comments.schema] == [f.dataType for f in schemas.COMMENTS]
 
 
+def test_jobs_while_planning(spark, landed):
+    """The two checks that there is something to load, and nothing else, run before the result is asked for."""
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    names = landed.users.select(F.col("key").alias("redditor"))
+
+    def jobs(build):
+        group = f"planning-{uuid.uuid4()}"
+        context.setJobGroup(group, "planning")
+        try:
+            build()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    flat = landed_comments(landed.submissions, [F.col("place").desc()])
+    stored = nothing(spark)
+    for gate in ("row", "group"):
+        assert jobs(lambda: gates.admit_submissions(landed.submissions, names, gate)) == 0
+        assert jobs(lambda: gates.admit_comments(flat, names, stored.comments, gate)) == 0
+        assert jobs(lambda: ingest(landed, stored, gate)) == 2
+
+
 def test_ingest_group_gate_and_rerun(spark, landed, tmp_path):
     first = ingest(landed, nothing(spark), gate="group")
     assert ids(first.submissions, "submission_id") == sorted(POSTS)

@@ -134,7 +134,7 @@ def test_hot_key_is_split(spark, monkeypatch):
 @pytest.mark.parametrize("how, n", [("inner", 10_001), ("left", 30_000), ("left_semi", 10_001), ("left_anti", 19_999)])
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_attach_equals_plain_join(spark, how, n, limit, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", limit)
+    monkeypatch.setattr(joins, "PLANNED_SHARE", limit)
     rows = hot(spark)
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("none", 3)], "k string, v int")
     got = joins.attach(rows, right, ["k"], ["id"], how)
