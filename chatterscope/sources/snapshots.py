@@ -124,27 +124,42 @@ class Snapshots:
         """The rows of each table, counted while they were written."""
         return {name: sum(t["rows"].values()) for name, t in self._named(version)["tables"].items()}
 
-    def load(self, updates: Mapping[str, Updates]) -> int:
-        """Upsert into the tables named; the new version, which holds all of them or does not exist."""
+    def load(self, updates: Mapping[str, Updates], feed: tuple[str, int] | None = None) -> int:
+        """Upsert into the tables named; the new version, which holds all of them or does not exist.
+
+        feed: a feed's name and the number of this batch of it, which the version remembers. A batch that is
+        not newer than the last one of its feed, or holds no rows, makes no version; the last one is returned.
+        """
         number = self._next()  # asked for first: a version that appears meanwhile takes this number
         before = self._named(None)
+        feeds = dict(before.get("feeds", {}))
+        if feed:
+            if feeds.get(feed[0], -1) >= feed[1]:
+                return before["version"]
+            feeds[feed[0]] = feed[1]
         made = f"{number:0{_DIGITS}d}-{uuid.uuid4().hex}"
-        after = {"version": number, "buckets": before["buckets"], "tables": dict(before["tables"])}
+        after = {"version": number, "buckets": before["buckets"], "tables": dict(before["tables"]), "feeds": feeds}
         try:
             for name, update in updates.items():
                 after["tables"][name] = self._merged(before, name, update, made)
         finally:
             self.folder.delete(f"staged/{made}")
+        if feed and all(after["tables"][n]["files"] == before["tables"].get(n, {"files": {}})["files"] for n in updates):
+            return before["version"]
         self._publish(after, updates)
         return number
 
+    def holds(self, feed: tuple[str, int]) -> bool:
+        """Whether the last version has this batch of a feed, or a newer one."""
+        return self._named(None).get("feeds", {}).get(feed[0], -1) >= feed[1]
+
     def clear(self, names: Iterable[str] | None = None) -> int:
         """A version in which tables, all unless named, are empty."""
         number = self._next()
         before = self._named(None)
         gone = set(self.tables if names is None else names)
         kept = {name: t for name, t in before["tables"].items() if name not in gone}
-        self._publish({"version": number, "buckets": before["buckets"], "tables": kept}, ())
+        self._publish(before | {"version": number, "tables": kept}, ())
         return number
 
     def _bucket(self, name: str, buckets: int) -> Column:
@@ -161,16 +176,18 @@ class Snapshots:
         schema = self.spark.createDataFrame([], self.tables[name]).withColumn(_BUCKET, F.lit(0)).schema
         staged = self.spark.read.schema(schema).parquet(staged_at)
         touched = sorted(r[0] for r in staged.select(_BUCKET).distinct().collect())  # at most a row for each bucket
+        table = before["tables"].get(name, {"files": {}, "rows": {}})
+        if not touched:
+            return table
         stored = self._files(before, name, touched).withColumn(_BUCKET, bucket)
         both = stored.withColumn(_STORED, F.lit(True)).unionByName(staged.withColumn(_STORED, F.lit(False)))
         # One exchange, by bucket: the merge, and a file for each bucket.
-        merged = latest(both.repartition(max(len(touched), 1), _BUCKET), [_BUCKET, key], [F.col(_STORED).asc()]).drop(_STORED)
+        merged = latest(both.repartition(len(touched), _BUCKET), [_BUCKET, key], [F.col(_STORED).asc()]).drop(_STORED)
         at = f"data/{name}/{made}"
         per_bucket, seen = counted(
             merged, f"{name}-{made}", **{f"b{b}": F.count(F.when(F.col(_BUCKET) == b, 1)) for b in touched}
         )
         per_bucket.write.partitionBy(_BUCKET).parquet(f"{self.root}/{at}")
-        table = before["tables"].get(name, {"files": {}, "rows": {}})
         files, rows = dict(table["files"]), dict(table["rows"])
         for b in touched:
             inside = f"{at}/{_BUCKET}={b}"

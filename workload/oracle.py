@@ -557,6 +557,12 @@ def build() -> dict[str, str]:
               case when {_YOUNG} then 'Young Account Age' end) as flags from fx_users""", "users",
         ),
         "bursts": _sql(_BURSTS, "activity"),
+        "stream_bursts": _sql(
+            _BURSTS.replace(
+                "and n >= 2", f"and n >= 2 and created_utc + {BURST_DAYS * DAY} <= (select max(created_utc) - {DAY} from fx_activity)"
+            ).replace("select redditor, created_utc - lag", "select redditor, created_utc, created_utc - lag"), "activity",
+        ),
+        "stream_comments": _sql("select * from fx_comments", "comments"),
         "comment_report": _comment_report(),
         "comment_report_per_text": _comment_report(),
         "submission_report": _submission_report(),

@@ -22,6 +22,8 @@ from chatterscope.plans import ingest as ing
 from chatterscope.plans import submissions as sp
 from chatterscope.plans import users as up
 from chatterscope.sources import landing, reports, snapshots, tables
+from chatterscope.streaming import activity as activity_stream
+from chatterscope.streaming import comments as comment_stream
 from chatterscope.streaming import load
 from workload import projections as P
 
@@ -689,6 +691,38 @@ def bursts(spark, sf):
     return act.bursts(P.activity(spark, sf), REPORT_PRESET.inactivity_days, REPORT_PRESET.burst_days)
 
 
+# Streams
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return load.checkpoint_folder(spark, f"{name}-{uuid.uuid4()}", spark.conf.get("spark.sql.warehouse.dir"))
+
+
+@query
+def stream_bursts(spark, sf):
+    """Bursts whose time was over when a stream of all activity ended, one day behind its newest time."""
+    feed, out, check = (_folder(spark, f"bursts-{part}") for part in ("feed", "starts", "check"))
+    P.activity(spark, sf).write.parquet(feed)
+    activity_stream.burst_stream(
+        activity_stream.activity_stream(spark, feed), out, check, REPORT_PRESET.inactivity_days, REPORT_PRESET.burst_days, "1 day"
+    ).awaitTermination()
+    return activity_stream.closed_bursts(spark, out)
+
+
+@query
+def stream_comments(spark, sf):
+    """Comments delivered twice, every tenth with another text at first, streamed into a versioned table."""
+    feed, root, check = (_folder(spark, f"comments-{part}") for part in ("feed", "store", "check"))
+    other = (F.col("_delivery") == 1) & (F.pmod(F.xxhash64("comment_id"), F.lit(10)) == 0)
+    twice = P.comments(spark, sf).withColumn("_delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    told = twice.withColumn("body", F.when(other, F.concat("body", F.lit(" (first)"))).otherwise(F.col("body")))
+    ordered = told.repartitionByRange("comment_created_utc").sortWithinPartitions("comment_created_utc", "comment_id", "_delivery")
+    ordered.drop("_delivery").write.parquet(feed)
+    store = snapshots.Snapshots(spark, root, buckets=8)
+    comment_stream.merge_stream(comment_stream.comment_stream(spark, feed), store, "comments", check, "30 days").awaitTermination()
+    return store.read("comments")
+
+
 # Reports
 
 
