@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatterscope import schemas
 from chatterscope.operators.checks import counted, require_rows
@@ -146,3 +147,48 @@ def load(landed: Landed, stored: Snapshots, gate: str = "row", order: Sequence[C
     three tables change together or not at all. The new version."""
     new = admit(landed, stored.read("comments"), gate, order)
     return stored.load({name: Updates(getattr(new, name), new.order) for name in ("users", "submissions", "comments")})
+
+
+def _staged(records: DataFrame, schema: T.StructType, at: str, **extra: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Records parsed and written once, and what was counted meanwhile. Each written task counts once, also
+    where tasks are run again: the counts are taken in the stage that writes."""
+    read = landing.parsed(records, schema)
+    rejected = F.col("_why").isNotNull()
+    kept = read.withColumns({"json": F.when(rejected, F.col("json")), "_r": F.when(~rejected, F.col("_r"))})
+    rows, seen = counted(kept, f"staged-{uuid.uuid4()}", rejected=F.count_if(rejected), found=F.count_if(~rejected), **extra)
+    rows.write.parquet(at)
+    return records.sparkSession.read.schema(kept.schema).parquet(at), seen.get
+
+
+def load_counted(
+    users: DataFrame, submissions: DataFrame, stored: Snapshots, gate: str = "row", order: Sequence[Column] | None = None
+) -> int:
+    """`load` of landed records (as `parse_landing` takes them), each parsed once, however often the gates look
+    at it, and counted while its fields are stored for them. The counts of `load_counts` are published
+    with the version: `Snapshots.counters`. The stored fields go when the version is there or the load fails."""
+    at = f"{stored.root}/staged/{uuid.uuid4().hex}"
+    has_id = F.col("_r.redditor_id").isNotNull() & (F.col("_r.redditor_id") != "")
+    said = F.filter("_r.comments", lambda c: c.isNotNull() & landing.by_people(c["comment_author"]))
+    try:
+        people, of_users = _staged(users, schemas.LANDED_USER, f"{at}/users", accepted=F.count_if(F.col("_why").isNull() & has_id))
+        posts, of_posts = _staged(
+            submissions, schemas.LANDED_SUBMISSION, f"{at}/submissions",
+            comments=F.sum(F.when(F.col("_why").isNull() & F.col("_r.comments").isNotNull(), F.size(said)).otherwise(0)),
+        )
+        rejects = (
+            landing.without_fields(records).select(F.lit(kind).alias("kind"), "file", "json", "reason")
+            for kind, records in (("user", people), ("submission", posts))
+        )
+        landed = Landed(
+            landing.user_fields(people), landing.submission_fields(posts), reduce(DataFrame.unionByName, rejects)
+        )
+        new = admit(landed, stored.read("comments"), gate, order)
+        updates = {name: Updates(getattr(new, name), new.order) for name in ("users", "submissions", "comments")}
+        counters = {
+            "users found": of_users["found"], "users accepted": of_users["accepted"],
+            "submissions found": of_posts["found"], "comments kept": of_posts["comments"] or 0,
+            "records rejected": of_users["rejected"] + of_posts["rejected"],
+        }
+        return stored.load(updates, counters=counters)
+    finally:
+        stored.folder.delete(at.removeprefix(f"{stored.root}/"))

@@ -102,21 +102,26 @@ def entries(text: DataFrame) -> DataFrame:
     )
 
 
-def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+def parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
     """Records with their fields in `_r` and, where they are no such object, the reason in `_why`."""
     with_corrupt = T.StructType([*schema, T.StructField("_corrupt", T.StringType())])
     record = F.from_json("json", with_corrupt, {"columnNameOfCorruptRecord": "_corrupt"})
-    parsed = records.withColumn("_r", record)
+    read = records.withColumn("_r", record)
     is_object = F.ltrim("json", F.lit(WHITESPACE)).startswith("{")
     why = F.when(~is_object, "not an object").when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "malformed")
     if "key" in records.columns:
         why = F.when(F.col("key").isNull(), "unreadable stretch").otherwise(why)
-    return parsed.withColumn("_why", why)
+    return read.withColumn("_why", why)
 
 
 def rejected_records(records: DataFrame, schema: T.StructType) -> DataFrame:
     """`(file, json, reason)` of what could not be read as records of that schema."""
-    return _parsed(records, schema).where("_why is not null").select("file", "json", F.col("_why").alias("reason"))
+    return without_fields(parsed(records, schema))
+
+
+def without_fields(records: DataFrame) -> DataFrame:
+    """`(file, json, reason)` of the parsed records that could not be read."""
+    return records.where("_why is not null").select("file", "json", F.col("_why").alias("reason"))
 
 
 def parse_users(records: DataFrame) -> DataFrame:
@@ -125,20 +130,29 @@ def parse_users(records: DataFrame) -> DataFrame:
 
     Without a `key` column (newline-delimited records) the profile's own name is the key.
     """
-    parsed = _parsed(records, schemas.LANDED_USER).where("_why is null").drop("_why")
+    return user_fields(parsed(records, schemas.LANDED_USER))
+
+
+def user_fields(records: DataFrame) -> DataFrame:
+    """The fields of parsed user records."""
+    found = records.where("_why is null").drop("_why")
     if "key" not in records.columns:
-        parsed = parsed.withColumn("key", F.col("_r.redditorname"))
-    return parsed.select("*", "_r.*").drop("json", "_r", "_corrupt")
+        found = found.withColumn("key", F.col("_r.redditorname"))
+    return found.select("*", "_r.*").drop("json", "_r", "_corrupt")
 
 
 def parse_submissions(records: DataFrame) -> DataFrame:
     """Submission fields of landed records; `comments` stays nested. What is no such record is left to
     `rejected_records`."""
-    parsed = _parsed(records, schemas.LANDED_SUBMISSION).where("_why is null").drop("_why")
-    parsed = parsed.select("*", "_r.*").drop("json", "_r", "_corrupt")
+    return submission_fields(parsed(records, schemas.LANDED_SUBMISSION))
+
+
+def submission_fields(records: DataFrame) -> DataFrame:
+    """The fields of parsed submission records."""
+    found = records.where("_why is null").drop("_why").select("*", "_r.*").drop("json", "_r", "_corrupt")
     if "key" in records.columns:
-        return parsed.drop("submission_id").withColumnRenamed("key", "submission_id")
-    return parsed
+        return found.drop("submission_id").withColumnRenamed("key", "submission_id")
+    return found
 
 
 def truthy(value: Column) -> Column:
@@ -181,8 +195,11 @@ SYSTEM_AUTHORS = ("automoderator", "reddit")
 
 def written_by_people(comments: DataFrame) -> DataFrame:
     """Drop comments without an author and those by system accounts."""
-    author = F.col("comment_author")
-    return comments.where(author.isNotNull() & ~F.lower(author).isin(*SYSTEM_AUTHORS))
+    return comments.where(by_people(F.col("comment_author")))
+
+
+def by_people(author: Column) -> Column:
+    return author.isNotNull() & ~F.lower(author).isin(*SYSTEM_AUTHORS)
 
 
 def with_author_label(submissions: DataFrame) -> DataFrame:

@@ -124,11 +124,15 @@ class Snapshots:
         """The rows of each table, counted while they were written."""
         return {name: sum(t["rows"].values()) for name, t in self._named(version)["tables"].items()}
 
-    def load(self, updates: Mapping[str, Updates], feed: tuple[str, int] | None = None) -> int:
+    def load(
+        self, updates: Mapping[str, Updates], feed: tuple[str, int] | None = None, counters: Mapping[str, int] | None = None
+    ) -> int:
         """Upsert into the tables named; the new version, which holds all of them or does not exist.
 
         feed: a feed's name and the number of this batch of it, which the version remembers. A batch that is
         not newer than the last one of its feed, or holds no rows, makes no version; the last one is returned.
+
+        counters: what the load counted before; named with the version, see `counters`.
         """
         number = self._next()  # asked for first: a version that appears meanwhile takes this number
         before = self._named(None)
@@ -139,6 +143,7 @@ class Snapshots:
             feeds[feed[0]] = feed[1]
         made = f"{number:0{_DIGITS}d}-{uuid.uuid4().hex}"
         after = {"version": number, "buckets": before["buckets"], "tables": dict(before["tables"]), "feeds": feeds}
+        after["counters"] = dict(counters or {})
         try:
             for name, update in updates.items():
                 after["tables"][name] = self._merged(before, name, update, made)
@@ -149,6 +154,14 @@ class Snapshots:
         self._publish(after, updates)
         return number
 
+    def counters(self) -> DataFrame:
+        """`(version, what, n)`: what the load of each version counted."""
+        if not self.versions():
+            return self.spark.createDataFrame([], "version int, what string, n bigint")
+        schema = "complete boolean, version int, counters map<string,bigint>"
+        manifests = self.spark.read.schema(schema).json(f"{self.root}/manifests/*.json").where("complete")
+        return manifests.select("version", F.explode("counters").alias("what", "n"))
+
     def holds(self, feed: tuple[str, int]) -> bool:
         """Whether the last version has this batch of a feed, or a newer one."""
         return self._named(None).get("feeds", {}).get(feed[0], -1) >= feed[1]
@@ -159,7 +172,7 @@ class Snapshots:
         before = self._named(None)
         gone = set(self.tables if names is None else names)
         kept = {name: t for name, t in before["tables"].items() if name not in gone}
-        self._publish(before | {"version": number, "tables": kept}, ())
+        self._publish(before | {"version": number, "tables": kept, "counters": {}}, ())
         return number
 
     def _bucket(self, name: str, buckets: int) -> Column:

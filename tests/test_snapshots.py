@@ -1,6 +1,7 @@
 """Versioned tables: what a load touches, what a reader sees, and loads that die."""
 
 import glob
+import json
 import os
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chatterscope import schemas
 from chatterscope.operators.merge import upsert_users
-from chatterscope.sources import snapshots
+from chatterscope.plans import ingest
+from chatterscope.sources import landing, snapshots
 from chatterscope.sources.snapshots import Snapshots, Updates
 
 
@@ -132,3 +134,43 @@ def test_bucket_sizes_follow_the_folder(spark, store):
     again.load({"comments": Updates(comments(spark, [(str(k), "y") for k in range(50)]))})
     assert again._named(2)["buckets"] == 8 and set(bodies(again).values()) == {"y"} and len(bodies(again)) == 50
     assert snapshots.Snapshots(spark, store.root).rows() == {"comments": 50}
+
+
+def test_a_load_counts_what_it_stores(spark, store, tmp_path):
+    """The counts equal those of a grouping, tables those of a load, and records are parsed once."""
+    lands = tmp_path / "users.txt", tmp_path / "posts.txt"
+    people = [{"redditor_id": i, "redditorname": n, "created_utc": 1.0} for i, n in (("t1", "a"), ("t2", "b"), ("", "c"), (None, "d"))]
+    said = [
+        {**dict.fromkeys(schemas.COMMENT_KEYS), "comment_id": i, "comment_author": n, "link_id": "t3_s1"}
+        for i, n in (("1", "a"), ("2", None), ("3", "AutoModerator"), ("4", "b"))
+    ]
+    posts = [{"submission_id": "s1", "author": "a", "comments": said}, {"submission_id": "s2", "author": "b", "comments": None}]
+    lands[0].write_text("\n".join([*map(json.dumps, people), "[1]"]))
+    lands[1].write_text("\n".join([*map(json.dumps, posts), '{"submission_id": "s3"']))
+    parsed = spark.sparkContext.accumulator(0)
+
+    def records(path):
+        read = landing.read_lines(spark, [str(path)])
+
+        def seen(batches):
+            for batch in batches:
+                parsed.add(batch.num_rows)
+                yield batch
+
+        return read.mapInArrow(seen, read.schema)
+
+    version = ingest.load_counted(*map(records, lands), store)
+    assert parsed.value == 8 and version == 1 and not os.listdir(tmp_path / "tables" / "staged")
+    landed = ingest.read_landing(spark, [str(lands[0])], [str(lands[1])], "lines")
+    counts = {r.what: r.n for r in store.counters().where("version = 1").collect()}
+    assert counts == {r.what: r.n for r in ingest.load_counts(landed).collect()}
+    assert counts == {"users found": 4, "users accepted": 2, "submissions found": 2, "comments kept": 2, "records rejected": 2}
+    plain = Snapshots(spark, str(tmp_path / "plain"), buckets=8)
+    ingest.load(landed, plain)
+    for name in schemas.TABLES:
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, plain.read(name).collect()))
+    assert store.read("users").count() == 2 and plain.counters().count() == 0
+    lands[0].write_text("")
+    with pytest.raises(ValueError, match="no users"):
+        ingest.load_counted(*map(records, lands), store)
+    assert store.versions() == [1] and not os.listdir(tmp_path / "tables" / "staged")

@@ -589,21 +589,18 @@ def build() -> dict[str, str]:
               is_gold, dormant_days, has_verified_email, accepts_followers, redditor_is_subscriber
             from landed where k % 19 <> 0""", "users", landed=_LANDED,
         ),
+        "load_counted": _sql(
+            """select redditor_id, redditor, created_utc, link_karma, comment_karma, total_karma, is_employee, is_mod,
+              is_gold, dormant_days, has_verified_email, accepts_followers, redditor_is_subscriber
+            from landed where k % 19 <> 0""", "users", landed=_LANDED,
+        ),
         "ingest_submissions": _sql(
             f"""select 's' || k as submission_id, comment_author as author, null::varchar as title, null::int as submission_score
             from (select {_K} as k, comment_author from fx_comments) where comment_author in (select redditor from fx_users)""",
             "comments", "users",
         ),
-        "load_counts": _sql(
-            f"""select 'users found' as what, count(*) as n from landed
-            union all select 'users accepted', count(*) from landed where k % 19 <> 0
-            union all select 'submissions found', count(*) from posts
-            union all select 'comments kept', sum(1 + ({_BY_PEOPLE})::int)::bigint from posts
-            union all select 'records rejected', (select count(*) from twice) - (select count(*) from posts)""",
-            "users", "comments", landed=_LANDED,
-            twice=f"select *, {_K} as k from fx_comments union all select *, {_K} as k from fx_comments where {_K} % 10 = 0",
-            posts="select * from twice where k % 100 <> 1",
-        ),
+        "load_counts": _load_counts(),
+        "load_counters": _load_counts(),
         "cleared_comments": _sql("select * from fx_comments", "comments"),
     }
 
@@ -618,3 +615,16 @@ def _ingested(gate: str) -> str:
         {other if gate == 'group' else ''}""",
         "users", "comments", "peoples", landed=_LANDED_POSTS.format(number=_NUMBER),
     )
+
+
+def _load_counts() -> str:
+    return _sql(
+        f"""select 'users found' as what, count(*) as n from landed
+        union all select 'users accepted', count(*) from landed where k % 19 <> 0
+        union all select 'submissions found', count(*) from posts
+        union all select 'comments kept', sum(1 + ({_BY_PEOPLE})::int)::bigint from posts
+        union all select 'records rejected', (select count(*) from twice) - (select count(*) from posts)""",
+        "users", "comments", landed=_LANDED,
+        twice=f"select *, {_K} as k from fx_comments union all select *, {_K} as k from fx_comments where {_K} % 10 = 0",
+        posts="select * from twice where k % 100 <> 1",
+    )

@@ -761,9 +761,31 @@ def user_bursts(spark, sf):
 @query
 def load_counts(spark, sf):
     """Rows a load finds, accepts, keeps and rejects; every hundredth post cannot be read."""
-    posts = _posts_landed(spark, sf)
+    return ing.load_counts(ing.parse_landing(_users_landed(spark, sf), _posts_some_cut(spark, sf)))
+
+
+def _posts_some_cut(spark, sf):
     cut = F.when(F.col("place.row") % 100 == 1, F.expr("substring(json, 1, length(json) - 2)")).otherwise(F.col("json"))
-    return ing.load_counts(ing.parse_landing(_users_landed(spark, sf), posts.withColumn("json", cut)))
+    return _posts_landed(spark, sf).withColumn("json", cut)
+
+
+def _counted_load(spark, sf):
+    store = snapshots.Snapshots(spark, _folder(spark, "counted"), buckets=16)
+    store.load({"comments": snapshots.Updates(_stored_comments(spark, sf))})
+    ing.load_counted(_users_landed(spark, sf), _posts_some_cut(spark, sf), store, "row")
+    return store
+
+
+@query
+def load_counters(spark, sf):
+    """The same counts, taken while the landed records of a load were stored, from the published versions."""
+    return _counted_load(spark, sf).counters().select("what", "n")
+
+
+@query
+def load_counted(spark, sf):
+    """The users that this load leaves."""
+    return _counted_load(spark, sf).read("users")
 
 
 @query
