@@ -405,6 +405,24 @@ def _failing() -> str:
     )
 
 
+# Words by their pieces between whitespace, and the score of those that end in a period somewhere.
+_ABBREVIATIONS = {
+    "cut": f"""select comment_id, body, regexp_split_to_array(body, '[{_WS}]') as ps, regexp_extract_all(body, '[{_WS}]') as gaps,
+      len(regexp_split_to_array(regexp_replace(body, '[{_WS}]+\\z', ''), '[{_WS}]')) as last from fx_comments""",
+    "cores": """select *, regexp_replace(lower(p), '\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}.]+\\z', '', 'g') as core
+      from (select comment_id, body, gaps, last, unnest(ps) as p, generate_subscripts(ps, 1) as i from cut)""",
+    "each": "select *, regexp_replace(core, '\\.+\\z', '') as word from cores",
+    "counts": """select word, count(*) as n, count(*) filter (regexp_matches(core, '[\\p{L}\\p{N}]\\.\\z')) as stopped
+      from each where regexp_matches(word, '\\p{L}') group by word""",
+    "sized": """select *, length(replace(word, '.', '')) as size, sum(stopped) over () / sum(n) over () as share from counts""",
+    "scored": """select word, n, stopped,
+      -2 * (stopped * ln(share) + case when n > stopped then (n - stopped) * ln(1 - share) else 0 end
+        - stopped * ln(0.99::double) - case when n > stopped then (n - stopped) * ln(1 - 0.99::double) else 0 end)
+      * exp(-size) * (length(word) - size + 1) * pow(size::double, (stopped - n)::double) as score
+      from sized where stopped > 0""",
+}
+
+
 def build() -> dict[str, str]:
     toks, body_toks = _tokens("title"), _tokens("body")
     words = _sentiment_steps("fx_comments", "comment_id", "body", "s_")["s_texts"]
@@ -506,6 +524,18 @@ def build() -> dict[str, str]:
             f"""select comment_id, len(t) as n_tokens, md5(array_to_string(t, chr(10))) as tokens_md5
             from (select comment_id, {body_toks} as t from fx_comments)""", "comments",
         ),
+        "abbreviations": _sql(
+            "select word, n, stopped, round(score, 6) as score, score >= 0.3 as abbreviation from scored", "comments", **_ABBREVIATIONS
+        ),
+        "kept_tokens": _sql(
+            f"""select comment_id, len(t) as n_tokens, md5(array_to_string(t, chr(10))) as tokens_md5
+            from (select comment_id, list_transform({_tokens('safe')}, lambda x: replace(x, chr(64976), '.')) as t from (
+              select comment_id, case when body is not null then coalesce(string_agg(case when i < last and ends_with(p, '.')
+                  and regexp_matches(core, '[\\p{{L}}\\p{{N}}]\\.\\z')
+                  and word in (select word from scored where score >= {P.ABBREVIATION})
+                then p[:-2] || chr(64976) else p end || coalesce(gaps[i], ''), '' order by i), '') end as safe
+              from each group by comment_id, body))""", "comments", **_ABBREVIATIONS,
+        ),
         "sentiment_word_lists": _sql(
             f"select id as comment_id, md5(array_to_string(ws, chr(10))) as words_md5 from ({words})", "comments"
         ),

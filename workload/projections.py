@@ -13,6 +13,8 @@ from chatterscope.functions import text as tx
 from chatterscope.operators.sentiment import LOWERING, NEGATIONS, RAISING, Rules
 
 AS_OF = 1706745600
+# Scores of the invented words from which the kept tokens are checked.
+ABBREVIATION = 0.001
 # What a harvest of so many items for each user would see.
 HARVEST_LIMITS = {"comment": 25, "submission": 25}
 # The documents are invented words, so the rules also get words that do occur in them.

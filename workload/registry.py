@@ -13,6 +13,7 @@ from chatterscope import schemas
 
 from chatterscope.functions import accounts as ac
 from chatterscope.functions import text as tx
+from chatterscope.operators import abbreviations as abbr
 from chatterscope.operators import activity as act
 from chatterscope.operators import checks, duplicates, entities, gates, keyed, merge
 from chatterscope.operators.sentiment import sentiment, sentiment_words
@@ -485,6 +486,24 @@ def body_tokens(spark, sf):
     )
 
 
+@query
+def abbreviations(spark, sf):
+    """Words of the comments that end in a period somewhere, and which of them are abbreviations."""
+    found = abbr.scored_words(P.comments(spark, sf), "body")
+    return found.select("word", "n", "stopped", F.round("score", 6).alias("score"), (F.col("score") >= abbr.THRESHOLD).alias("abbreviation"))
+
+
+@query
+def kept_tokens(spark, sf):
+    """Tokens with the periods of abbreviations learned from the same comments. The invented words of the
+    given texts hold few, so the query's threshold is low."""
+    comments = P.comments(spark, sf)
+    found = abbr.kept_tokens(comments, abbr.abbreviations(comments, "body", P.ABBREVIATION), "comment_id", "body")
+    return found.select(
+        "comment_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", "\n")).alias("tokens_md5")
+    )
+
+
 @query
 def sentiment_word_lists(spark, sf):
     words = sentiment_words(F.col("body"))
