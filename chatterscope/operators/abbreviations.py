@@ -44,9 +44,11 @@ def scored_words(texts: DataFrame, text: str) -> DataFrame:
     n: how often the word occurs; stopped: how often with its period. Null and empty texts hold no words;
     without any word there are no rows. A text that occurs again counts again.
     """
-    each = texts.select(F.explode(F.transform(pieces(F.col(text)), _core)).alias("core"))
-    words = each.select(_word(F.col("core")).alias("word"), _stopped(F.col("core")).alias("stop")).where(F.col("word").rlike(r"\p{L}"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if("stop").alias("stopped"))
+    # Pieces are counted before they are looked into: few of them are distinct.
+    piece = texts.select(F.explode(tx.split_words(F.col(text))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    each = piece.select(_core(F.col("piece")).alias("core"), "n")
+    words = each.select(_word(F.col("core")).alias("word"), "n", _stopped(F.col("core")).alias("stop")).where(F.col("word").rlike(r"\p{L}"))
+    counted = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("stopped"))
     share = counted.agg((F.sum("stopped") / F.sum("n")).alias("share")).scalar()
     n, k = F.col("n"), F.col("stopped")
     length = F.length(F.replace("word", F.lit("."), F.lit("")))
