@@ -93,9 +93,11 @@ FUSED_PATTERN = (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b"
 
 
 def _split_fused(text: Column) -> Column:
+    def held(lower: Column) -> Column:
+        return reduce(lambda x, y: x | y, (F.contains(lower, F.lit(w)) for w in FUSED_WORDS))
+
     def guarded(t: Column) -> Column:
-        held = F.lower(t).rlike("|".join(FUSED_WORDS))
-        return F.when(held, F.regexp_replace(t, *FUSED_PATTERN)).otherwise(t)
+        return F.when(bound(F.lower(t), held), F.regexp_replace(t, *FUSED_PATTERN)).otherwise(t)
 
     return bound(text, guarded)
 
@@ -122,9 +124,13 @@ def clean_tokens(text: Column) -> Column:
 
 def distinct_ratio(toks: Column) -> Column:
     """Distinct tokens over tokens, 0.0 when there are none."""
-    n = F.size(toks)
-    ratio = F.size(F.array_distinct(toks)).cast("double") / n
-    return F.when(toks.isNotNull(), F.when(n > 0, ratio).otherwise(F.lit(0.0)))
+
+    def ratio(t: Column) -> Column:
+        n = F.size(t)
+        share = F.size(F.array_distinct(t)).cast("double") / n
+        return F.when(t.isNotNull(), F.when(n > 0, share).otherwise(F.lit(0.0)))
+
+    return bound(toks, ratio)
 
 
 def diversity_label(score: Column, has_text: Column) -> Column:
@@ -138,10 +144,23 @@ def diversity_label(score: Column, has_text: Column) -> Column:
 
 
 def lexical_diversity(text: Column) -> Column:
-    """struct(score, label) over cleaned text. The label compares the unrounded score."""
-    toks = clean_tokens(text)
-    score = distinct_ratio(toks)
-    return F.struct(score.alias("score"), diversity_label(score, F.size(toks) > 0).alias("label"))
+    """struct(score, label) over cleaned text. The label compares the unrounded score. Tokens and score are
+    bound: projections that look into the struct would cut the text once for each time they do."""
+
+    def measured(toks: Column) -> Column:
+        def labelled(score: Column) -> Column:
+            return F.struct(score.alias("score"), diversity_label(score, F.size(toks) > 0).alias("label"))
+
+        return bound(distinct_ratio(toks), labelled)
+
+    return bound(clean_tokens(text), measured)
+
+
+def opening_tokens(text: Column, n: int = 6) -> Column:
+    """Tokens of the text's first n whitespace words: its own first tokens, n of them at least where it has
+    as many. No token or pattern reaches over whitespace, and every word makes a token or more."""
+    space, word = (f"[{c}{WHITESPACE}]" for c in ("", "^"))
+    return tokens(F.regexp_extract(text, rf"\A{space}*+(?:{word}++{space}*+){{0,{n}}}", 0))
 
 
 def leading_bigrams(toks: Column, n: int = 5) -> Column:

@@ -91,18 +91,9 @@ def punctuation_emphasis(text: Column) -> Column:
 
 
 def _neighbourhood(texts: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
-    """One row per word: the word, three before, two behind, and the facts of its text."""
+    """One row per word: the word, three before, two behind, and the facts of its text. The others are taken
+    from the text's words by place, so that a broadcast lexicon looks only at the word itself."""
     words = F.col("_words")
-    null = F.array(F.lit(None).cast("string"))
-    rest = F.size(words)
-    spread = F.arrays_zip(
-        words.alias("w"),
-        F.concat(null, words).alias("p1"),
-        F.concat(null, null, words).alias("p2"),
-        F.concat(null, null, null, words).alias("p3"),
-        F.slice(words, 2, rest).alias("x1"),
-        F.slice(words, 3, rest).alias("x2"),
-    )
     contrast_at = F.when(
         F.lower(F.col("_text")).contains(rules.contrast),
         F.array_position(F.transform(words, F.lower), rules.contrast),
@@ -112,15 +103,17 @@ def _neighbourhood(texts: DataFrame, key: str, text: str, rules: Rules) -> DataF
         .withColumn("_words", sentiment_words(F.col("_text")))
         .select(
             "_id",
-            spread.alias("_spread"),
+            "_words",
             (F.exists(words, _is_caps) & F.exists(words, lambda w: ~_is_caps(w))).alias("_mixed"),
             contrast_at.alias("_contrast"),
             punctuation_emphasis(F.col("_text")).alias("_emphasis"),
         )
     )
-    return per_text.select(
-        "_id", "_mixed", "_contrast", "_emphasis", F.posexplode_outer("_spread").alias("_pos", "_s")
-    ).select("_id", "_mixed", "_contrast", "_emphasis", "_pos", "_s.*").where(F.col("w").isNotNull())
+    facts = ["_id", "_mixed", "_contrast", "_emphasis"]
+    each = per_text.select(*facts, "_words", F.posexplode_outer("_words").alias("_pos", "w")).where(F.col("w").isNotNull())
+    around = {"p1": -1, "p2": -2, "p3": -3, "x1": 1, "x2": 2}
+    near = (F.get(words, F.col("_pos") + by).alias(name) for name, by in around.items())
+    return each.select(*facts, "_pos", "w", *near)
 
 
 def _one_of(word: str, words: Iterable[str]) -> Column:

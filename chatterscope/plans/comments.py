@@ -29,12 +29,12 @@ def analyse_texts(
 ) -> DataFrame:
     """Add `sentiment, named_entities, lexical_diversity, common_bigrams`; `key` is unique.
 
-    Diversity and bigrams are row-local; scores and entities come back as narrow rows by key. A tagger
+    Diversity and bigrams are row-local, the bigrams from the text's first words; scores and entities come back as narrow rows by key. A tagger
     takes the gazetteer's place; a text on which it fails shows `ERROR` for all four, other rows go on.
     """
     diversity = tx.lexical_diversity(F.col(text))
     local = texts.withColumns(
-        {"_ld": diversity, "common_bigrams": tx.leading_bigrams(tx.tokens(F.col(text)))}
+        {"_ld": diversity, "common_bigrams": tx.leading_bigrams(tx.opening_tokens(F.col(text)))}
     ).withColumns(
         {"_score": F.col("_ld.score"), "lexical_diversity": tx.scored(F.col("_ld.score"), 2, F.col("_ld.label"))}
     )

@@ -102,3 +102,23 @@ def test_sentiment_label_thresholds(spark):
     rows = spark.createDataFrame([(x,) for x in (0.05, -0.05, 0.0499, -0.0499, 0.0)], "c double")
     got = [r[0] for r in rows.select(tx.sentiment_label(F.col("c"))).collect()]
     assert got == ["Positive", "Negative", "Neutral", "Neutral", "Neutral"]
+
+
+def test_opening_tokens_are_the_first_of_all(spark):
+    """However long the text, only its first words are cut; what is cut is what the whole text begins with."""
+    texts = samples() + ["", None, ' "a', "a, b: 'c' (d)...", "\n\n cannot. gimme", "x" * 50 + " " + '"' * 9 + " b.\" c"]
+    for text, (first, whole) in zip(texts, values(spark, texts, lambda t: tx.opening_tokens(t, 3), tx.tokens)):
+        if text is None:
+            assert first is None
+            continue
+        assert first == whole[: len(first)] and len(first) >= min(3, len(whole))
+    ((long,),) = values(spark, ["a. b " * 10_000], lambda t: F.size(tx.opening_tokens(t, 4)))
+    assert long == 6
+
+
+def test_diversity_cuts_a_text_once(spark):
+    """Projections that look into the struct do not repeat the work."""
+    shown = spark.createDataFrame([("a b",)], "t string").select(tx.lexical_diversity(F.col("t")).alias("l"))
+    shown = shown.select(F.col("l.score").alias("s"), tx.scored(F.col("l.score"), 2, F.col("l.label")).alias("c"))
+    assert shown.first() == (1.0, "1.00 (Highly diverse)")
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
