@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,6 +110,12 @@ def shape_entities(text: Column) -> Column:
     return F.filter(F.transform(runs, strip), lambda r: r != "")
 
 
+#: A tagger is given no more texts, and no more characters of them unless one text has more, at a time.
+PIECE_TEXTS, PIECE_CHARS = 512, 1 << 20
+#: What it makes of pieces is handed on in tables of so many rows or a few more.
+HANDED_ROWS = 10_000
+
+
 Tagger = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -171,14 +178,47 @@ def isolated(tagger: Tagger) -> Tagger:
     return run
 
 
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same texts, few at a time: what a tagger makes of a piece is all that a task holds of it, however
+    many rows Spark hands over at once."""
+    for frame in frames:
+        ends = np.cumsum([len(t) for t in frame["text"]])
+        begin = chars = 0
+        while begin < len(frame):
+            end = min(begin + PIECE_TEXTS, max(begin + 1, int(np.searchsorted(ends, chars + PIECE_CHARS, "right"))))
+            yield frame.iloc[begin:end].reset_index(drop=True)
+            begin, chars = end, int(ends[end - 1])
+
+
 def _with_failed(tagger: Tagger) -> Tagger:
+    """`tagger` over pieces, isolated; every row says whether its text `failed`. Small tables are handed on
+    together: each has its price on the way back to Spark."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in isolated(tagger)(frames):
-            yield frame if "failed" in frame else frame.assign(failed=False)
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for frame in isolated(tagger)(_pieces(frames)):
+            if frame.empty:
+                continue
+            held.append(frame)
+            rows += len(frame)
+            if rows >= HANDED_ROWS:
+                yield _together(held)
+                held, rows = [], 0
+        if held:
+            yield _together(held)
 
     return run
 
 
+def _together(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """Frames of one tagger as one, each row with its mark."""
+    columns = ["text_key", "pos", "phrase", "label"]
+    marks = [mark for f in frames for mark in (f["failed"] if "failed" in f else [False] * len(f))]
+    values = {c: [v for f in frames for v in f[c]] for c in columns}
+    return pd.DataFrame(values).assign(failed=np.array(marks, dtype=bool))
+
+
 def plugged_entities(
     texts: DataFrame, tagger: Tagger, key: str, text: str
 ) -> DataFrame:

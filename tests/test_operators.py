@@ -360,3 +360,27 @@ def test_a_failing_tagger_loses_single_texts_only(spark):
 
     got = {r.id: (r.failed, len(r.entities)) for r in entities.plugged_entities(rows, fails, "id", "t").collect()}
     assert got == {i: (i in bad, int(i not in bad)) for i in range(100)}
+
+
+def test_a_tagger_sees_few_texts_at_a_time_and_its_tables_go_on_together(spark):
+    def tagger(batches):
+        for batch in batches:
+            assert list(batch.index) == list(range(len(batch)))
+            said = batch["text"].str.len()
+            yield pd.DataFrame({"text_key": batch["text_key"], "pos": len(batch), "phrase": said.astype(str), "label": str(said.sum())})
+
+    rows = spark.range(1500).coalesce(1).select("id", F.when(F.col("id") == 700, F.repeat(F.lit("x"), 3 << 20)).otherwise(F.lit("abc")).alias("t"))
+    found = entities.plugged_entities(rows, tagger, "id", "t").select("id", "failed", F.inline("entities")).collect()
+    assert sorted(r.id for r in found) == list(range(1500)) and not any(r.failed for r in found)
+    assert max(r.pos for r in found) <= entities.PIECE_TEXTS
+    assert [(r.pos, r.phrase) for r in found if r.id == 700] == [(1, str(3 << 20))]
+    frames = [pd.DataFrame({"text_key": range(100), "text": ["fine"] * 99 + ["bad"]})]
+
+    def fails(batches):
+        for batch in batches:
+            if "bad" in set(batch["text"]):
+                raise ValueError
+            yield pd.DataFrame({"text_key": batch["text_key"], "pos": 0, "phrase": "p", "label": "l"})
+
+    (made,) = entities._with_failed(fails)(iter(frames))
+    assert len(made) == 100 and made["failed"].sum() == 1

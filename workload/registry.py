@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -529,7 +531,7 @@ def lexdiv_titles(spark, sf):
 @query
 def bigrams(spark, sf):
     return P.comments(spark, sf).select(
-        "comment_id", tx.leading_bigrams(tx.tokens(F.col("body"))).alias("common_bigrams")
+        "comment_id", tx.leading_bigrams(tx.opening_tokens(F.col("body"))).alias("common_bigrams")
     )
 
 
@@ -600,15 +602,19 @@ def entity_shapes_comments(spark, sf):
     return P.comments(spark, sf).select("comment_id", F.array_join(runs, ", ").alias("named_entities"))
 
 
+_DIGIT = re.compile("[0-9]")
+
+
 def _digit_tagger(batches):
     """A stand-in for a user's tagger: words with a digit, in text order."""
     for pdf in batches:
-        words = pdf["text"].str.split().explode()
-        hits = words[words.str.contains(r"[0-9]", na=False)].rename("phrase").to_frame()
-        hits["pos"] = hits.groupby(level=0).cumcount().astype("int32")
-        hits["text_key"] = pdf["text_key"].reindex(hits.index)
-        hits["label"] = "NUMBER"
-        yield hits[["text_key", "pos", "phrase", "label"]]
+        hits = [
+            (key, pos, word, "NUMBER")
+            for key, text in zip(pdf["text_key"], pdf["text"])
+            for pos, word in enumerate(w for w in text.split() if _DIGIT.search(w))
+        ]
+        if hits:
+            yield pd.DataFrame(hits, columns=["text_key", "pos", "phrase", "label"])
 
 
 @query
