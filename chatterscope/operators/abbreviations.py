@@ -76,16 +76,18 @@ def kept_tokens(texts: DataFrame, known: DataFrame, key: str, text: str, name: s
     without abbreviations; a null text has null tokens.
     """
     cut = pieces(F.col(text))
-    last = F.size(F.split(F.rtrim(F.col(text), F.lit(tx.WHITESPACE)), f"[{tx.WHITESPACE}]")) - 1
 
-    def candidates(end: Column) -> Column:
-        def candidate(piece: Column, at: Column) -> Column:
-            ends = F.rtrim(piece, F.lit(tx.WHITESPACE)).endswith(".") & (at < end)
-            return F.when(ends & _stopped(_core(piece)), F.struct(at.alias("at"), _word(_core(piece)).alias("word")))
+    def candidates(words: Column) -> Column:
+        """The words of a text without the whitespace behind it; they stand where its pieces do."""
 
-        return F.array_compact(F.transform(cut, candidate))
+        def candidate(word: Column, at: Column) -> Column:
+            ends = word.endswith(".") & (at < F.size(words) - 1)
+            return F.when(ends & _stopped(_core(word)), F.struct(at.alias("at"), _word(_core(word)).alias("word")))
 
-    found = texts.where(~F.contains(text, F.lit(_MARK))).select(F.col(key), F.explode(tx.bound(last, candidates)).alias("c"))
+        return F.array_compact(F.transform(words, candidate))
+
+    words = F.split(tx.spaced(F.rtrim(F.col(text), F.lit(tx.WHITESPACE))), " ")
+    found = texts.where(~F.contains(text, F.lit(_MARK))).select(F.col(key), F.explode(tx.bound(words, candidates)).alias("c"))
     sought = found.select(key, "c.*")
     hits = attach(sought, known, ["word"], [key, "at"], "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("_kept"))
     kept = F.col("_kept")
