@@ -14,6 +14,7 @@ the number of buckets and files, never rows.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
@@ -25,8 +26,10 @@ from chatterscope import schemas
 from chatterscope.operators.checks import counted, require_unique
 from chatterscope.operators.keyed import latest
 
-_BUCKET, _STORED = "_bucket", "_stored"
+_BUCKET, _SHARE, _STORED = "_bucket", "_share", "_stored"
 _DIGITS = 12
+#: A merge cuts its buckets into shares of about so many bytes of files, each a task's.
+SHARE_BYTES = 32 << 20
 
 
 class _Folder:
@@ -48,6 +51,10 @@ class _Folder:
         finally:
             stream.close()
 
+    def size(self, at: Iterable[str]) -> int:
+        """Bytes of files, or of all files in folders."""
+        return sum(self._fs.getContentSummary(self._path(f"{self.root}/{a}")).getLength() for a in at)
+
     def create(self, at: str, text: str) -> None:
         """Write a new file; it must not exist."""
         stream = self._fs.create(self._path(f"{self.root}/{at}"), False)
@@ -194,8 +201,13 @@ class Snapshots:
             return table
         stored = self._files(before, name, touched).withColumn(_BUCKET, bucket)
         both = stored.withColumn(_STORED, F.lit(True)).unionByName(staged.withColumn(_STORED, F.lit(False)))
-        # One exchange, by bucket: the merge, and a file for each bucket.
-        merged = latest(both.repartition(len(touched), _BUCKET), [_BUCKET, key], [F.col(_STORED).asc()]).drop(_STORED)
+        # One exchange, by bucket and share of it: the merge, and a file for each share.
+        held = [f for b in touched for f in table["files"].get(str(b), [])]
+        size = self.folder.size([f"staged/{made}/{name}", *held])
+        shares = max(1, math.ceil(size / SHARE_BYTES / len(touched)))
+        share = F.pmod(F.xxhash64(F.lit(_SHARE), F.col(key)), F.lit(shares)).cast("int")
+        dealt = both.withColumn(_SHARE, share).repartition(len(touched) * shares, _BUCKET, _SHARE)
+        merged = latest(dealt, [_BUCKET, _SHARE, key], [F.col(_STORED).asc()]).drop(_STORED, _SHARE)
         at = f"data/{name}/{made}"
         per_bucket, seen = counted(
             merged, f"{name}-{made}", **{f"b{b}": F.count(F.when(F.col(_BUCKET) == b, 1)) for b in touched}

@@ -174,3 +174,15 @@ def test_a_load_counts_what_it_stores(spark, store, tmp_path):
     with pytest.raises(ValueError, match="no users"):
         ingest.load_counted(*map(records, lands), store)
     assert store.versions() == [1] and not os.listdir(tmp_path / "tables" / "staged")
+
+
+def test_a_big_bucket_is_merged_by_many_tasks(spark, store, monkeypatch):
+    """No task takes a whole bucket that holds more than a share; rows are those of whole buckets."""
+    monkeypatch.setattr(snapshots, "SHARE_BYTES", 500)
+    first = {str(k): f"b{k}" for k in range(2000)}
+    store.load({"comments": Updates(comments(spark, first.items()))})
+    files = store._named(None)["tables"]["comments"]["files"]
+    assert len(files) == 8 and all(len(f) > 1 for f in files.values())
+    again = {str(k): "new" for k in range(1000, 3000)}
+    store.load({"comments": Updates(comments(spark, again.items()))})
+    assert bodies(store) == first | again and store.rows() == {"comments": 3000}
