@@ -7,9 +7,11 @@ on nearby content, so an insertion changes the chunks around it and no others. A
 occurred before, by doc_id, digest of the text and place, is a duplicate; a run of duplicate chunks of at
 least `RUN` bytes is removed, shorter ones stay, since short phrases coincide by chance.
 
-A chunk moves as its digest, its row and its number. Half of a digest, counted, finds the few chunks that may
-occur again; only those get their place. Digests that more than one in `HOT` of them share are fewer than
-`HOT`, and are joined by broadcast, the others by key, so that no task gets all rows of a common digest.
+A chunk moves as its digest, its row and its number. The halves that stand at two places or more (of
+different texts, or of one) find the few chunks that may occur again; only those get their place. The lists of
+a text's chunks never move, but for the lengths of texts that have such chunks. Digests that more than one in
+`HOT` of them share are fewer than `HOT`, and are joined by broadcast, the others by key, so that no task gets
+all rows of a common digest.
 
 Equal texts are one text with a count, of which the first document is kept as is and the others lose
 everything, if the text has at least `least_copy` bytes (`RUN` unless given; 1: any that is not empty). Null texts are empty and keep what they have, null doc_ids come
@@ -96,10 +98,9 @@ def _chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                     at = end
                 sizes.append(len(found))
         d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        fields = pa.StructArray.from_arrays(
-            [pa.array(lengths, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["n", "d1", "d2"]
-        )
-        yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), fields)
+        at = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+        columns = (pa.array(lengths, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()))
+        yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, c) for c in columns], names=["n", "d1", "d2"])
 
 
 def runs(lengths: list[int], duplicate: list[int], least: int) -> list[tuple[int, int]]:
@@ -136,9 +137,9 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """(t1, t2, first, several, spans, repeated) for texts of `docs` (doc_id, text as binary) that have
     something in common: the doc_id of the first document with the text, whether there are others, what
     that one loses, and how many of its bytes occur elsewhere."""
-    found = F.arrow_udf(_chunks, "array<struct<n:int,d1:long,d2:long>>")
+    found = F.arrow_udf(_chunks, "struct<n:array<int>,d1:array<long>,d2:array<long>>")
     rows = docs.select("doc_id", *_key(F.col("text")), found(F.col("text")).alias("chunks"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "chunks")
+    rows = stored(rows.select("doc_id", "t1", "t2", "chunks.*").withColumn("row", F.monotonically_increasing_id()), "chunks")
     none = F.col("doc_id").isNull().alias("none")
     copies = rows.groupBy("t1", "t2").agg(
         F.min(F.struct(none, "doc_id", "row")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
@@ -147,11 +148,16 @@ def duplicates(docs: DataFrame) -> DataFrame:
     # More than one document: other doc_ids, or some and none; repeated rows of one doc_id are one.
     several = (F.col("low") < F.col("high")) | ((F.col("known") > 0) & (F.col("known") < F.col("n")))
     copies = stored(copies.where("n > 1").select("t1", "t2", "first", several.alias("several")), "copies")
+    # Copies of a text have their chunks at the same places, so they need not be told apart here.
+    text = F.xxhash64("t1", "t2").alias("text")
+    at = rows.select(text, F.posexplode("d1").alias("k", "d1")).select("d1", F.xxhash64("text", "k").alias("at"))
+    often = at.groupBy("d1").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("d1")
+    often = stored(often, "often")
     # The first row of each text stands for all.
-    one = rows.join(copies, ["t1", "t2"], "left").where("first is null or row = first.row")
-    each = one.select("row", F.posexplode("chunks").alias("k", "c")).select("row", "k", "c.d1", "c.d2")
-    often = stored(each.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "often")
-    again = each.join(often, "d1", "left_semi").join(rows.select("row", none, "doc_id", "t1", "t2"), "row")
+    places = rows.select("row", none, "doc_id", "t1", "t2").join(copies, ["t1", "t2"], "left")
+    places = stored(places.where("first is null or row = first.row").select("row", "none", "doc_id", "t1", "t2"), "places")
+    each = rows.select("row", "d2", F.posexplode("d1").alias("k", "d1")).select("row", "k", "d1", F.get("d2", "k").alias("d2"))
+    again = each.join(often.hint("merge"), "d1", "left_semi").join(places, "row")
     again = stored(again.select("row", "d1", "d2", F.struct("none", "doc_id", "t1", "t2", "k").alias("place")), "again")
     shared = again.groupBy("d1", "d2").agg(F.min("place").alias("one"), F.count("*").alias("n")).where("n > 1")
     shared = stored(shared, "shared")
@@ -163,7 +169,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct(F.col("place.k").alias("k"), (F.col("place") > F.col("one")).alias("later"))).alias("shared")
     )
     spans = F.arrow_udf(_runs, "struct<spans:array<struct<start:int,end:int>>,repeated:long>")
-    lost = rows.join(own, "row").select("t1", "t2", "doc_id", spans(F.col("chunks.n"), F.col("shared")).alias("r")).select("t1", "t2", "doc_id", "r.*")
+    lost = rows.select("row", "t1", "t2", "doc_id", "n").join(own, "row").select("t1", "t2", "doc_id", spans(F.col("n"), F.col("shared")).alias("r"))
+    lost = lost.select("t1", "t2", "doc_id", "r.*")
     fate = lost.where("repeated > 0").join(copies, ["t1", "t2"], "full").select(
         "t1", "t2", F.coalesce("first.doc_id", "doc_id").alias("first"), F.coalesce("several", F.lit(False)).alias("several"),
         "spans", F.coalesce("repeated", F.lit(0)).alias("repeated"),

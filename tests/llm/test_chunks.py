@@ -140,3 +140,32 @@ def test_short_copies_go_as_a_whole(spark, tmp_path):
     assert got == want
     rest = {r.doc_id: r.text for r in chunks.without_duplicates(docs, least_copy=1).collect()}
     assert [rest[k] for k in range(11)] == ["tiny", "", "é", "", "", "", "", "x" * 63, "", "only once", ""]
+
+
+def moved(node):
+    """Types of what the exchanges of a plan move."""
+    if node.nodeName() == "Exchange":
+        yield from (node.output().apply(i).dataType().simpleString() for i in range(node.output().size()))
+    for i in range(node.children().size()):
+        yield from moved(node.children().apply(i))
+
+
+def test_lists_of_digests_do_not_move(spark, monkeypatch):
+    """However large the tables are, so no join is by broadcast here."""
+    types, stored = set(), chunks.stored
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan()
+        types.update(moved(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan))
+        return stored(df, name)
+
+    monkeypatch.setattr(chunks, "stored", seen)
+    rnd = random.Random(23)
+    p = prose(rnd, 70)
+    docs = spark.createDataFrame([(k, prose(rnd, 30) + p) for k in range(20)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert all(r.n_repeated > 0 for r in chunks.removals(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "bigint" in types and not [t for t in types if t.startswith("array") and "bigint" in t]
