@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -108,13 +108,18 @@ class Admitted:
     order: Sequence[Column]
 
 
+#: What becomes of a table, named, that several steps read.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def admit(
-    landed: Landed, stored_comments: DataFrame, gate: str = "row", order: Sequence[Column] | None = None
+    landed: Landed, stored_comments: DataFrame, gate: str = "row", order: Sequence[Column] | None = None,
+    keep: Keep = lambda table, name: table,
 ) -> Admitted:
     """The landed rows that pass the gates. There must be users and submissions to load.
 
     `order` ranks records of one key, the winner first; the default takes the one that stands last,
-    files by name.
+    files by name. The gates look at the comments several times: `keep` may store them.
     """
     require_rows(landed.users, "users")
     require_rows(landed.submissions, "submissions")
@@ -124,7 +129,7 @@ def admit(
     user_rows = landing.to_user_rows(latest(accepted, ["redditor_id"], order), carry=["place"])
     posts = landing.latest_submissions(landed.submissions, order)
     admitted = admit_submissions(landing.to_submission_rows(posts, carry=["place"]), names, gate)
-    flat = landed_comments(landed.submissions, order)
+    flat = keep(landed_comments(landed.submissions, order), "comments")
     new = admit_comments(flat, accepted_names(landed.users), stored_comments, gate)
     return Admitted(user_rows, admitted, new, [F.col("place").desc()])
 
@@ -144,9 +149,27 @@ def ingest(
 
 def load(landed: Landed, stored: Snapshots, gate: str = "row", order: Sequence[Column] | None = None) -> int:
     """Merge landed records into versioned tables: only the parts that get new rows are rewritten, and all
-    three tables change together or not at all. The new version."""
-    new = admit(landed, stored.read("comments"), gate, order)
-    return stored.load({name: Updates(getattr(new, name), new.order) for name in ("users", "submissions", "comments")})
+    three tables change together or not at all. The new version. Records are parsed once, and their comments
+    flattened once, however often the gates look at them: both are stored until the version is there or the
+    load fails."""
+    at = f"{stored.root}/staged/{uuid.uuid4().hex}"
+    keep = _kept(at)
+    try:
+        parsed = Landed(keep(landed.users, "users"), keep(landed.submissions, "submissions"), landed.rejects)
+        new = admit(parsed, stored.read("comments"), gate, order, keep)
+        return stored.load({name: Updates(getattr(new, name), new.order) for name in ("users", "submissions", "comments")})
+    finally:
+        stored.folder.delete(at.removeprefix(f"{stored.root}/"))
+
+
+def _kept(at: str) -> Keep:
+    """Tables written to a folder once and read from there."""
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{at}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{at}/{name}")
+
+    return keep
 
 
 def _staged(records: DataFrame, schema: T.StructType, at: str, **extra: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -182,7 +205,7 @@ def load_counted(
         landed = Landed(
             landing.user_fields(people), landing.submission_fields(posts), reduce(DataFrame.unionByName, rejects)
         )
-        new = admit(landed, stored.read("comments"), gate, order)
+        new = admit(landed, stored.read("comments"), gate, order, _kept(at))
         updates = {name: Updates(getattr(new, name), new.order) for name in ("users", "submissions", "comments")}
         counters = {
             "users found": of_users["found"], "users accepted": of_users["accepted"],

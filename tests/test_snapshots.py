@@ -186,3 +186,29 @@ def test_a_big_bucket_is_merged_by_many_tasks(spark, store, monkeypatch):
     again = {str(k): "new" for k in range(1000, 3000)}
     store.load({"comments": Updates(comments(spark, again.items()))})
     assert bodies(store) == first | again and store.rows() == {"comments": 3000}
+
+
+def test_a_load_parses_and_flattens_once(spark, store, tmp_path):
+    """Each landed record is parsed once, however often the gates look, and nothing of it is left behind."""
+    said = [{**dict.fromkeys(schemas.COMMENT_KEYS), "comment_id": str(k), "comment_author": "a", "link_id": "t3_s1"} for k in range(3)]
+    lands = tmp_path / "users.txt", tmp_path / "posts.txt"
+    lands[0].write_text(json.dumps({"redditor_id": "t1", "redditorname": "a"}))
+    lands[1].write_text("\n".join(json.dumps({"submission_id": f"s{k}", "author": "a", "comments": said[k : k + 1]}) for k in range(4)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def records(path):
+        read = landing.read_lines(spark, [str(path)])
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return read.mapInArrow(count, read.schema)
+
+    for gate in ("row", "group"):
+        seen.value = 0
+        ingest.load(ingest.parse_landing(*map(records, lands)), store, gate)
+        assert seen.value == 5
+    assert store.rows() == {"users": 1, "submissions": 4, "comments": 3}
+    assert not os.listdir(tmp_path / "tables" / "staged")
