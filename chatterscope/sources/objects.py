@@ -11,11 +11,15 @@ a record depends on all that stands before it: on being inside a string, and on
 3. Pieces are joined up to each brace that ends a record. What crosses the ends of blocks is put together by
    file and block; only that is shuffled.
 
+Blocks may be much smaller than what a task should read: a task takes so many of them, one after the other, that
+their bytes come to `TASK_BYTES`.
+
 The text is read three times and its pieces pass through Arrow: the harvest's indented layout is cheaper.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,6 +32,8 @@ from chatterscope.operators.joins import BROADCAST_ROW_LIMIT, BROADCAST_SHARE, e
 _END = "}"
 #: What would be put together from more bytes is no record; it comes back in parts, as unreadable.
 LONGEST = 256 << 20
+#: Bytes of blocks that a task reads, if there are more tasks than cores.
+TASK_BYTES = 32 << 20
 #: Bytes of a row of the table of blocks, besides the name of its file.
 _BLOCK_ROW = 64
 _NUMBERS = ["quotes", "from_outside", "from_inside"]
@@ -204,8 +210,9 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield table(made)
 
 
-def _few_blocks(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """Whether the table of blocks may be broadcast: by the lengths of the files, whose content is not read."""
+def _planned(spark: SparkSession, paths: Sequence[str]) -> tuple[bool, int]:
+    """Whether the table of blocks may be broadcast, and how many tasks are to read the blocks: by the lengths
+    of the files, whose content is not read."""
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "length")
     n, length, name = files.agg(F.count("*"), F.sum("length"), F.max(F.length("path"))).first()
     biggest = spark.sql("set spark.sql.files.maxPartitionBytes").first()["value"].lower().rstrip("b")
@@ -213,15 +220,18 @@ def _few_blocks(spark: SparkSession, paths: Sequence[str]) -> bool:
     bytes_ = int(biggest[:-1]) * unit[biggest[-1]] if biggest[-1] in unit else int(biggest)
     blocks = n + (length or 0) // bytes_ + spark.sparkContext.defaultParallelism
     size = blocks * ((name or 0) + _BLOCK_ROW)
-    return blocks <= BROADCAST_ROW_LIMIT and size <= executor_bytes(spark) * BROADCAST_SHARE
+    few = blocks <= BROADCAST_ROW_LIMIT and size <= executor_bytes(spark) * BROADCAST_SHARE
+    return few, max(spark.sparkContext.defaultParallelism, math.ceil((length or 0) / TASK_BYTES))
 
 
 def stretches(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """`(value, file, place, whole)` for `landing.entries`: the entries of JSON objects, each without its last
     brace. What does not end with the brace of a record is not `whole`."""
-    pieces = _pieces(spark, paths)
+    few, tasks = _planned(spark, paths)
+    # Without a shuffle: blocks that one task takes follow each other whole.
+    pieces = _pieces(spark, paths).coalesce(tasks)
     blocks = _blocks(pieces)
-    if _few_blocks(spark, paths):
+    if few:
         begun = pieces.join(F.broadcast(blocks), ["file", "start"])
     else:
         begun = pieces.join(blocks, ["file", "start"]).sortWithinPartitions("file", "start", "row")

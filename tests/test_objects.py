@@ -151,3 +151,20 @@ def test_a_record_without_key_is_not_written(spark, tmp_path):
     with pytest.raises(Exception, match="id is null"):
         reports.write_indented(spark.createDataFrame([(None, 1)], "id string, x int"), "id", str(tmp_path / "object"))
     assert not (tmp_path / "object" / "2-end").exists()
+
+
+def test_small_blocks_share_tasks(spark, split, tmp_path, monkeypatch):
+    """Blocks do not need a task each, however small they are."""
+    draw = random.Random(31)
+    wanted = _object(draw, 60)
+    (tmp_path / "one.json").write_text(json.dumps(wanted))
+    blocks, tasks = objects._blocks, []
+
+    def counted(pieces):
+        tasks.append((pieces.select("start").distinct().count(), pieces.rdd.getNumPartitions()))
+        return blocks(pieces)
+
+    monkeypatch.setattr(objects, "_blocks", counted)
+    rows = split(str(tmp_path), 100)
+    assert tasks[0][0] > 5 * tasks[0][1] and tasks[0][1] <= spark.sparkContext.defaultParallelism
+    assert [(r.key, json.loads(r.json)) for r in _in_order(rows)] == [(k, v) for k, v in wanted.items()]
