@@ -61,7 +61,9 @@ _made: list[list[DataFrame]] = []
 
 
 def release(table: DataFrame) -> None:
-    """Delete a table that `stored` gave and that nothing to come reads."""
+    """Delete a table that `stored` gave and that nothing to come reads; one made otherwise has no files."""
+    if not hasattr(table, "stored_at"):
+        return
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterscope.llm import words
-from chatterscope.llm.shared import releases, steps, stored, unused
+from chatterscope.llm.shared import release, releases, steps, stored, unused
 
 #: Bytes of a repeated string, unless others are asked for; from `LEAST` on.
 THRESHOLD = 400
@@ -248,11 +248,15 @@ def _cores(regions: DataFrame, threshold: int) -> DataFrame:
     state = _reranked(regions.select("region_id", "g", first.alias("r")), 0, n)
     blocks = 1
     while blocks < core:
-        step = min(blocks, core - blocks)
-        state = _reranked(state, step, n)
+        step, before = min(blocks, core - blocks), state
+        state = _reranked(before, step, n)
+        release(before)
         blocks += step
     live = state.select("region_id", F.posexplode("r").alias("t", "rank")).where(f"rank is not null and t <= {reach}")
-    return live.groupBy("region_id").agg(F.collect_list(F.struct((F.lit(reach) - F.col("t")).alias("u"), "rank")).alias("cores"))
+    cores = live.groupBy("region_id").agg(F.collect_list(F.struct((F.lit(reach) - F.col("t")).alias("u"), "rank")).alias("cores"))
+    cores = stored(cores, "cores")
+    release(state)
+    return cores
 
 
 @releases
@@ -277,9 +281,11 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = stored(classes.select("g", "c", "settled", "one.*"), "classes")
     contested = stored(classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "contested")
     regions = _wanted_regions(keyed, rows, classes.join(_small(contested), "g"), threshold)
-    windows = regions.join(_cores(regions, threshold), "region_id").select("region_id", "settled", "a", "region", "cores")
+    cores = _cores(regions, threshold)
+    windows = regions.join(cores, "region_id").select("region_id", "settled", "a", "region", "cores")
     windows = windows.mapInArrow(_windows(threshold), "rank long, rest long, place long")
-    twice = windows.groupBy("rank", "rest").agg(F.count("*").alias("n")).where("n > 1").select("rank", "rest")
+    # Each step's shuffle files go before the next one makes its own.
+    twice = stored(windows.groupBy("rank", "rest").agg(F.count("*").alias("n")).where("n > 1").select("rank", "rest"), "twice")
     bits = _bits(threshold)
     hits = windows.where("place >= 0").join(twice, ["rank", "rest"]).select(
         F.shiftright("place", bits).alias("region_id"), F.col("place").bitwiseAND((1 << bits) - 1).cast("int").alias("at")
@@ -287,6 +293,9 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     one_number = lambda start, end: (F.shiftleft(start.cast("long"), 32) + end).alias("span")
     start = F.col("lo") + F.col("at")
     by_window = hits.join(regions.select("region_id", "row", "lo"), "region_id").select("row", one_number(start, start + threshold))
+    by_window = stored(by_window, "hits")
+    for table in (regions, cores, twice):
+        release(table)
     whole_class = stored(classes.where("settled").select("g", "c"), "settled")
     by_class = places.where("not copied").join(_small(whole_class), ["g", "c"]).select(
         "row", one_number(F.col("lo"), F.col("hi") + threshold)

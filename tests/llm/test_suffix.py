@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chatterscope.llm import suffix
+from chatterscope.llm import shared, suffix
 
 T = suffix.THRESHOLD
 
@@ -149,3 +149,28 @@ def test_rest_keeps_rows_whole(spark):
         assert got[k].text == texts[k]
     assert got[0].text.startswith(texts[0][:300]) and got[0].text.endswith(" end") and p not in got[0].text
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+
+
+def test_tables_go_when_they_were_read(spark, monkeypatch):
+    """Of the ranks two tables exist at most, and none of the windows' tables when the spans are joined."""
+    stored, release, held, most = suffix.stored, shared.release, {}, {}
+
+    def made(df, name):
+        found = stored(df, name)
+        held[found.stored_at] = name
+        for n in held.values():
+            most[n] = max(most.get(n, 0), list(held.values()).count(n))
+        if name == "repeated":
+            most["at the end"] = set(held.values())
+        return found
+
+    def gone(table):
+        release(table)
+        held.pop(table.stored_at)
+
+    monkeypatch.setattr(suffix, "stored", made)
+    monkeypatch.setattr(suffix, "release", gone, raising=False)
+    rnd = random.Random(29)
+    p = prose(rnd, 150)
+    check(spark, [prose(rnd, 40) + p + prose(rnd, n) for n in range(6)])
+    assert most["ranks"] == 2 and not most["at the end"] & {"ranks", "cores", "regions", "twice"}
