@@ -221,8 +221,8 @@ def _small(df: DataFrame, values: Column | None = None) -> DataFrame:
 def _reranked(state: DataFrame, step: int, n: int) -> DataFrame:
     """Positions ranked by the pair of ranks here and `step` positions on; unique ones get no rank.
 
-    state: region_id, g, r (ranks by position, n of them). Strings are compared at equal places to equal
-    anchors.
+    state: region_id, g, r (ranks by position, n of them); released, if it was stored. Strings are compared at equal
+    places to equal anchors.
     """
     pair = F.transform(F.sequence(F.lit(0), F.lit(n - 1 - step)), lambda k: F.struct(F.get("r", k).alias("x"), F.get("r", k + step).alias("y")))
     pairs = state.select("region_id", "g", F.posexplode(pair).alias("t", "p")).select("region_id", "g", "t", "p.x", "p.y")
@@ -231,7 +231,9 @@ def _reranked(state: DataFrame, step: int, n: int) -> DataFrame:
     back = pairs.join(ranks.where("n > 1").drop("n"), ["g", "t", "x", "y"])
     found = back.groupBy("region_id", "g").agg(F.map_from_entries(F.collect_list(F.struct("t", "rank"))).alias("m"))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.try_element_at("m", k))
-    return stored(found.select("region_id", "g", places.alias("r")), "ranks")
+    ranked = stored(found.select("region_id", "g", places.alias("r")), "ranks")
+    release(state)
+    return ranked
 
 
 def _cores(regions: DataFrame, threshold: int) -> DataFrame:
@@ -248,9 +250,8 @@ def _cores(regions: DataFrame, threshold: int) -> DataFrame:
     state = _reranked(regions.select("region_id", "g", first.alias("r")), 0, n)
     blocks = 1
     while blocks < core:
-        step, before = min(blocks, core - blocks), state
-        state = _reranked(before, step, n)
-        release(before)
+        step = min(blocks, core - blocks)
+        state = _reranked(state, step, n)
         blocks += step
     live = state.select("region_id", F.posexplode("r").alias("t", "rank")).where(f"rank is not null and t <= {reach}")
     cores = live.groupBy("region_id").agg(F.collect_list(F.struct((F.lit(reach) - F.col("t")).alias("u"), "rank")).alias("cores"))
