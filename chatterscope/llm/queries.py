@@ -73,8 +73,8 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to strings of 400 bytes that occur elsewhere."""
-    return suffix.removals(documents(spark, sf_dir))
+    """What every document loses to strings of 400 bytes that occur elsewhere, and how much of it shorter passages repeat."""
+    return suffix.removals(documents(spark, sf_dir), shorter=suffix.PASSAGE)
 
 
 @query

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from chatterscope.llm import shared, suffix
+from chatterscope.llm.queries import QUERIES
 
 T = suffix.THRESHOLD
 
@@ -111,6 +112,46 @@ def test_short_passages(spark):
         suffix.removals(docs, 191)
 
 
+def mixed(rnd):
+    """Passages shorter and longer than 400 bytes, near copies, copies of any length, periods, no text."""
+    passages = ["".join(rnd.choices("abcdefgh ", k=n)) for n in (249, 250, 251, 320, 399, 400, 401, 700)]
+    texts = [prose(rnd, rnd.choice([0, 5, 60])) + p + prose(rnd, rnd.choice([0, 40])) for p in passages for _ in range(3)]
+    texts += [passages[-1][:300] + "#" + passages[-1][300:], prose(rnd, 20) + passages[3] + passages[5] + "!", passages[4], passages[4]]
+    texts += ["ab" * 180, "ba" * 150, "x" * 260, "only here " + passages[3] + prose(rnd, 9) + passages[3][:270], None, "", "short", "short"]
+    whole = prose(rnd, 200)
+    return texts + [whole, whole, whole, whole[:450] + "?" + whole[450:], whole[100:420], prose(rnd, 200)]
+
+
+@pytest.mark.parametrize("values", [1_000_000, 0])
+def test_two_lengths(spark, monkeypatch, values):
+    """What 400 bytes remove is as without the shorter length, which is exact too."""
+    monkeypatch.setattr(suffix, "BROADCAST_VALUES", values)
+    texts = mixed(random.Random(15))
+    rows = [(k if k % 11 else None, t, k) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_repeated long").repartition(4)
+    got = suffix.removals(docs, T, 250)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+    want = [(r[0], *long, short[1]) for r, long, short in zip(rows, brute(texts), brute(texts, 250), strict=True)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    with pytest.raises(ValueError, match="no shorter"):
+        suffix.removals(docs, 300, 300)
+    assert suffix.removals(docs.limit(0), T, 250).count() == 0
+
+
+def test_query_tells_short_passages(spark, tmp_path):
+    """The query removes strings of 400 bytes; what passages of 51 words repeat, most of them shorter, it tells."""
+    rnd = random.Random(16)
+    passages = [" ".join("".join(rnd.choices("abcdeéün", k=rnd.randint(3, 8))) for _ in range(51)) for _ in range(20)]
+    texts = [prose(rnd, 60) + " " + p + " " + prose(rnd, 40) for p in passages for _ in range(2)]
+    clean = [prose(rnd, 120) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_suffix"](spark, str(tmp_path)).collect()}
+    assert all(got[k].n_repeated >= len(passages[k // 2].encode()) for k in range(len(texts)))
+    assert all(got[k].n_repeated == 0 for k in range(len(texts), len(got)))
+    assert [tuple(got[k])[1:5] for k in range(len(got))] == brute(texts + clean)
+
+
 def test_one_document_and_none(spark):
     rnd = random.Random(10)
     p = prose(rnd, 120)
